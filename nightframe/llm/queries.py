@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightframe.llm import exact_dedup
+from nightframe.llm import exact_dedup, tiff, url_filter
 from nightframe.llm.common import table
 
 
@@ -12,8 +12,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.classify_urls(table(spark, sf_dir, "pages"), url_filter.train(spark))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_tiff_media": op3_tiff_media,
+    "op4_url_filter": op4_url_filter,
 }
 
 ORACLES = {
