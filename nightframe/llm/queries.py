@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightframe.llm import exact_dedup, tiff, url_filter
+from nightframe.llm import exact_dedup, quality, tiff, toxicity, url_filter
 from nightframe.llm.common import table
 
 
@@ -20,10 +20,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.classify_urls(table(spark, sf_dir, "pages"), url_filter.train(spark))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_tiff_media": op3_tiff_media,
     "op4_url_filter": op4_url_filter,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
