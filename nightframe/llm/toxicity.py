@@ -40,10 +40,27 @@ musulmanes cristianos judíos
 SWAPS = {term: [x for x in line.split() if x != term] for line in IDENTITY.strip().split("\n") for term in line.split()}
 
 
+STEMS = (4, 5, 6, 7)
+
+
 def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def features(text: str, stems: set[str] | None = None) -> set[str]:
+    """The words of a text, and stems that two or more, or three or more, of its words begin with (``stem*2``).
+
+    Insults are inflected and compounded more than they are repeated; ``stems`` limits the stems that are counted.
+    """
+    words = Counter(WORD.findall(text.lower()))
+    begun: Counter[str] = Counter()
+    for word, n in words.items():
+        for k in STEMS:
+            if len(word) >= k and (stems is None or word[:k] in stems):
+                begun[word[:k]] += n
+    return words.keys() | {f"{stem}*{t}" for stem, n in begun.items() for t in (2, 3) if n >= t}
+
+
 def counterfactuals(texts: list[str], known: dict[str, int]) -> np.ndarray:
     """Pairs (term, other term) as columns of the model: for every sentence with identity terms, each term against each
     of its swaps, with the number of sentences as third column."""
@@ -56,20 +73,40 @@ def counterfactuals(texts: list[str], known: dict[str, int]) -> np.ndarray:
     return np.array(found, np.int64).reshape(-1, 3)
 
 
-def fit(rows: list[tuple[str, int]], share: float, fairness: float = 5.0, sparsity: float = 2e-3, least: int = 3, rounds: int = 400) -> tuple[dict[str, float], float]:
+def curvature(row: np.ndarray, col: np.ndarray, weight: np.ndarray, m: int, rounds: int = 30) -> float:
+    """The largest eigenvalue of the weighted second moments of the words and the constant, by power iteration."""
+    v, one, top = np.ones(m), 1.0, 1.0
+    for _ in range(rounds):
+        z = weight * (one + np.bincount(row, weights=v[col], minlength=len(weight)))
+        v, one = np.bincount(col, weights=z[row], minlength=m), z.sum()
+        top = float(np.sqrt(v @ v + one * one))
+        v, one = v / top, one / top
+    return 1.1 * top
+
+
+def fit(rows: list[tuple[str, int]], share: float, fairness: float = 5.0, sparsity: float = 3e-4, least: int = 3, most: int = 3000, rounds: int = 400) -> tuple[dict[str, float], float]:
     """Weights of words and the intercept.
 
     Minimises the class-balanced logistic loss, plus ``sparsity`` times the absolute weights, plus ``fairness`` times
     the mean squared change of the score over all counterfactual sentences, by accelerated proximal gradient steps.
-    The intercept is then moved to the true ``share`` of toxic rows.
+    Only the ``most`` features that tell the classes apart best, and all identity terms, take part. The intercept is then
+    moved to the true ``share`` of toxic rows.
     """
     prior = float(np.log(max(share, 1e-4) / max(1 - share, 1e-4)))
     y = np.array([label for _, label in rows], np.float64)
     if not rows or y.min() == y.max():
         return {}, prior
-    sets = [words_of(text) for text, _ in rows]
-    seen = Counter(w for s in sets for w in s)
-    vocabulary = sorted(w for w, n in seen.items() if n >= least or w in SWAPS)
+    sets = [features(text) for text, _ in rows]
+    seen = {label: Counter(w for s, (_, own) in zip(sets, rows, strict=True) if own == label for w in s) for label in (0, 1)}
+    n0, n1 = len(y) - y.sum(), y.sum()
+
+    def apart(w: str) -> float:
+        """How many standard errors the two classes are apart."""
+        p, q, all_of = seen[1][w] / n1, seen[0][w] / n0, (seen[1][w] + seen[0][w]) / len(y)
+        return abs(p - q) / max(1e-9, all_of * (1 - all_of) * (1 / n0 + 1 / n1)) ** 0.5
+
+    often = [w for w in seen[0].keys() | seen[1].keys() if seen[0][w] + seen[1][w] >= least and w not in SWAPS]
+    vocabulary = sorted(sorted(often, key=lambda w: (-apart(w), w))[:most] + [w for w in SWAPS if seen[0][w] + seen[1][w]])
     known = {w: i for i, w in enumerate(vocabulary)}
     row = np.concatenate([np.full(len(s & known.keys()), i) for i, s in enumerate(sets)] or [np.zeros(0)]).astype(np.int64)
     col = np.array([known[w] for s in sets for w in sorted(s & known.keys())], np.int64)
@@ -77,10 +114,7 @@ def fit(rows: list[tuple[str, int]], share: float, fairness: float = 5.0, sparsi
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     pairs = counterfactuals([text for text, _ in rows], known)
     a, b, share_of = pairs[:, 0], pairs[:, 1], pairs[:, 2] / max(1, pairs[:, 2].sum())
-    widest = np.bincount(row, minlength=n).max() + 1
-    # the loss curves at most so much along any direction; heavy identity terms add their own share
-    step = 1 / (0.25 * float(np.bincount(row, weights=weight[row] * np.bincount(row, minlength=n)[row], minlength=n).sum() + 1) + 4 * fairness * (len(pairs) > 0))
-    step = max(step, 1 / (0.25 * widest + 4 * fairness))
+    step = 1 / (0.25 * curvature(row, col, weight, m) + 8 * fairness * (len(pairs) > 0))
     w, bias, look, look_bias, t = np.zeros(m), 0.0, np.zeros(m), 0.0, 1.0
     for _ in range(rounds):
         logit = look_bias + np.bincount(row, weights=look[col], minlength=n)
@@ -106,12 +140,13 @@ def toxicity(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str
     scored alike, other columns are not looked at.
     """
     weights, bias = model
+    stems = {w.partition("*")[0] for w in weights if "*" in w}
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = np.array([bias + sum(weights[w] for w in sorted(words_of(t.as_py()) & weights.keys())) for t in batch.column(1)], np.float64)
+            logits = np.array([bias + sum(weights[w] for w in sorted(features(t.as_py(), stems) & weights.keys())) for t in batch.column(1)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -40, 40))))], names=["doc_id", "score"])
 
     return source.mapInArrow(score, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
