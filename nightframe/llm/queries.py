@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightframe.llm import exact_dedup, quality, simhash, tiff, toxicity, url_filter
+from nightframe.llm import exact_dedup, langid, packing, quality, simhash, tiff, toxicity, url_filter
 from nightframe.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.classify_urls(table(spark, sf_dir, "pages"), url_filter.train(spark))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_query(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,8 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_tiff_media": op3_tiff_media,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
