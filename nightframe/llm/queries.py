@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from nightframe.llm import exact_dedup, langid, packing, quality, simhash, tiff, toxicity, url_filter
+from nightframe.llm import exact_dedup, langid, packing, pieces, pii, quality, simhash, tiff, toxicity, url_filter
 from nightframe.llm.common import table
 
+#: A public vocabulary for op7; another one can be named in the environment. It is read on the driver and broadcast.
+PIECE_MODEL = os.environ.get("NIGHTFRAME_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+PII_KEY = "nightframe-demo-key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -28,6 +38,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(PIECE_MODEL, "rb") as file:
+        model = file.read()
+    return pieces.round_trip(table(spark, sf_dir, "documents"), model)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -41,11 +57,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_tiff_media": op3_tiff_media,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
