@@ -81,6 +81,9 @@ class Neighbours:
     labels: np.ndarray
     share: float
 
+    def parts(self) -> tuple:
+        return self.scale, self.axes, self.vectors, self.labels, self.share
+
     def latent(self, terms: np.ndarray) -> np.ndarray:
         z = (terms * self.scale) @ self.axes
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
@@ -130,14 +133,15 @@ def quality(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, int]] = {}
+        near = Neighbours(*shared.value)
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                found = shared.value.vote(term_matrix(part.column(1).to_pylist(), cache), k)
+                found = near.vote(term_matrix(part.column(1).to_pylist(), cache), k)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.float64))], names=["doc_id", "score"])
 
     return source.mapInArrow(score, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -155,15 +159,16 @@ def quality_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Da
 def keep_good(docs: DataFrame, model: Neighbours, text_col: str = "text", k: int = 15, threshold: float = 0.5) -> DataFrame:
     """``docs``, same columns, without the rows that the model rejects: a filter over whole rows, with no join."""
     schema = docs.schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     at = docs.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, int]] = {}
+        near = Neighbours(*shared.value)
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                found = shared.value.vote(term_matrix([t or "" for t in part.column(at).to_pylist()], cache), k)
+                found = near.vote(term_matrix([t or "" for t in part.column(at).to_pylist()], cache), k)
                 yield part.filter(pa.array(found >= threshold))
 
     return docs.mapInArrow(judge, schema)
