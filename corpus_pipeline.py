@@ -4,17 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightframe.llm import exact_dedup
+from nightframe.llm import exact_dedup, packing, pii, quality, simhash
 from nightframe.llm.common import table, written
 
+#: Neither nearest-neighbour votes nor keyed surrogates nor best fit can be said in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
+#: The key of the surrogates in this demonstration; a real run would read its own from a secret store.
+PII_KEY = "nightframe-demo-key"
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled documents call good."""
+    return quality.keep_good(docs, quality.quality_model(docs, table(spark, sf_dir, "labels")))
+
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with surrogates for personal data."""
+    return pii.replace_pii(docs, PII_KEY).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document, or piece of one, lies in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", good_quality), ("exact_dedup", exact), ("near_dedup", near), ("pii", surrogates), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
