@@ -85,7 +85,7 @@ def autocorrelation(df: DataFrame, day: str, value: str, lags: int = 30, by: lis
     order = W.partitionBy(*by).orderBy("_i")
     before = [F.struct(F.lit(k).alias("lag"), (F.col("_c") * F.lag("_c", k).over(order)).alias("p")) for k in range(lags + 1)]
     total = x.groupBy(*by).agg(F.sum(F.col("_c") * F.col("_c")).alias("_ss"), F.count(F.lit(1)).alias("_rows"))
-    products = x.select(*by, F.explode(F.array(*before)).alias("t")).groupBy(*by, F.col("t.lag").alias("lag"))
+    products = x.select(*by, F.array(*before).alias("_all")).select(*by, F.explode("_all").alias("t")).groupBy(*by, F.col("t.lag").alias("lag"))
     sums = products.agg(F.sum("t.p").alias("_sp"), F.count("t.p").alias("pairs"))
     out = sums.join(total, by) if by else sums.join(F.broadcast(total))
     kept = out.filter(F.col("lag") < F.col("_rows"))

@@ -1,4 +1,10 @@
-"""Queries and their DuckDB SQL."""
+"""All registered queries and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from nightframe.plans import nightly
+
+LAYERS = (nightly,)
+
+QUERIES = {name: f for layer in LAYERS for name, f in layer.QUERIES.items()}
+ORACLES = {name: sql for layer in LAYERS for name, sql in layer.ORACLES.items()}
