@@ -29,23 +29,48 @@ SYLLABLES = {
 ENDINGS = {"latin": "er man sen ton ley ard ez in el is".split(), "cyrillic": "ов ин ский ев ко ук ич ян".split()}
 
 WORD = r"\p{Lu}[\p{L}'’]*(?:-\p{Lu}\p{L}*)?"
-_names = "|".join(sorted({n for line in GIVEN.values() for n in line.split()}, key=len, reverse=True))
-_names = f"{_names}|{_names.upper()}"
-_given = rf"(?:{_names})(?![\p{{L}}'’-])(?: {WORD})?"
-_titles = "|".join(sorted(TITLES, key=len, reverse=True))
-#: Alternatives are tried in this order.
+
+
+def any_of(words: list[str]) -> str:
+    """An alternation by first letters, so that a mismatch is found after one of a few branches."""
+    tree: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        tree.setdefault(w[:2], []).append(w[2:])
+    heads: dict[str, list[str]] = {}
+    for two, rests in sorted(tree.items()):
+        heads.setdefault(two[0], []).append(f"{two[1:]}(?:{'|'.join(rests)})")
+    return "(?:" + "|".join(f"{h}(?:{'|'.join(parts)})" for h, parts in heads.items()) + ")"
+
+
+_all_names = [n for line in GIVEN.values() for n in line.split()]
+_names = any_of(_all_names + [n.upper() for n in _all_names])
+_given = rf"{_names}(?![\p{{L}}'’-])(?: {WORD})?"
+_titles = any_of(TITLES)
+#: Persons, and alternatives with digits or an @; they are tried in this order.
+PERSON = rf"(?=\p{{Lu}})(?<![\p{{L}}\d])(?:{_titles}\.? (?:{_given}|{WORD})|{_given})"
 PATTERN = "|".join([
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     r"(?<![\p{L}\d])\+\d{1,3}[ -]?(?:\(\d{2,4}\)|\d{2,4})[ -]?\d{3,4}[ -]?\d{3,4}(?!\d)",
     r"\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])(?:(?=[a-f]*\d)[0-9a-f]{32,128}|(?=[A-F]*\d)[0-9A-F]{32,128})(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     r"(?<![\d.-])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{12,19}(?!\d)",
-    rf"(?=\p{{Lu}})(?<![\p{{L}}\d])(?:(?:{_titles})\.? (?:{_given}|{WORD})|{_given})",
+    PERSON,
 ])
-TITLED = rf"^(?:{_titles})\.?$"
+TITLED = rf"^{_titles}\.?$"
+
+
+def mentions(text: Column) -> Column:
+    """All mentions in order of place. Texts without a digit and an @ can only name persons, which is quicker to see."""
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    return F.when(text.rlike("[0-9@]"), found(PATTERN)).otherwise(found(PERSON))
+
+
+def between(text: Column) -> Column:
+    """What stands around the mentions: one more part than there are mentions."""
+    return F.when(text.rlike("[0-9@]"), F.split(text, PATTERN, -1)).otherwise(F.split(text, PERSON, -1))
 
 
 def kind_of(e: Column) -> Column:
@@ -211,7 +236,7 @@ def mod97(text: Column) -> Column:
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kind, canon`` for each distinct entity of a document whose surrogate may collide: all but given names."""
     surrogates = Surrogates("")
-    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(whole(text_col), F.lit(f"({PATTERN})"), 1))).alias("e"))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(mentions(whole(text_col)))).alias("e"))
     found = found.withColumn("kind", kind_of(F.col("e")))
     parts = F.when(F.col("kind") == "person", F.split("e", " ")).otherwise(F.array("e"))
     found = found.select("doc_id", F.explode(parts).alias("e"), F.when(F.col("kind") == "person", "surname").otherwise(F.col("kind")).alias("kind"))
@@ -263,8 +288,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         mine = F.filter("_fix", lambda x: x["name"] == F.concat_ws("|", kind, canon))
         return F.when(F.col("_fix").isNull(), 0).otherwise(F.coalesce(F.get(mine, 0)["attempt"], F.lit(0)))
 
-    marked = fixed.withColumn("_found", F.regexp_extract_all(F.col(text_col), F.lit(f"({PATTERN})"), 1))
-    gaps = F.split(F.col(text_col), PATTERN, -1)
+    marked = fixed.withColumn("_found", mentions(F.col(text_col)))
+    gaps = between(F.col(text_col))
     new = F.transform("_found", lambda e: surrogates.replace(e, attempt_of))
     joined = F.array_join(F.zip_with(gaps, new, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
 
