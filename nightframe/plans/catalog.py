@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nightframe.plans import nightly
+from nightframe.plans import event_layer, inference_layer, nightly
 
-LAYERS = (nightly,)
+LAYERS = (nightly, event_layer, inference_layer)
 
 QUERIES = {name: f for layer in LAYERS for name, f in layer.QUERIES.items()}
 ORACLES = {name: sql for layer in LAYERS for name, sql in layer.ORACLES.items()}
