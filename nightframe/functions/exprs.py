@@ -32,6 +32,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def clamp(c: Column, low: float, high: float) -> Column:
+    """NULL stays NULL, which ``greatest`` and ``least`` alone would skip."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
 def r6(c: Column | str) -> Column:
     """Six decimals, for comparing results; minus zero becomes zero."""
     return F.round(col(c).cast("double"), 6) + F.lit(0.0)
@@ -85,14 +90,14 @@ def wilson(p: Column, n: Column, z: float = P.Z) -> tuple[Column, Column]:
     scale = 1 + F.lit(z * z) / F.nullif(n, F.lit(0.0))
     centre = (p + z * z / 2 / F.nullif(n, F.lit(0.0))) / scale
     half = z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / F.nullif(n, F.lit(0.0)) + z * z / 4 / F.nullif(n * n, F.lit(0.0)))) / scale
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return clamp(centre - half, 0.0, 1.0), clamp(centre + half, 0.0, 1.0)
 
 
 def correlation(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
     """From moments about a centre; NULL where a side doesn't vary."""
     cov, vx, vy = sxy - sx * sy / F.nullif(n, F.lit(0)), sxx - sx * sx / F.nullif(n, F.lit(0)), syy - sy * sy / F.nullif(n, F.lit(0))
     product = F.when((vx > 1e-12 * F.abs(sxx)) & (vy > 1e-12 * F.abs(syy)), F.sqrt(vx * vy))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(cov, product)))
+    return clamp(ratio(cov, product), -1.0, 1.0)
 
 
 def severity_band(ahi: Column | str) -> Column:

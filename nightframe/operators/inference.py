@@ -6,15 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 from nightframe import params as P
-from nightframe.functions.exprs import finite, normal_cdf, ratio, wilson
+from nightframe.functions.exprs import clamp, finite, normal_cdf, ratio, wilson
 from nightframe.operators import kernels
 from nightframe.operators.series import ranks
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(rho: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of a correlation by Student's t. For result rows, of which there are few."""
     return pd.Series([kernels.correlation_p(float(r), float(d)) if pd.notna(r) and pd.notna(d) else None for r, d in zip(rho, df, strict=True)], dtype="float64")
@@ -30,7 +31,7 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3) -
     sums = _paired(df, x, y, list(by)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_samp(x_, y_).alias("_c"), F.stddev_samp(x_).alias("_sx"), F.stddev_samp(y_).alias("_sy"), F.max(F.abs(x_)).alias("_mx"), F.max(F.abs(y_)).alias("_my"))
     varies = (F.col("_sx") > 1e-12 * F.col("_mx")) & (F.col("_sy") > 1e-12 * F.col("_my"))
     r = F.when(varies & (F.col("n") >= least), ratio(F.col("_c"), F.col("_sx") * F.col("_sy")))
-    return sums.select(*by, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"), "n")
+    return sums.select(*by, clamp(r, -1.0, 1.0).alias("r"), "n")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3) -> DataFrame:
@@ -105,7 +106,7 @@ def mann_whitney(df: DataFrame, value: str, first: Column, by: list[str] = ()) -
     return out.select(*by, "n1", "n2", F.least("u1", "u2").alias("u"), "z", p.alias("p"), (2 * share - 1).alias("effect"), F.when(both, 2 * low - 1).alias("effect_low"), F.when(both, 2 * high - 1).alias("effect_high"), method.alias("method"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_p(few: pd.Series, n1: pd.Series) -> pd.Series:
     """The exact p from the few values of a group, each with its numbers in the two samples."""
     out = []
