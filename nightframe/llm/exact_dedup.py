@@ -68,14 +68,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` does not keep; same columns, each text once."""
     flags = written(exact_duplicates(docs, id_col, text_col, fan_in))
-    stays = flags.filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_sha"))
+    stays = flags.filter("kept").select(F.col("doc_id").alias("__nf_keep"), F.col("text_sha256").alias("__nf_keep_sha"))
     sha = F.sha2(F.translate(whole(text_col), SPACES, "").cast("binary"), 256)
-    on = docs[id_col].eqNullSafe(F.col("_keep")) & (sha == F.col("_keep_sha"))
+    on = docs[id_col].eqNullSafe(F.col("__nf_keep")) & (sha == F.col("__nf_keep_sha"))
     kept = docs.join(stays, on, "left_semi")
     again = flags.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("k"))
     if again.filter("n > 1 and k").limit(1).count():
         # rows that repeat both id and text: one of them
-        return kept.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+        return kept.withColumn("__nf_sha", sha).dropDuplicates([id_col, "__nf_sha"]).drop("__nf_sha")
     return kept
 
 

@@ -276,21 +276,21 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     settled = settle(found.select("kind", "canon").distinct(), surrogates)
     again = settled.filter("attempt > 0")
     name = F.concat_ws("|", "kind", "canon")
-    fixes = found.join(small(again), ["kind", "canon"]).groupBy("doc_id").agg(F.collect_set(F.struct(name.alias("name"), "attempt")).alias("_fix"))
+    fixes = found.join(small(again), ["kind", "canon"]).groupBy("doc_id").agg(F.collect_set(F.struct(name.alias("name"), "attempt")).alias("__nf_fix"))
     fixes = checkpointed(fixes)
     if fixes.limit(1).count():
-        right = small(fixes.withColumnRenamed("doc_id", "_of"))
-        fixed = docs.join(right, docs[id_col].eqNullSafe(F.col("_of")), "left").drop("_of")
+        right = small(fixes.withColumnRenamed("doc_id", "__nf_of"))
+        fixed = docs.join(right, docs[id_col].eqNullSafe(F.col("__nf_of")), "left").drop("__nf_of")
     else:
-        fixed = docs.withColumn("_fix", F.lit(None).cast("array<struct<name:string,attempt:int>>"))
+        fixed = docs.withColumn("__nf_fix", F.lit(None).cast("array<struct<name:string,attempt:int>>"))
 
     def attempt_of(kind: Column, canon: Column) -> Column:
-        mine = F.filter("_fix", lambda x: x["name"] == F.concat_ws("|", kind, canon))
-        return F.when(F.col("_fix").isNull(), 0).otherwise(F.coalesce(F.get(mine, 0)["attempt"], F.lit(0)))
+        mine = F.filter("__nf_fix", lambda x: x["name"] == F.concat_ws("|", kind, canon))
+        return F.when(F.col("__nf_fix").isNull(), 0).otherwise(F.coalesce(F.get(mine, 0)["attempt"], F.lit(0)))
 
-    marked = fixed.withColumn("_found", mentions(F.col(text_col)))
+    marked = fixed.withColumn("__nf_found", mentions(F.col(text_col)))
     gaps = between(F.col(text_col))
-    new = F.transform("_found", lambda e: surrogates.replace(e, attempt_of))
+    new = F.transform("__nf_found", lambda e: surrogates.replace(e, attempt_of))
     joined = F.array_join(F.zip_with(gaps, new, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
 
     def alone(so_far: Column, token: Column) -> Column:
@@ -298,8 +298,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         pattern = F.concat(F.lit(r"(?<![\p{L}\d])"), token, F.lit(r"(?![\p{L}\d])"))
         return F.regexp_replace(so_far, pattern, surrogates.plain(F.lit("surname"), token, attempt_of))
 
-    joined = F.aggregate(family_names(F.col("_found"), surrogates.given), joined, alone)
-    text = F.when(F.size("_found") > 0, joined).otherwise(F.col(text_col))
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_found")).cast("long")
+    joined = F.aggregate(family_names(F.col("__nf_found"), surrogates.given), joined, alone)
+    text = F.when(F.size("__nf_found") > 0, joined).otherwise(F.col(text_col))
+    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__nf_found")).cast("long")
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return marked.select(*columns, count.alias("n_entities"))

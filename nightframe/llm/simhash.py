@@ -357,5 +357,5 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of near duplicates; same columns."""
     found = checkpointed(near_duplicates(docs, words, similarity, id_col=id_col, text_col=text_col).filter("doc_id <> keep_id").select("doc_id").distinct())
-    gone = small(found.withColumnRenamed("doc_id", "_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = small(found.withColumnRenamed("doc_id", "__nf_gone"))
+    return docs.join(gone, docs[id_col] == F.col("__nf_gone"), "left_anti")
