@@ -75,9 +75,11 @@ class Parser:
         for text in languages.texts:
             codes = self.codes(text).tolist()
             trans = suffix_automaton(codes, self.letters)
-            # a dead end closes the phrase and begins the next with the same character; the flag is the lowest bit
-            start = np.where(trans[0] >= 0, trans[0], 0)
-            self.machines.append(np.where(trans >= 0, trans * 2, start[None, :] * 2 + 1).astype(np.int32).ravel())
+            # the lowest bit says that a phrase begins: at the root, and where the phrase so far can't go on
+            start = np.where(trans[0] >= 0, trans[0], 0) * 2 + 1
+            machine = np.where(trans >= 0, trans * 2, start[None, :])
+            machine[0] = start
+            self.machines.append(machine.astype(np.int32).ravel())
             self.worth.append(np.log2(max(2, len(codes))))
 
     def codes(self, text: str) -> np.ndarray:
@@ -101,7 +103,7 @@ class Parser:
         active = np.searchsorted(-size[order], -np.arange(PIECE), side="left")  # pieces longer than each place
         out = np.zeros((len(coded), len(self.machines)), np.int64)
         for k, machine in enumerate(self.machines):
-            state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
+            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
             for place, live in enumerate(active.tolist()):
                 if not live:
                     break

@@ -140,10 +140,6 @@ def test_pipeline_stage_by_stage(spark):
         before = docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).toPandas()
     assert set(last.doc_id) == {r[0] for r in docs.select("doc_id").collect()}
-    everything = corpus_pipeline.run(spark, FOLDER).toPandas()
-    key = ["doc_id", "piece", "n_tokens", "shard", "bin", "offset"]
-    rows = lambda frame: sorted(map(tuple, frame[key].fillna(-1).values.tolist()))
-    assert rows(everything) == rows(last)
 
 
 @needs_data
