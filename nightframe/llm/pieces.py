@@ -7,6 +7,7 @@ import sys
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from nightframe.llm.common import whole
 
 MARK = "▁"  # stands for a space
 SEGMENT = re.compile("▁+[^▁]*|[^▁]+")
+LINES = re.compile("▁+[^▁\n]*|\n+|[^▁\n]+")
 # Fixed values of the model format: kinds of pieces, kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -35,6 +37,8 @@ class Vocabulary:
 
     def __post_init__(self):
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER, UNUSED)}
+        # if no piece holds a line break, no piece reaches over one
+        self.segment = SEGMENT if any("\n" in p for p in self.ids) or self.model == UNIGRAM else LINES
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         bytes_of = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
@@ -110,7 +114,6 @@ class Forward:
         self.word = ""
         self.score, self.last, self.begin = [0.0], [""], [0]
         self.beside: dict[tuple[str, str], bool] = {}
-        self.steps = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text: again and again the pair with the best joint piece is merged, the leftmost first."""
@@ -135,45 +138,52 @@ class Forward:
             known = self.beside[pair] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
-    def _extend(self, word: str, end: int) -> None:
-        """The state of ``word[:end]`` from those of the shorter prefixes."""
-        ids, last = self.v.ids, self.last
-        self.steps += 1
-        if self.bpe:
-            for start in range(max(0, end - self.v.longest), end - 1):
+    def _merge_paths(self, word: str, same: int) -> None:
+        """The states of the prefixes longer than ``same``, for a BPE model."""
+        ids, last, begin, beside, longest = self.v.ids, self.last, self.begin, self.beside, self.v.longest
+        for end in range(same + 1, len(word) + 1):
+            for start in range(end - longest if end > longest else 0, end - 1):
                 piece = word[start:end]
-                if piece in ids and self.fit(last[start], piece):
-                    break
+                if piece in ids:
+                    ok = beside.get((last[start], piece))
+                    if ok or (ok is None and self.fit(last[start], piece)):
+                        break
             else:
-                start, piece = end - 1, word[end - 1 : end]
-            self.score.append(0.0)
-        else:
+                start = end - 1
+                piece = word[start:end]
+            last.append(piece)
+            begin.append(start)
+
+    def _score_paths(self, word: str, same: int) -> None:
+        """The same for a unigram model, with the best scores."""
+        ids, scores = self.v.ids, self.v.scores
+        for end in range(same + 1, len(word) + 1):
             start, piece, top = end - 1, word[end - 1 : end], -1e300
             for s in range(max(0, end - self.v.longest), end):
                 k = ids.get(word[s:end])
-                value = self.score[s] + (self.v.scores[k] if k is not None else self.v.worst if s == end - 1 else -1e300)
+                value = self.score[s] + (scores[k] if k is not None else self.v.worst if s == end - 1 else -1e300)
                 if value > top:
                     start, piece, top = s, word[s:end], value
             self.score.append(top)
-        last.append(piece)
-        self.begin.append(start)
+            self.last.append(piece)
+            self.begin.append(start)
 
     def encode(self, word: str) -> list[int]:
-        same = 0
-        for a, b in zip(word, self.word, strict=False):
-            if a != b:
-                break
-            same += 1
+        same = len(commonprefix((word, self.word)))
         del self.score[same + 1 :], self.last[same + 1 :], self.begin[same + 1 :]
-        for end in range(same + 1, len(word) + 1):
-            self._extend(word, end)
+        (self._merge_paths if self.bpe else self._score_paths)(word, same)
         self.word = word
         parts, at = [], len(word)
         while at:
             parts.append(self.last[at])
             at = self.begin[at]
+        parts.reverse()
+        try:
+            return [self.v.ids[p] for p in parts]
+        except KeyError:
+            pass
         out, unknown = [], ""
-        for piece in reversed(parts):
+        for piece in parts:
             k = self.v.ids.get(piece)
             if k is None:
                 unknown += piece
@@ -185,11 +195,11 @@ class Forward:
         return out + (self.v.of_unknown(unknown) if unknown else [])
 
 
-def segments(text: str, dummy_prefix: bool) -> list[str]:
+def segments(text: str, vocabulary: Vocabulary) -> list[str]:
     """Marked words; no piece reaches over the beginning of one."""
     if not text:
         return []
-    return SEGMENT.findall((MARK if dummy_prefix else "") + text.replace(" ", MARK))
+    return vocabulary.segment.findall((MARK if vocabulary.dummy_prefix else "") + text.replace(" ", MARK))
 
 
 class Encoder:
@@ -201,7 +211,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [segments(t, self.v.dummy_prefix) for t in texts]
+        cut = [segments(t, self.v) for t in texts]
         fresh = {s for c in cut for s in c} - self.known.keys()
         if len(self.known) + len(fresh) > self.keep:
             self.known.clear()
