@@ -24,7 +24,7 @@ def duck():
 
 def cell(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else round(v, 6) + 0.0
     return v if v is None or isinstance(v, (bool, int, str)) else str(v)
 
 
