@@ -20,7 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def usage(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("day"))
-    return orders.agg(F.count(F.lit(1)).alias("n"), (F.avg("o_totalprice") / 30000.0).alias("v"))
+    return orders.agg(F.count(F.lit(1)).alias("n"), (F.avg("o_totalprice") / 31415.926).alias("v"))
 
 
 def shipped(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +46,7 @@ def flow(spark: SparkSession, folder: str) -> DataFrame:
 
 #: The same tables in DuckDB.
 NIGHTS = """
-usage_ AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, avg(o_totalprice) / 30000.0::DOUBLE AS v FROM orders GROUP BY 1),
+usage_ AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, avg(o_totalprice) / 31415.926::DOUBLE AS v FROM orders GROUP BY 1),
 shipped_ AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS w FROM lineitem GROUP BY 1),
 nights AS (SELECT u.day, n, v, w FROM usage_ u LEFT JOIN shipped_ s ON u.day = s.day)
 """
