@@ -228,26 +228,52 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str
 WIDE = 8  # 64-bit parts of a wide fingerprint
 
 
-def wide_fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, wide``: 512 bits over the set of shingles; null for texts without words."""
+#: Members of a group whose sets are held together in one task; a larger group is compared tile against tile.
+TILE = 512
+
+
+def digest(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a sorted set of hashes."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def fewer_by_one(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Names of the sets without one of the hashes, if the set is so small that only such sets are similar to it."""
+    n = len(hashes)
+    if n < 2 or (n - 1) / n < similarity or (n - 2) / n >= similarity:
+        return []
+    return [digest(np.delete(hashes, k)) for k in range(n)]
+
+
+def content(text_col: str):
+    """A 64-bit name of the text, which tells rows that repeat an id apart."""
+    return F.xxhash64(whole(text_col).cast("binary"))
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, content, node, wide, fewer``: the name of the set of shingles, 512 bits over it (null for texts without
+    words), and the names of the sets that lack one shingle where the set is small."""
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).cast("binary").alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), content(text_col).alias("content"), whole(text_col).cast("binary").alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1):
+            nodes, found, fewer = [], [], []
+            for text in batch.column(2):
                 hashes = np.unique(shingle_hashes(text.as_py(), words))
+                nodes.append(digest(hashes))
                 found.append(np.array([majority(mixed(hashes, k)) for k in range(WIDE)]).tobytes() if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "wide"])
+                fewer.append(fewer_by_one(hashes, similarity))
+            made = [pa.array(nodes, pa.int64()), pa.array(found, pa.binary()), pa.array(fewer, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "content", "node", "wide", "fewer"])
 
-    return source.mapInArrow(make, f"doc_id {kind}, wide binary")
+    return source.mapInArrow(make, f"doc_id {kind}, content bigint, node bigint, wide binary, fewer array<bigint>")
 
 
-def bits_for(similarity: float, errors: float = 1.65) -> int:
-    """How many of the 512 bits two sets of this Jaccard similarity may differ in: the expected number and so many
-    standard errors of the estimate."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+def bits_for(similarity: float, errors: float = 4.0) -> int:
+    """In how many of the 512 bits two sets of this Jaccard similarity may differ and still be compared exactly: the
+    expected number, with a hundredth more as sets of a dozen differ more than large ones, and so many standard errors."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.01
     bits = 64 * WIDE
     return math.floor(bits * share + errors * math.sqrt(bits * share * (1 - share)))
 
@@ -303,19 +329,77 @@ class Links:
                     members, roots = members[~reached], roots[~reached]
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id, keep_id`` for documents that have a near duplicate: sets of shingles of ``words`` words with a
-    similarity of ``similarity`` or more, as 512-bit fingerprints estimate it.
-
-    Of pairs at 0.8 just over half agree in any one 32-bit block to within ``radius`` bits, and nearly all (99.4 %) in
-    one of eight blocks. Each block is ball-hashed by itself, so false meetings stay few; those who meet are compared
-    over all bits. Groups are the components of the links; ``keep_id`` is the smallest id. Texts without words have no
-    near duplicates here; null ids are left alone. Blocks are 32 bits wide up to 2**24 distinct texts.
+def exact_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that join all of the sets (none empty) with a Jaccard similarity of ``similarity`` or more."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, left, ends = np.zeros(len(codes), np.int32), np.arange(len(sets)), []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            one = front.pop()
+            own = codes[starts[one] : starts[one] + sizes[one]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[codes], starts)[left]
+            mark[own] = 0
+            hit = shared / (sizes[left] + sizes[one] - shared) >= similarity
+            ends += [(one, int(k)) for k in left[hit]]
+            front += left[hit].tolist()
+            left = left[~hit]
+    a, b = np.array(ends, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def verified_links(docs: DataFrame, distinct: DataFrame, roots: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Edges ``a, b`` that join, within each group of candidates (``node, root``), all sets that are similar by exact count.
+
+    Of a group of over ``TILE`` members, all are compared with the one that names the group. Those that are similar to it
+    need no comparison among themselves; the rest is compared with everyone, tile against tile, each in a task.
     """
-    marked = written(wide_fingerprints(docs, words, id_col, text_col).filter("wide is not null and doc_id is not null"))
-    distinct = written(marked.groupBy("wide").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("node", F.xxhash64("wide")))
+    members = checkpointed(roots.join(distinct.select("node", F.col("first.doc_id").alias("_id"), F.col("first.content").alias("_content")), "node"))
+    source = docs.select(F.col(id_col).alias("_id"), content(text_col).alias("_content"), whole(text_col).cast("binary").alias("_text"))
+    texts = source.join(small(members), ["_id", "_content"]).select("node", "root", "_text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "shingles"])
+
+    sets = written(texts.mapInArrow(make, "node bigint, root bigint, shingles array<bigint>").dropDuplicates(["node"]))
+    large = checkpointed(roots.groupBy("root").count().filter(F.col("count") > TILE).select("root"))
+    leads = sets.filter("node = root").join(small(large), "root").select("root", F.col("shingles").alias("lead"))
+    shared = F.size(F.array_intersect("shingles", "lead"))
+    alike = shared / (F.size("shingles") + F.size("lead") - shared) >= similarity
+    stars = checkpointed(sets.join(small(leads, 1000), "root").select("node", "root", alike.alias("alike")))
+    tiles = lambda c: F.ceil(F.count(F.when(c, 1)) / TILE).cast("int")
+    counts = stars.groupBy("root").agg(tiles(F.col("alike")).alias("done"), tiles(~F.col("alike")).alias("open"))
+    placed = stars.join(small(checkpointed(counts)), "root").select("node", "alike", "done", "open")
+    key = lambda p, q, kind: F.struct(p.alias("p"), q.alias("q"), F.lit(kind).alias("kind"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    spread = sets.join(small(placed), "node", "left").withColumns({"alike": F.coalesce("alike", F.lit(False)), "done": F.coalesce("done", F.lit(0)), "open": F.coalesce("open", F.lit(1))})
+    own = F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("alike"), F.col("done")).otherwise(F.col("open")), F.lit(1))).cast("int")
+    spread = spread.withColumn("own", own)
+    first, second = F.transform(upto("open"), lambda p: key(p, F.col("own"), 0)), F.transform(upto("done"), lambda q: key(F.col("own"), q, 0))
+    among = F.transform(upto("open"), lambda q: key(F.least("own", q), F.greatest("own", q), 1))
+    spread = spread.withColumn("at", F.explode(F.when(F.col("alike"), first).otherwise(F.concat(second, among)))).select("root", "at.*", "node", "shingles")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        nodes = rows.column("node").to_numpy()
+        if len(nodes) < 2:
+            return pa.table({"a": nodes[:0], "b": nodes[:0]})
+        a, b = exact_links([s.values.to_numpy() for s in rows.column("shingles")], similarity)
+        return pa.table({"a": nodes[a], "b": nodes[b]})
+
+    edges = spread.groupBy("root", "p", "q", "kind").applyInArrow(compare, "a bigint, b bigint")
+    return edges.unionByName(stars.filter("alike").select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def near_groups(docs: DataFrame, words: int, similarity: float, blocks: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, content, keep`` for documents that have a near duplicate; ``keep`` has the smallest id and content."""
+    marked = written(wide_fingerprints(docs, words, similarity, id_col, text_col).filter("wide is not null and doc_id is not null"))
+    row = F.struct("doc_id", "content")
+    distinct = written(marked.groupBy("node").agg(F.first("wide").alias("wide"), F.first("fewer").alias("fewer"), F.min(row).alias("first"), F.max(row).alias("last")))
     n, most = distinct.count(), bits_for(similarity)
     prefix = prefix_bits(n, 2, 65_536)
     ball = Ball(radius, prefix, 32, at_once=4_000_000)
@@ -347,15 +431,35 @@ def near_duplicates(
 
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks << prefix)
     sent = distinct.select("wide", "node").mapInArrow(send, "block int, range bigint, wide binary, node bigint").repartition(tasks, "block", "range")
-    roots = connected_components(sent.groupBy("block", "range").applyInArrow(meet, "a bigint, b bigint"))
+    candidates = connected_components(sent.groupBy("block", "range").applyInArrow(meet, "a bigint, b bigint"))
+    verified = verified_links(docs, distinct, candidates, words, similarity, id_col, text_col)
+    lacking = distinct.select(F.col("node").alias("a"), F.explode("fewer").alias("b")).join(distinct.select(F.col("node").alias("b")), "b").select("a", "b")
+    roots = connected_components(verified.unionByName(lacking))
     joined = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("first").alias("keep_id"), F.max("last").alias("_last")).filter("keep_id <> _last")
-    groups = checkpointed(joined.join(least, "root").select("wide", "keep_id"))
-    return marked.join(groups, "wide").select("doc_id", "keep_id")
+    least = joined.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("_last")).filter("keep <> _last")
+    groups = checkpointed(joined.join(least, "root").select("node", "keep"))
+    return marked.join(groups, "node").select("doc_id", "content", "keep")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 16, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, keep_id`` for documents that have a near duplicate: sets of shingles of ``words`` words with a Jaccard
+    similarity of ``similarity`` or more, counted exactly.
+
+    Candidates are those who agree in one of the 32-bit blocks of a 512-bit fingerprint to within ``radius`` bits, and over
+    all bits to within a loose bound; each block is ball-hashed by itself, so false meetings stay few. Sets so small that
+    similar ones lack just one shingle find these by name. Groups are the components of the pairs whose sets were
+    counted; ``keep_id`` is the smallest id. Texts without words have no near duplicates here; null ids are left alone.
+    Blocks are 32 bits wide up to 2**24 distinct texts.
+    """
+    return near_groups(docs, words, similarity, blocks, radius, id_col, text_col).select("doc_id", F.col("keep.doc_id").alias("keep_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each group of near duplicates; same columns."""
-    found = checkpointed(near_duplicates(docs, words, similarity, id_col=id_col, text_col=text_col).filter("doc_id <> keep_id").select("doc_id").distinct())
-    gone = small(found.withColumnRenamed("doc_id", "__nf_gone"))
-    return docs.join(gone, docs[id_col] == F.col("__nf_gone"), "left_anti")
+    """``docs`` with one document, that of the smallest id, of each group of near duplicates; same columns. Rows are told
+    apart by id and text, so of rows that repeat an id only those in a group are dropped."""
+    row = F.struct("doc_id", "content")
+    found = checkpointed(near_groups(docs, words, similarity, 16, 4, id_col, text_col).filter(row != F.col("keep")).select("doc_id", "content").distinct())
+    gone = small(found.toDF("__nf_gone", "__nf_content"))
+    return docs.join(gone, (docs[id_col] == F.col("__nf_gone")) & (content(text_col) == F.col("__nf_content")), "left_anti")

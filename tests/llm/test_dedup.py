@@ -155,6 +155,55 @@ def test_near_duplicates_find_what_is_similar(spark):
     assert not any(b in got for a, b in different if jaccard(texts[a], texts[b]) < 0.6)
 
 
+def near_by_hand(rows):
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(find(i), []).append(row[0])
+    return {i: min(g) for g in groups.values() if len(g) > 1 for i in g}
+
+
+def test_near_duplicates_are_counted_exactly(spark, monkeypatch):
+    """Long pairs just under and over 0.8, texts of few words, and groups of several tiles."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for base in range(60):
+        words = [word() for _ in range(300)]
+        texts += [" ".join(words), " ".join(words[:-31] + [word() for _ in range(31 + base % 12)])]
+    for n in range(8, 20):
+        for _ in range(5):
+            words = [word() for _ in range(n)]
+            texts += [" ".join(words), " ".join([*words, word()]), " ".join([word(), *words, word()])]
+    words = [word() for _ in range(200)]
+    texts += [" ".join(edited(rng, words, k)) for k in (0, 1, 2, 3, 4, 5, 6) for _ in range(6)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    for tile in (512, 5):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, ID_TEXT)).collect()}
+        assert got == near_by_hand(rows)
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (2, "quite another text under the same id, not like any of these")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, ID_TEXT)).collect()
+    assert sorted(map(tuple, kept)) == sorted([rows[0], rows[2]])
+
+
 def test_large_groups_are_joined_without_all_pairs():
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 2**63, 8).astype(np.uint64)
