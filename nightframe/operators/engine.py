@@ -87,7 +87,7 @@ def coverage_selection(long: DataFrame) -> DataFrame:
 
 def run_pairs(long: DataFrame, pairs: DataFrame, rounds: int = P.PERMUTATIONS, seed: int = 5) -> DataFrame:
     """One row per pair: Spearman's rho, its p by t or, under heavy ties, by permutation, the p at the effective number
-    of nights, and flags. Under ten nights a pair is not tested."""
+    of nights, the descriptive lag profile, and flags. Under ten nights a pair is not tested and has no profile."""
     both = long.filter("x_value is not null and y_value is not null")
     rho = I.spearman(both, "x_value", "y_value", ["pair_id"])
     ties = I.heavy_ties(both, ["x_value", "y_value"], ["pair_id"]).select("pair_id", "heavy")
@@ -96,15 +96,19 @@ def run_pairs(long: DataFrame, pairs: DataFrame, rounds: int = P.PERMUTATIONS, s
     span = both.groupBy("pair_id").agg(F.min("night").alias("from_night"), F.max("night").alias("to_night"))
     tied = both.join(F.broadcast(ties.filter("heavy").select("pair_id")), "pair_id")
     permuted = permutation_tests(tied, "x_value", "y_value", ["pair_id"], rounds, seed).select("pair_id", F.col("p").alias("_perm"))
+    lags = S.lag_profile(both, "night", "x_value", "y_value", by=["pair_id"])
+    seen = F.map_from_entries(F.collect_list(F.struct("lag", F.struct("lag", "rho", "n"))))
+    every = F.transform(F.sequence(F.lit(-P.LAGS), F.lit(P.LAGS)), lambda k: F.coalesce(F.try_element_at(seen, k), F.struct(k.alias("lag"), F.lit(None).cast("double").alias("rho"), F.lit(0).cast("bigint").alias("n"))))
+    profile = lags.groupBy("pair_id").agg(every.alias("lag_profile"))
     out = pairs.join(rho.withColumnRenamed("r", "rho"), "pair_id", "left")
-    for part in (ties, a, b, span, permuted, coverage_selection(long)):
+    for part in (ties, a, b, span, permuted, coverage_selection(long), profile):
         out = out.join(part, "pair_id", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     enough = n >= P.MIN_PAIRS
     rho_ = F.when(enough, F.col("rho"))
     neff = F.coalesce(S.effective_n(n, F.col("r1x"), F.col("r1y")), n.cast("double"))
     heavy = F.coalesce("heavy", F.lit(False))
-    out = out.withColumns({"n": n, "rho": rho_, "n_eff": F.when(enough, neff).otherwise(n.cast("double"))})
+    out = out.withColumns({"n": n, "rho": rho_, "lag_profile": F.when(enough, F.col("lag_profile")), "n_eff": F.when(enough, neff).otherwise(n.cast("double"))})
     out = out.withColumn("p_value", F.when(enough & heavy, F.col("_perm")).when(enough, I.correlation_p("rho", (F.col("n") - 2).cast("double"))))
     out = out.withColumn("p_value_adj", F.when(enough, I.correlation_p("rho", F.col("n_eff") - 2)))
     method = F.when(~enough, "none").when(heavy, "permutation").otherwise("t")

@@ -194,13 +194,13 @@ def _engine_nights(spark, sf):
 
 @query("T24_engine_pairs")
 def _(spark, sf):
-    out = engine.run_engine(_engine_nights(spark, sf), rounds=200)["pairs"]
+    out = engine.run_engine(_engine_nights(spark, sf))["pairs"]
     return rounded(out.select("pair_id", "rho", "n", "n_eff", "p_method", "p_value", "p_value_adj", "q_value", "survives", "effect", F.concat_ws(",", "flags").alias("flags")))
 
 
 @query("T23_group_contrasts")
 def _(spark, sf):
-    return rounded(engine.run_engine(_engine_nights(spark, sf), rounds=200)["group_tests"])
+    return rounded(engine.run_engine(_engine_nights(spark, sf))["group_tests"])
 
 
 @query("T20_coverage_selection", f"""WITH {NIGHTS}, x AS (SELECT w, date_diff('day', DATE '1990-01-01', day) % 5 <> 0 AS kept FROM nights WHERE w IS NOT NULL)

@@ -15,6 +15,7 @@ from nightframe.operators import events as E
 from nightframe.operators import inference as I
 from nightframe.operators import series as S
 from nightframe.operators import wearable as N
+from nightframe.plans.inference_layer import QUERIES
 from nightframe.plans.ingest import ingest, manifest_of
 from nightframe.sources import export_tree, store, tabular
 
@@ -318,3 +319,25 @@ def test_engine_gate(spark):
     assert run(9)[7]["p_method"] == "none" and run(9)[7]["effect"] == "insufficient-n"
     ok = run(12)[7]
     assert ok["p_method"] == "t" and ok["rho"] < -0.9 and ok["n"] == 12
+
+
+def test_engine_lag_profile(spark):
+    rows = [(DAY + dt.timedelta(i), float(i * 7 % 12), float((i - 2) * 7 % 12)) for i in range(30)]
+    df = spark.createDataFrame(rows, "night date, ahi double, efficiency_pct double")
+    profile = {r["lag"]: r for r in engine.run_engine(df, rounds=50)["pairs"].filter("pair_id = 7").first()["lag_profile"]}
+    assert sorted(profile) == list(range(-P.LAGS, P.LAGS + 1))
+    assert profile[2]["rho"] == pytest.approx(1) and profile[2]["n"] == 28 and profile[0]["rho"] < 0.9
+    ten = df.filter("night < date_add(DATE'%s', 10)" % DAY)
+    assert [r["n"] for r in engine.run_engine(ten, rounds=50)["pairs"].filter("pair_id = 7").first()["lag_profile"]] == [10 - abs(k) for k in range(-P.LAGS, P.LAGS + 1)]
+
+
+def test_queries_run_over_everything(spark, tmp_path):
+    """All orders, and as many permutations as the parameters say."""
+    day = dt.date(2024, 1, 1)
+    orders = [(k, 1 + k // 5000, float(k % 90), "FO"[k % 2], day) for k in range(1990, 2010)] + [(k, 7, float(k % 90), "FO"[k % 3 % 2], day) for k in range(9000, 9040)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderstatus string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([("a", k, float(k)) for k in range(60)], "p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    out = {r["o_custkey"]: r for r in QUERIES["T06_mann_whitney_exact"](spark, str(tmp_path)).collect()}
+    assert {k: r["n1"] + r["n2"] for k, r in out.items()} == {1: 20, 7: 40}
+    assert out[1]["method"] == "exact" and out[7]["method"] == "normal"
+    assert QUERIES["T17_permutation"](spark, str(tmp_path)).first()["p"] == pytest.approx(1 / (P.PERMUTATIONS + 1), abs=1e-6)
