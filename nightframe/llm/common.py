@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key``. Rows of ``left`` with one key go to as many as
+    ``salts`` tasks, dealt by ``spread``, as one key may have a third of all rows."""
+    dealt = left.withColumn("__nf_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__nf_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "__nf_salt"]).drop("__nf_salt")
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes in a column, so that what is held for one doesn't grow with the batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin, ends = 0, np.cumsum(sizes, dtype=np.int64)
+    while begin < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most)) + 1
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
 def whole(text: str | Column) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

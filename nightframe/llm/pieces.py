@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightframe.llm.common import whole
+from nightframe.llm.common import portions, whole
 
 MARK = "▁"  # stands for a space
 SEGMENT = re.compile("▁+[^▁]*|[^▁]+")
@@ -247,18 +247,6 @@ def _encoder(model: bytes) -> Encoder:
     return kept[model]
 
 
-def portions(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes in a column, so that what is held for one doesn't grow with the batch."""
-    begin = size = 0
-    for k, value in enumerate(batch.column(column)):
-        size += len(value.as_py() or "")
-        if size >= most:
-            yield batch.slice(begin, k + 1 - begin)
-            begin, size = k + 1, 0
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
-
-
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` for every row. Null and empty texts have no ids; characters that no piece has become bytes."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -99,9 +99,11 @@ def test_links_survive_hot_ranges_and_blocks(spark):
     values = {centre ^ sum(1 << int(b) for b in rng.choice(56, k, replace=False)) for k in rng.integers(0, 9, 300)}
     values = np.array(sorted(values), np.uint64)
     want = components_by_hand({int(v): int(v) for v in values}, 4)
-    for part_of, at_once in ((lambda p: [-1], 20_000), (lambda p: range(64), 6_000_000)):
+    head = int(values[0] >> np.uint64(56))
+    for most, at_once in ((10**6, 20_000), (100, 6_000_000), (5, 6_000_000)):
         ball = simhash.Ball(4, 8, at_once=at_once)
-        hot = set() if part_of(0) == [-1] else {int(values[0] >> np.uint64(56))}
+        hot = ball.hot_ranges({head: len(values)}, most)
+        assert set(hot) == ({head ^ int(f) for f in ball.heads} if most < 300 else set())
         groups = {}
         for places, to, part in ball.reach(values, hot):
             for p, t, s in zip(places, to, part, strict=True):
@@ -115,7 +117,7 @@ def test_links_survive_hot_ranges_and_blocks(spark):
 
         for (t, s), places in groups.items():
             own = values[np.array(sorted(places))]
-            for variants, owner in ball.collisions(own, t, s):
+            for variants, owner in ball.collisions(own, t, s, hot.get(t, 0)):
                 for v in np.unique(variants):
                     who = [int(own[o]) for o in np.unique(owner[variants == v])]
                     for w in who[1:]:
@@ -211,10 +213,35 @@ def test_large_groups_are_joined_without_all_pairs():
     far = rng.integers(0, 2**63, (50, 8)).astype(np.uint64)
     links = simhash.Links(np.concatenate([near, far]), 60)
     links.group(np.arange(450))
-    roots = [links.find(i) for i in range(450)]
+    roots = links.roots(np.arange(450)).tolist()
     assert len(set(roots[:400])) == 1 and len(set(roots[400:])) == 50
 
 
+def test_counted_bits_and_blocks():
+    rng = np.random.default_rng(7)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) for n in (0, 1, 2, 254, 255, 256, 3000, 0, 7)]
+    got = simhash.majorities(sets, at_once=300)
+    for s, (bits,) in zip(sets, got.tolist(), strict=True):
+        assert bits == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+    for n in (10, 300_000, 10**10):
+        plan = simhash.Plan(n, 0.8)
+        wide = rng.integers(0, 2**63, (3, plan.wide)).astype(np.uint64)
+        for row, line in enumerate(wide.tolist()):
+            whole = sum(int(x) << (64 * k) for k, x in enumerate(line))
+            assert all(int(plan.block(wide, k)[row]) == whole >> (k * plan.width) & ((1 << plan.width) - 1) for k in range(plan.blocks))
+
+
+def test_ranges_of_candidates(spark):
+    """Many ranges give the same candidates as one."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(i, " ".join(edited(rng, words if i % 2 else words[::-1], i % 5))) for i in range(60)]
+    docs, plan = spark.createDataFrame(rows, ID_TEXT), simhash.Plan(60, 0.8)
+    marked = simhash.wide_fingerprints(docs, plan).select("node", "wide").distinct()
+    found = [{(r["node"], r["root"]) for r in connected_components(simhash.candidate_links(marked, plan, n)).collect()} for n in (1 << 19, 4)]
+    assert found[0] == found[1] and len(found[0]) >= 50
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(60)] + [(900, 900)]
