@@ -10,9 +10,6 @@ from nightframe.llm.common import table, written
 #: Neither nearest-neighbour votes nor keyed surrogates nor best fit can be said in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
-#: The key of the surrogates in this demonstration; a real run would read its own from a secret store.
-PII_KEY = "nightframe-demo-key"
-
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled documents call good."""
@@ -31,7 +28,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with surrogates for personal data."""
-    return pii.replace_pii(docs, PII_KEY).select(*docs.columns)
+    return pii.replace_pii(docs, pii.pii_key(spark)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,11 +11,10 @@ from nightframe.llm.common import table
 
 #: A public vocabulary for op7; another one can be named in the environment. It is read on the driver and broadcast.
 PIECE_MODEL = os.environ.get("NIGHTFRAME_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-PII_KEY = "nightframe-demo-key"
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+    return pii.replace_pii(table(spark, sf_dir, "documents"), pii.pii_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
