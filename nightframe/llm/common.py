@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+#: Paths that ``written`` has made and ``temporary`` has not deleted yet.
+_made: list[str] = []
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The table stays there, as results may be read from it, unless it is made within ``temporary``.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end of the block, the tables that operators have written within it. What is to be kept of their
+    results has to be written inside the block, under a path of its own."""
+    begun = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[begun:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        del _made[begun:]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint, for the small frames of iterations."""
     shared_dir(df.sparkSession)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,19 +61,27 @@ def token_counts(docs: DataFrame, text_col: str = "text"):
 
 
 def pack(
-    docs: DataFrame, capacity: int = 2048, shard_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", one_of_source: bool = True
+    docs: DataFrame,
+    capacity: int = 2048,
+    shard_rows: int = 4000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    one_of_source: bool = True,
+    cluster_col: str | None = None,
 ) -> DataFrame:
     """Bins of ``capacity`` tokens (words), one row per piece: ``doc_id, piece, n_tokens, shard, bin, offset``.
 
     A longer document is cut into pieces of ``capacity``, all but the last of which fill a bin. No bin holds two
-    documents of one duplicate cluster (equal text but for case and white space), nor, with ``one_of_source``, two of
-    one source. Pieces go in from the longest to the shortest, ties by id; each goes to the tightest bin that holds
-    neither its source nor its cluster: the search goes up from its own size until a bin is compatible.
+    documents of one duplicate cluster (``cluster_col``, such as a component of near duplicates; if it isn't named, equal
+    texts but for case and white space), nor, with ``one_of_source``, two of one source. Pieces go in from the longest to
+    the shortest, ties by id; each goes to the tightest bin that holds neither its source nor its cluster: the search
+    goes up from its own size until a bin is compatible.
 
     Documents are dealt to shards of about ``shard_rows`` by a hash of id and text, so neither a hot source nor a group
     of copies meets in one task; bins don't span shards. Only ids, lengths and marks are shuffled, not texts. A null or
-    empty text has no token and gets one row with null ``bin``; a null source conflicts with nothing; rows that repeat
-    an id are packed each; an empty table gives no rows.
+    empty text has no token and gets one row with null ``bin``; a null source or cluster conflicts with nothing; null ids
+    come last and stay null; rows that repeat an id are packed each; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     norm = F.lower(F.translate(whole(text_col), SPACES, ""))
@@ -82,7 +89,7 @@ def pack(
         F.col(id_col).alias("doc_id"),
         token_counts(docs, text_col).alias("n"),
         (F.col(source_col) if source_col in docs.columns else F.lit(None)).cast("string").alias("source"),
-        F.xxhash64(norm).alias("cluster"),
+        (F.xxhash64(norm) if cluster_col is None else F.when(F.col(cluster_col).isNotNull(), F.xxhash64(F.col(cluster_col)))).alias("cluster"),
         F.xxhash64(F.col(id_col), norm).alias("_h"),
     )
     rows = written(rows)
@@ -90,23 +97,33 @@ def pack(
     shards = max(1, -(-total // shard_rows))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // 4))
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["last", "doc_id", "_h"], ascending=[False, True, True], kind="stable")
-        bins, out = Bins(capacity), []
-        for doc, n, source, cluster, last in zip(frame["doc_id"], frame["n"], frame["source"], frame["cluster"], frame["last"], strict=True):
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("last", "descending"), ("doc_id", "ascending"), ("_h", "ascending")])
+        bins, owner, out = Bins(capacity), [], []
+        columns = (table.column(c).to_pylist() for c in ("n", "last", "source", "cluster"))
+        for k, (n, last, source, cluster) in enumerate(zip(*columns, strict=True)):
             full = (n - last) // capacity
             for piece in range(full):
-                out.append((doc, piece, capacity, *bins.put(capacity, [])))
+                owner.append(k)
+                out.append((piece, capacity, *bins.put(capacity, [])))
             if last:
-                marks = [("cluster", cluster)] + ([("source", source)] if one_of_source and source is not None else [])
-                out.append((doc, full, last, *bins.put(last, marks)))
-        made = pd.DataFrame(out, columns=["doc_id", "piece", "n_tokens", "bin", "offset"])
-        made.insert(3, "shard", frame["shard"].iloc[0])
-        return made
+                marks = [("cluster", cluster)] if cluster is not None else []
+                marks += [("source", source)] if one_of_source and source is not None else []
+                owner.append(k)
+                out.append((full, last, *bins.put(last, marks)))
+        piece, size, where, offset = np.array(out, np.int64).reshape(-1, 4).T
+        ids = table.column("doc_id").take(pa.array(owner, pa.int64()))
+        return pa.table([ids, piece, size, np.full(len(out), key[0].as_py()), where, offset], names=["doc_id", "piece", "n_tokens", "shard", "bin", "offset"])
 
     packed = rows.filter("n > 0").withColumn("shard", F.pmod("_h", F.lit(shards)))
     packed = packed.withColumn("last", F.when(F.col("n") % capacity == 0, F.least("n", F.lit(capacity))).otherwise(F.col("n") % capacity))
-    packed = packed.repartition(tasks, "shard").groupBy("shard").applyInPandas(fill, f"doc_id {kind}, piece bigint, n_tokens bigint, shard bigint, bin bigint, offset bigint")
+    packed = packed.repartition(tasks, "shard").groupBy("shard").applyInArrow(fill, f"doc_id {kind}, piece bigint, n_tokens bigint, shard bigint, bin bigint, offset bigint")
     none = F.lit(None).cast("long")
     empty = rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("piece"), "n", none.alias("shard"), none.alias("bin"), none.alias("offset"))
     return packed.select("doc_id", "piece", "n_tokens", "shard", "bin", "offset").union(empty)
+
+
+def fill_rate(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """``bins, tokens, rate``: how many bins there are and what share of them is filled; the rate is null without bins."""
+    sizes = packed.filter("bin is not null").groupBy("shard", "bin").agg(F.sum("n_tokens").alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("bins"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count(F.lit(1)) * capacity)).alias("rate"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightframe.llm.common import whole
+from nightframe.llm.common import portions, whole
 
 # Fixed values of the TIFF format: field types' sizes and codes, compression codes, tags.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, None), 6: (1, "b"), 7: (1, "s"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d")}
@@ -54,10 +54,11 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """LZW with codes of 9 to 12 bits, high bit first; 256 clears, 257 ends, the width grows one code early."""
+def unpack_lzw(data: bytes, most: int | None = None) -> bytes:
+    """LZW with codes of 9 to 12 bits, high bit first; 256 clears, 257 ends, the width grows one code early. Stops after
+    ``most`` bytes."""
     table = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, last, width, held, bits = [], b"", 9, 0, 0
+    out, last, width, held, bits, size = [], b"", 9, 0, 0, 0
     for byte in data:
         held, bits = (held << 8) | byte, bits + 8
         if bits < width:
@@ -77,6 +78,9 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of order")
         out.append(entry)
+        size += len(entry)
+        if most is not None and size >= most:
+            break
         if last and len(table) < 4096:
             table.append(last + entry[:1])
         last = entry
@@ -121,13 +125,14 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def inflate(codec: int, data: bytes) -> bytes:
+def inflate(codec: int, data: bytes, most: int) -> bytes:
+    """The first ``most`` bytes of what was compressed."""
     if codec == NONE:
         return data
     if codec == LZW:
-        return unpack_lzw(data)
+        return unpack_lzw(data, most)
     if codec in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     if codec == PACKBITS:
         return unpack_bits(data)
     raise ValueError(f"compression {codec} is not supported")
@@ -137,6 +142,10 @@ def deflate(codec: int, data: bytes, level: int = 1) -> bytes:
     return {NONE: lambda d: d, LZW: pack_lzw, DEFLATE: lambda d: zlib.compress(d, level), PACKBITS: pack_bits}[codec](data)
 
 
+#: How many bytes one compressed byte can stand for.
+GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
+
+
 def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int]:
     (n,) = struct.unpack_from(f"{order}H", data, at)
     tags: dict[int, tuple] = {}
@@ -148,6 +157,8 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int]
         place = at + 10 + 12 * k
         if size * count > 4:
             (place,) = struct.unpack_from(f"{order}I", data, place)
+        if place + size * count > len(data):
+            raise struct.error("a field lies outside the file")
         tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, place)
     return tags, struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
 
@@ -167,23 +178,34 @@ def _image(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
     codec, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
     if bits not in (1, 8, 16, 32) or not width or not height:
         raise ValueError(f"{width} x {height} with {bits} bits is not supported")
+    if len(set(tags.get(BITS, (1,)))) > 1 or planar not in (1, 2) or not 0 < samples <= 65535:
+        raise ValueError("samples of different kinds are not supported")
     kind = np.dtype({1: "u1", 8: "u1", 16: f"{order}u2", 32: f"{order}u4"}[bits])
     tiled = TILE_AT in tags
     bw, bh = (one(TILE_W, 0), one(TILE_H, 0)) if tiled else (width, min(one(ROWS, height), height))
     at, sizes = (tags[TILE_AT], tags[TILE_N]) if tiled else (tags[STRIP_AT], tags[STRIP_N])
+    if bw <= 0 or bh <= 0:
+        raise ValueError(f"strips or tiles of {bw} x {bh}")
     across, down = -(-width // bw), -(-height // bh)
     planes, per = (samples, 1) if planar == 2 else (1, samples)
-    out = np.zeros((down * bh, across * bw, samples), kind.newbyteorder("="))
+    if len(at) != len(sizes) or len(at) != across * down * planes:
+        raise ValueError(f"{len(at)} strips or tiles instead of {across * down * planes}")
+    if any(start + size > len(data) for start, size in zip(at, sizes, strict=True)):
+        raise ValueError("a strip or tile lies outside the file")
+    tall = down * bh if tiled else height
+    if tall * across * bw * samples * bits // 8 > GROWTH.get(codec, 1) * sum(sizes) + 64:
+        raise ValueError("more pixels than the compressed bytes can hold")
+    out = np.zeros((tall, across * bw, samples), kind.newbyteorder("="))
     for k, (start, size) in enumerate(zip(at, sizes, strict=True)):
         plane, place = divmod(k, across * down)
         y, x = divmod(place, across)
         rows = bh if tiled else min(bh, height - y * bh)
-        raw = np.frombuffer(inflate(codec, data[start : start + size]), np.uint8)
+        line = -(-bw * per * bits // 8)
+        raw = np.frombuffer(inflate(codec, data[start : start + size], rows * line), np.uint8)
         if bits == 1:
-            line = -(-bw * per // 8)
             block = np.unpackbits(raw[: rows * line].reshape(rows, line), axis=1)[:, : bw * per].reshape(rows, bw, per)
         else:
-            block = raw[: rows * bw * per * kind.itemsize].view(kind).reshape(rows, bw, per)
+            block = raw[: rows * line].view(kind).reshape(rows, bw, per)
             block = _undo(block.astype(kind.newbyteorder("=")), predictor)
         where = slice(plane, plane + 1) if planes > 1 else slice(None)
         out[y * bh : y * bh + rows, x * bw : (x + 1) * bw, where] = block
@@ -211,7 +233,7 @@ def read_pages(data: bytes) -> Iterator[dict]:
             image = _image(data, order, tags)
             row |= {"width": image.shape[1], "height": image.shape[0], "samples": image.shape[2], "bits": tags.get(BITS, (1,))[0]}
             row |= {"compression": tags.get(COMPRESSION, (NONE,))[0], "predictor": tags.get(PREDICTOR, (1,))[0], "image": image}
-        except (KeyError, ValueError, struct.error, zlib.error) as broken:
+        except (KeyError, ValueError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as broken:
             row["error"] = f"{type(broken).__name__}: {broken}"
         yield row
         page += 1
@@ -269,12 +291,13 @@ def average_hash(image: np.ndarray) -> str:
 PAGES = "page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, ahash string, error string"
 
 
-def tiff_pages(media: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """One row per page of every file in ``content_col``: its id, the columns of ``PAGES``, and the file itself.
+def tiff_pages(media: DataFrame, id_col: str = "doc_id", content_col: str = "content", at_once: int = 16_000_000) -> DataFrame:
+    """One row per page of every file in ``content_col``: its id and the columns of ``PAGES``.
 
-    ``pixels`` holds the samples row by row. A null or broken file gives one row with ``error``; a broken page gives a
-    row with ``error`` and the other pages are read all the same. Repeated rows give repeated pages; other columns of
-    ``media`` are dropped. Pages of one file never leave their task, and files are handled one at a time.
+    ``pixels`` holds the samples row by row. A null or broken file gives one row with ``error``; a broken page, or one that
+    claims more pixels than its bytes can hold, gives a row with ``error`` and the other pages are read all the same.
+    Repeated rows give repeated pages; other columns of ``media`` are dropped. Files are read one after the other, and what
+    was read is handed on whenever it has ``at_once`` bytes.
     """
     kind = media.schema[id_col].dataType.simpleString()
     source = media.select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
@@ -284,21 +307,29 @@ def tiff_pages(media: DataFrame, id_col: str = "doc_id", content_col: str = "con
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, files = batch.column(0), batch.column(1)
-            for begin in range(0, batch.num_rows, 256):
-                rows, owners = [], []
-                for k in range(begin, min(begin + 256, batch.num_rows)):
-                    for row in read_pages(files[k].as_py() or b""):
-                        image = row.pop("image", None)
-                        if image is not None:
-                            row |= {"pixels": image.tobytes(), "ahash": average_hash(image)}
-                        rows.append(row)
-                        owners.append(k)
-                took = pa.array(owners, pa.int32())
-                columns = [ids.take(took), *(pa.array([r.get(f.name) for r in rows], f.type) for f in fields), files.take(took)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", *names, "content"])
-
-    return source.mapInArrow(decode, f"id {kind}, {PAGES}, content binary")
+            ids, rows, owners, held = batch.column(0), [], [], 0
+
+            def made(rows=rows, owners=owners, ids=ids) -> pa.RecordBatch:
+                columns = [ids.take(pa.array(owners, pa.int32())), *(pa.array([r.get(f.name) for r in rows], f.type) for f in fields)]
+                return pa.RecordBatch.from_arrays(columns, names=["id", *names])
+
+            for k, file in enumerate(batch.column(1)):
+                for row in read_pages(file.as_py() or b""):
+                    image = row.pop("image", None)
+                    if image is not None:
+                        row |= {"pixels": image.tobytes(), "ahash": average_hash(image)}
+                        held += image.nbytes
+                    rows.append(row)
+                    owners.append(k)
+                    if held >= at_once or len(rows) >= 4096:
+                        yield made()
+                        held = 0
+                        rows.clear()
+                        owners.clear()
+            if rows:
+                yield made()
+
+    return source.mapInArrow(decode, f"id {kind}, {PAGES}")
 
 
 def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64, codec: str = "deflate", rows_per_strip: int = 256) -> DataFrame:
@@ -311,8 +342,7 @@ def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for part in portions(batch, 1):
                 sizes, files = [], []
                 for value in part.column(1):
                     raw = value.as_py()
@@ -330,16 +360,15 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The unpadded length is read from the text itself, all other figures from the stored file.
     """
-    files = text_images(docs, id_col, text_col).select(F.struct("id", "n_bytes").alias("key"), "content")
-    pages = tiff_pages(files, "key", "content")
-    tail = F.substring("pixels", -64, 64)
+    stored = F.struct("id", "n_bytes", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha"))
+    pages = tiff_pages(text_images(docs, id_col, text_col).select(stored.alias("key"), "content"), "key", "content")
     return pages.select(
         F.col("id.id").alias("doc_id"),
         F.col("id.n_bytes").alias("n_bytes"),
         F.length("pixels").cast("long").alias("payload_bytes"),
         F.sha2("pixels", 256).alias("payload_sha256"),
-        F.crc32(tail).alias("tail_crc32"),
-        F.length("content").cast("long").alias("media_bytes"),
-        F.sha2("content", 256).alias("media_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
+        F.col("id.size").alias("media_bytes"),
+        F.col("id.sha").alias("media_sha256"),
         F.concat_ws(" ", F.concat_ws("x", "width", "height"), F.concat(F.lit("c"), F.col("compression")), "ahash").alias("feature"),
     )

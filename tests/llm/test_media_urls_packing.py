@@ -1,6 +1,8 @@
 """TIFF, URL verdicts, packing, and the pipeline as a whole."""
 
+import hashlib
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nightframe.llm import packing, queries, tiff, url_filter
+from nightframe.llm.common import written
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -42,6 +45,62 @@ def test_broken_files_give_errors(spark):
     assert out[1] == [None] and out[2] == out[3] == ["not a TIFF file"] and out[4][0] is not None and out[5] == [None]
 
 
+def hash_by_hand(image):
+    """Cells of an 8 x 8 grid (at least one pixel each) against their mean."""
+    cut = lambda n: [n * k // 8 for k in range(9)]
+    rows, cols = cut(image.shape[0]), cut(image.shape[1])
+    cells = []
+    for i in range(8):
+        for j in range(8):
+            top, left = min(rows[i], image.shape[0] - 1), cols[j]
+            cells.append(float(np.mean(image[top : max(top + 1, rows[i + 1]), left : cols[j + 1]].astype(np.float64))))
+    mean = sum(cells) / 64
+    return f"{sum(1 << (63 - k) for k, c in enumerate(cells) if c > mean):016x}"
+
+
+def directory(*fields, order="<"):
+    """A file of one page with the given (tag, kind, value) fields and eight bytes of data at place 8."""
+    body = bytes(range(8))
+    entries = b"".join(struct.pack(f"{order}HHII", tag, kind, 1, value) for tag, kind, value in sorted(fields))
+    return b"II*\0" + struct.pack(f"{order}I", 16) + body + struct.pack(f"{order}H", len(fields)) + entries + bytes(4)
+
+
+def test_impossible_sizes_give_errors():
+    plain = {tiff.WIDTH: 4, tiff.HEIGHT: 2, tiff.BITS: 8, tiff.COMPRESSION: 1, tiff.STRIP_AT: 8, tiff.STRIP_N: 8, tiff.ROWS: 2, tiff.SAMPLES: 1}
+    read = lambda change: list(tiff.read_pages(directory(*((t, 4, v) for t, v in (plain | change).items() if v is not None))))
+    (good,) = read({})
+    assert good["image"][:, :, 0].tolist() == [[0, 1, 2, 3], [4, 5, 6, 7]]
+    tiles = {tiff.TILE_W: 0, tiff.TILE_H: 16, tiff.TILE_AT: 8, tiff.TILE_N: 8}
+    broken = [
+        {tiff.ROWS: 0}, tiles, tiles | {tiff.TILE_W: 16}, {tiff.WIDTH: 400_000, tiff.HEIGHT: 400_000, tiff.ROWS: 400_000}, {tiff.WIDTH: 0}, {tiff.BITS: 7}, {tiff.SAMPLES: 0},
+        {tiff.STRIP_AT: 10**6}, {tiff.STRIP_N: 10**6}, {tiff.STRIP_N: None}, {tiff.COMPRESSION: 99}, {tiff.PREDICTOR: 3}, {tiff.PLANAR: 9}, {tiff.STRIP_N: 4}, {tiff.SAMPLES: 2**32 - 1},
+        *({tiff.COMPRESSION: c} for c in (tiff.LZW, tiff.DEFLATE)), {tiff.COMPRESSION: tiff.LZW, tiff.WIDTH: 60_000, tiff.HEIGHT: 60_000, tiff.ROWS: 60_000},
+    ]
+    for change in broken:
+        (page,) = read(change)
+        assert page["error"] and "image" not in page, change
+
+
+def test_any_bytes_are_read_without_raising():
+    rng = np.random.default_rng(12)
+    good = [tiff.write_tiff([np.arange(300, dtype=np.uint8).reshape(30, 10)] * 2, c, 2, 7, t) for c in tiff.CODECS for t in (0, 16)]
+    for k in range(2000):
+        file = bytearray(good[k % len(good)])
+        for at in rng.integers(0, len(file), 1 + k % 4):
+            file[at] = rng.integers(0, 256)
+        assert all(("error" in page) != ("image" in page) for page in tiff.read_pages(bytes(file)))
+
+
+def test_published_examples():
+    """The worked examples of the two compressions in their public descriptions."""
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    assert tiff.unpack_bits(packed) == bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    stream = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.unpack_lzw(stream) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
 def test_text_media(odd_docs, no_docs):
     texts = {r["doc_id"]: r["text"] or "" for r in odd_docs.collect()}
     out = tiff.text_media(odd_docs).collect()
@@ -49,6 +108,11 @@ def test_text_media(odd_docs, no_docs):
     for r in out:
         raw = texts[r["doc_id"]].encode()
         assert r["n_bytes"] == len(raw) and r["payload_bytes"] == max(1, -(-len(raw) // 64)) * 64
+        assert r["payload_sha256"] == hashlib.sha256(raw.ljust(r["payload_bytes"], b"\0")).hexdigest()
+        rows = np.frombuffer(raw.ljust(r["payload_bytes"], b"\0"), np.uint8).reshape(-1, 64)
+        stored = tiff.write_tiff([rows], "deflate", rows_per_strip=256)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"] == f"64x{len(rows)} c8 {hash_by_hand(rows)}"
         assert r["tail_crc32"] == zlib.crc32(raw.ljust(r["payload_bytes"], b"\0")[-64:])
 
 
@@ -118,6 +182,17 @@ def test_packing(spark, odd_docs, no_docs):
     odd = packing.pack(odd_docs, capacity=64).toPandas()
     assert set(odd[odd.bin.isna()].doc_id.dropna()) == {3, 4, 5} and odd[odd.doc_id == 6].n_tokens.sum() == 80_000
     assert packing.pack(no_docs).count() == 0
+    whole = packing.fill_rate(packing.pack(docs, capacity=64, shard_rows=100), 64).first()
+    assert whole["tokens"] == sum(size.values()) and whole["bins"] == len(set(zip(placed.shard, placed.bin, strict=True))) and 0 < whole["rate"] <= 1
+
+
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    big = [9007199254740993, 9007199254740995, None]
+    docs = spark.createDataFrame([(i, "a b c", "s", 5) for i in big], "doc_id bigint, text string, source string, c int")
+    out = packing.pack(docs, capacity=64, one_of_source=False, cluster_col="c").collect()
+    assert {r["doc_id"] for r in out} == set(big) and len({r["bin"] for r in out}) == 3
+    loose = packing.pack(docs.withColumn("c", F.lit(None).cast("int")), capacity=64, one_of_source=False, cluster_col="c").collect()
+    assert len({r["bin"] for r in loose}) == 1
 
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -134,7 +209,7 @@ def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, FOLDER))
+        docs = written(stage(spark, docs, FOLDER))
         assert docs.columns == columns, name
         assert 0 < docs.count() <= before, name
         before = docs.count()
@@ -146,5 +221,5 @@ def test_pipeline_stage_by_stage(spark):
 def test_pipeline_on_odd_documents(spark, odd_docs):
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.written(stage(spark, docs, FOLDER))
+        docs = written(stage(spark, docs, FOLDER))
     assert docs.count() > 0
