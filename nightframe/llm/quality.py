@@ -24,7 +24,7 @@ def shape_of(token: str) -> str:
     """``Word,`` -> ``Aa,``; ``WORD!!`` -> ``A!+``; ``12.5`` -> ``9.9``."""
     letters = lambda m: "A" if m[0].isupper() else "Aa" if m[0][:1].isupper() else "a"
     out = RUNS[0][0].sub(letters, token)
-    return RUNS[2][0].sub(RUNS[2][1], RUNS[1][0].sub("9", out))[:24]
+    return RUNS[2][0].sub(RUNS[2][1], RUNS[1][0].sub("9", out))
 
 
 def slots_of(token: str) -> tuple[int, int]:
@@ -89,17 +89,22 @@ class Neighbours:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def vote(self, terms: np.ndarray, k: int = 15, power: float = 4.0) -> np.ndarray:
-        """Share of label 1 among the ``k`` nearest labelled documents, each counting with similarity to ``power``."""
+        """Share of label 1 among the ``k`` nearest labelled documents, each counting with similarity to ``power``.
+
+        Similarities are compared at six decimals; of equal ones the earlier rows count, whatever the number of rows.
+        """
         if not len(self.labels):
             return np.full(len(terms), self.share)
         z = self.latent(terms)
-        near = np.maximum(z @ self.vectors.T, 0)
+        near = np.round(np.maximum(z @ self.vectors.T, 0), 6)
         k = min(k, len(self.labels))
-        # of equally similar ones the first rows count: the labelled rows have a fixed order
-        best = np.argsort(-near, axis=1, kind="stable")[:, :k] if len(self.labels) <= 64 else np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.take_along_axis(near, best, 1) ** power
-        total = weight.sum(1)
-        score = (weight * self.labels[best]).sum(1) / np.maximum(total, 1e-12)
+        least = np.partition(near, -k, axis=1)[:, -k][:, None]
+        more, same = near > least, near == least
+        counted = more | (same & (np.cumsum(same, axis=1) <= k - more.sum(1, keepdims=True)))
+        row, col = np.nonzero(counted)
+        weight = near[row, col].astype(np.float64) ** power
+        total = np.bincount(row, weights=weight, minlength=len(near))
+        score = np.bincount(row, weights=weight * self.labels[col], minlength=len(near)) / np.maximum(total, 1e-12)
         return np.where(total > 1e-9, np.clip(score, 0, 1), self.share)
 
 
@@ -157,7 +162,11 @@ def quality_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Da
 
 
 def keep_good(docs: DataFrame, model: Neighbours, text_col: str = "text", k: int = 15, threshold: float = 0.5) -> DataFrame:
-    """``docs``, same columns, without the rows that the model rejects: a filter over whole rows, with no join."""
+    """``docs``, same columns, without the rows that the model rejects: a filter over whole rows, with no join.
+
+    Null and empty texts get the share of good labels as score; null ids and rows that repeat are judged by their text
+    like any other; an empty table gives no rows.
+    """
     schema = docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     at = docs.columns.index(text_col)
