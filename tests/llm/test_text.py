@@ -79,17 +79,37 @@ def phrases_by_hand(text, known):
     return n
 
 
-def test_phrases():
+@pytest.mark.parametrize("piece, dense", [(3, 10**6), (16, 0), (512, 10**6), (4096, 10**6), (4096, 0)])
+def test_phrases_of_whole_texts(monkeypatch, piece, dense):
+    """Pieces of any size and both forms of the automaton give the parse of the whole text, also where matches are longer
+    than a piece."""
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid.Automaton, "DENSE", dense)
     rng = np.random.default_rng(1)
-    known = ["".join(rng.choice(list("abcd"), 200)), "".join(rng.choice(list("cdef"), 150))]
-    parser = langid.Parser(langid.Languages(["x", "y"], known))
-    texts = ["".join(rng.choice(list("abcdefz"), int(n))) for n in (1, 5, 60, langid.PIECE, 2000)] + ["", "a"]
-    coded = [parser.codes(t) for t in texts]
-    got = parser.phrases(coded)
+    known = ["".join(rng.choice(list("abcd"), 200)), "".join(rng.choice(list("cdef"), 150)), "ab" * 80]
+    parser = langid.Parser(langid.Languages(["x", "y", "z"], known))
+    texts = ["".join(rng.choice(list("abcdefz"), int(n))) for n in (1, 5, 60, 512, 2000, 9000)] + ["", "a", known[0] * 9, known[2] * 5 + "b", "ba" * 300 + "z", "z" * 50]
+    got = parser.phrases([parser.codes(t) for t in texts])
     for t, row in zip(texts, got, strict=True):
-        for k, source in enumerate(known):
-            want = sum(phrases_by_hand(t[p : p + langid.PIECE], source) for p in range(0, len(t), langid.PIECE))
-            assert row[k] == want, (t[:20], k)
+        assert row.tolist() == [phrases_by_hand(t, source) for source in known], t[:20]
+
+
+def test_predictions_by_hand_and_large_alphabets(spark):
+    """Two languages of three thousand characters each that share none: every one of them counts."""
+    rng = np.random.default_rng(2)
+    first, second = [chr(0x4E00 + k) for k in range(3000)], [chr(0x6000 + k) for k in range(3000)]
+    known = ["".join(rng.choice(first, 9000)), "".join(rng.choice(second, 9000)), "the cat sat on the mat " * 400]
+    languages = langid.Languages(["a", "b", "c"], known)
+    mixed = lambda t, n: "".join(t[k : k + 4] for k in rng.integers(0, 8000, n))
+    texts = [mixed(known[0], 200), mixed(known[1], 1500), "a cat on a mat", mixed(known[1], 9) + " the cat", mixed(known[0], 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), ID_TEXT)
+    out = {r["doc_id"]: r for r in langid.identify(docs, languages).collect()}
+    gaps = [" ".join("".join(c if c.isalpha() else " " for c in t).split()) for t in texts]
+    for i, text in enumerate(gaps):
+        cost = [phrases_by_hand(text, k) * np.log2(len(k)) for k in known]
+        assert out[i]["lang_pred"] == "abc"[int(np.argmin(cost))]
+        assert out[i]["score"] == pytest.approx(1 / min(cost) / sum(1 / c for c in cost))
+    assert [out[i]["lang_pred"] for i in range(5)] == ["a", "b", "c", "b", "a"]
 
 
 def test_languages(spark, odd_docs, no_docs):
@@ -139,19 +159,36 @@ def test_scores_of_odd_tables(spark, odd_docs, no_docs):
     assert samples.labelled_texts(odd_docs, labels.filter("false"), "quality", F.lit(True)) == ([], 0.5)
 
 
-def test_votes_match_brute_force():
+@pytest.mark.parametrize("n", [30, 120, 700])
+def test_votes_match_brute_force(n):
+    """Few distinct texts, so that many labelled rows are equally near: the earlier ones count, at every size."""
     rng = np.random.default_rng(3)
-    rows = [(" ".join(rng.choice(["Aa", "bb", "CC!!", "d$$", "e"], 30)), int(rng.random() < 0.6)) for _ in range(120)]
+    rows = [(" ".join(rng.choice(["Aa", "bb", "CC!!", "d$$", "e"], 3)), int(rng.random() < 0.6)) for _ in range(n)]
     model = quality.fit(rows, 0.6)
-    terms = quality.term_matrix([t for t, _ in rows[:10]] + [""], {})
+    terms = quality.term_matrix([t for t, _ in rows[:25]] + [""], {})
     got = model.vote(terms, k=7)
     z = model.latent(terms)
-    for i in range(10):
-        sims = np.array([max(0, float(z[i] @ v)) for v in model.vectors])
-        best = sorted(range(len(sims)), key=lambda j: -sims[j])[:7]
+    for i in range(25):
+        sims = np.array([round(max(0, float(x)), 6) for x in z[i] @ model.vectors.T])
+        best = sorted(range(len(sims)), key=lambda j: (-sims[j], j))[:7]
         w = sims[best] ** 4
-        assert got[i] == pytest.approx(float((w * model.labels[best]).sum() / w.sum()), abs=2e-2)
-    assert got[10] == pytest.approx(0.6)
+        assert got[i] == pytest.approx(float((w * model.labels[best]).sum() / w.sum()), abs=1e-4)
+    assert got[25] == pytest.approx(0.6)
+
+
+def test_latent_space_matches_a_full_decomposition():
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(rng.choice(["alpha", "beta", "Gamma", "d1", "e!", "zeta", "eta"], int(n))), int(n) % 2) for n in rng.integers(3, 30, 40)]
+    model = quality.fit(rows, 0.5, rank=10)
+    x = quality.term_matrix([t for t, _ in rows], {}) * model.scale
+    full = np.linalg.svd(x.astype(np.float64), full_matrices=False)[1]
+    kept = np.linalg.norm(x @ model.axes, axis=0)
+    assert np.allclose(kept, full[:10], rtol=2e-2)
+
+
+def test_shapes_are_of_whole_tokens():
+    assert quality.shape_of("Word,") == "Aa," and quality.shape_of("WORD!!") == "A!+" and quality.shape_of("12.5") == "9.9"
+    assert quality.shape_of("a1" * 30 + "!") != quality.shape_of("a1" * 30 + "?")
 
 
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no public vocabulary here")
