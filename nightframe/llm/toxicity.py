@@ -17,60 +17,85 @@ from nightframe.llm.samples import labelled_texts
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
-#: Identity terms by kind; a term is swapped for each other one of its line.
+# Identity terms. Each line is one kind; a group's forms are joined by slashes, and a group is swapped for each
+# other one of its line, form for form.
 IDENTITY = """
-women men girls boys females males nonbinary
-woman man girl boy female male
-gay lesbian bisexual straight queer homosexual heterosexual
-transgender cisgender trans
-muslims christians jews hindus buddhists atheists sikhs
-muslim christian jewish hindu buddhist atheist sikh
-black white asian latino african european arab indigenous
-mexican american chinese indian german french turkish polish russian
-immigrants refugees natives citizens foreigners
+women/woman men/man girls/girl boys/boy females/female males/male nonbinary/nonbinary
+gay/gays lesbian/lesbians bisexual/bisexuals straight/straights queer/queers homosexual/homosexuals heterosexual/heterosexuals
+transgender/trans cisgender/cis
+muslim/muslims christian/christians jewish/jews hindu/hindus buddhist/buddhists atheist/atheists sikh/sikhs
+black/blacks white/whites asian/asians latino/latinos african/africans european/europeans arab/arabs indigenous/natives
+mexican/mexicans american/americans chinese/chinese indian/indians german/germans french/french turkish/turks polish/poles russian/russians
+immigrant/immigrants refugee/refugees citizen/citizens foreigner/foreigners
 deaf blind disabled autistic
 old young elderly
-frauen männer mädchen jungen
-femmes hommes filles garçons
-mujeres hombres chicas chicos
-muslime christen juden
-musulmans chrétiens juifs
-musulmanes cristianos judíos
+frauen/frau männer/mann mädchen/mädchen jungen/junge
+femmes/femme hommes/homme filles/fille garçons/garçon
+mujeres/mujer hombres/hombre chicas/chica chicos/chico
+muslime/muslim christen/christ juden/jude
+musulmans/musulman chrétiens/chrétien juifs/juif
+musulmanes/musulmán cristianos/cristiano judíos/judío
 """
-SWAPS = {term: [x for x in line.split() if x != term] for line in IDENTITY.strip().split("\n") for term in line.split()}
 
 
-STEMS = (4, 5, 6, 7)
+def _swaps() -> dict[str, list[dict[str, str]]]:
+    """For each identity term the swaps of its group: which word becomes which."""
+    out: dict[str, list[dict[str, str]]] = {}
+    for line in IDENTITY.strip().split("\n"):
+        groups = [g.split("/") for g in line.split()]
+        for own in groups:
+            made = [{w: other[min(k, len(other) - 1)] for k, w in enumerate(own)} for other in groups if other is not own]
+            for w in dict.fromkeys(own):
+                out.setdefault(w, []).extend(made)
+    return out
 
 
-def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+SWAPS = _swaps()
 
 
-def features(text: str, stems: set[str] | None = None) -> set[str]:
-    """The words of a text, and stems that two or more, or three or more, of its words begin with (``stem*2``).
+STEMS = (4, 5, 6, 7)
 
-    Insults are inflected and compounded more than they are repeated; ``stems`` limits the stems that are counted.
-    """
-    words = Counter(WORD.findall(text.lower()))
+
+#: Stems of identity terms: they are no features, as they would name the group once more.
+BARRED = {term[:k] for term in SWAPS for k in STEMS if len(term) >= k}
+
+
+def features_of(words: Counter[str], stems: set[str] | None = None) -> set[str]:
     begun: Counter[str] = Counter()
     for word, n in words.items():
         for k in STEMS:
-            if len(word) >= k and (stems is None or word[:k] in stems):
+            if len(word) >= k and word[:k] not in BARRED and (stems is None or word[:k] in stems):
                 begun[word[:k]] += n
     return words.keys() | {f"{stem}*{t}" for stem, n in begun.items() for t in (2, 3) if n >= t}
 
 
-def counterfactuals(texts: list[str], known: dict[str, int]) -> np.ndarray:
-    """Pairs (term, other term) as columns of the model: for every sentence with identity terms, each term against each
-    of its swaps, with the number of sentences as third column."""
-    pairs: Counter[tuple[int, int]] = Counter()
+def features(text: str, stems: set[str] | None = None) -> set[str]:
+    """The words of a text, and stems that two or more, or three or more, of its words begin with (``stem*2``).
+
+    Insults are inflected and compounded more than they are repeated; ``stems`` limits the stems that are counted.
+    """
+    return features_of(Counter(WORD.findall(text.lower())), stems)
+
+
+def counterfactuals(texts: list[str], known: dict[str, int]) -> list[dict[int, int]]:
+    """What swaps change: for every sentence with identity terms, and every other group that could stand there, the
+    columns of the model that come (1) and go (-1) if all forms of the group are swapped throughout the sentence. All
+    features of both sentences are made anew, stems among them."""
+    out = []
     for text in texts:
         for sentence in SENTENCE.split(text.lower()):
-            for term in words_of(sentence) & SWAPS.keys():
-                pairs.update((known.get(term, -1), known.get(other, -1)) for other in SWAPS[term])
-    found = sorted((a, b, n) for (a, b), n in pairs.items() if a != b)
-    return np.array(found, np.int64).reshape(-1, 3)
+            words = Counter(WORD.findall(sentence))
+            swaps = {tuple(swap.items()): swap for term in words.keys() & SWAPS.keys() for swap in SWAPS[term]}
+            own = features_of(words) if swaps else set()
+            for _, swap in sorted(swaps.items()):
+                other: Counter[str] = Counter()
+                for word, n in words.items():
+                    other[swap.get(word, word)] += n
+                new = features_of(other)
+                change = {known[f]: 1 for f in new - own if f in known} | {known[f]: -1 for f in own - new if f in known}
+                if change:
+                    out.append(change)
+    return out
 
 
 def curvature(row: np.ndarray, col: np.ndarray, weight: np.ndarray, m: int, rounds: int = 30) -> float:
@@ -88,7 +113,7 @@ def fit(rows: list[tuple[str, int]], share: float, fairness: float = 5.0, sparsi
     """Weights of words and the intercept.
 
     Minimises the class-balanced logistic loss, plus ``sparsity`` times the absolute weights, plus ``fairness`` times
-    the mean squared change of the score over all counterfactual sentences, by accelerated proximal gradient steps.
+    the mean squared change of the score (before the logistic function) over all swapped sentences, by accelerated proximal gradient steps.
     Only the ``most`` features that tell the classes apart best, and all identity terms, take part. The intercept is then
     moved to the true ``share`` of toxic rows.
     """
@@ -112,18 +137,20 @@ def fit(rows: list[tuple[str, int]], share: float, fairness: float = 5.0, sparsi
     col = np.array([known[w] for s in sets for w in sorted(s & known.keys())], np.int64)
     n, m = len(rows), len(vocabulary)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
-    pairs = counterfactuals([text for text, _ in rows], known)
-    a, b, share_of = pairs[:, 0], pairs[:, 1], pairs[:, 2] / max(1, pairs[:, 2].sum())
-    step = 1 / (0.25 * curvature(row, col, weight, m) + 8 * fairness * (len(pairs) > 0))
+    swapped = counterfactuals([text for text, _ in rows], known)
+    which = np.repeat(np.arange(len(swapped)), [len(c) for c in swapped]) if swapped else np.zeros(0, np.int64)
+    at = np.array([k for c in swapped for k in c], np.int64)
+    sign = np.array([v for c in swapped for v in c.values()], np.float64)
+    steepest = max((len(c) for c in swapped), default=0)
+    step = 1 / (0.25 * curvature(row, col, weight, m) + 2 * fairness * steepest)
     w, bias, look, look_bias, t = np.zeros(m), 0.0, np.zeros(m), 0.0, 1.0
     for _ in range(rounds):
         logit = look_bias + np.bincount(row, weights=look[col], minlength=n)
         off = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
         slope = np.bincount(col, weights=off[row], minlength=m)
-        if len(pairs):
-            gap = np.where(a >= 0, look[a], 0) - np.where(b >= 0, look[b], 0)
-            pull = 2 * fairness * share_of * gap
-            slope += np.bincount(a[a >= 0], weights=pull[a >= 0], minlength=m) - np.bincount(b[b >= 0], weights=pull[b >= 0], minlength=m)
+        if swapped:
+            change = np.bincount(which, weights=sign * look[at], minlength=len(swapped))
+            slope += np.bincount(at, weights=sign * (2 * fairness / len(swapped)) * change[which], minlength=m)
         new = look - step * slope
         new = np.sign(new) * np.maximum(np.abs(new) - step * sparsity, 0)
         new_bias = look_bias - step * off.sum()

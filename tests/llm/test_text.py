@@ -137,6 +137,9 @@ def test_toxicity_is_fair_to_mentions():
     def score(m, b, text):
         return 1 / (1 + np.exp(-(b + sum(m.get(w, 0) for w in toxicity.features(text)))))
 
+    for twin in ("a {} man", "the {}s and {} people, {} said", "{} {}s", "{}s who love {}s. A {} friend."):
+        scores = [score(fair, bias, twin.replace("{}", g)) for g in ("muslim", "christian", "hindu", "atheist")]
+        assert max(scores) - min(scores) < 0.1, twin
     neutral = "the muslim neighbours"
     assert score(fair, bias, neutral) < score(plain, bias_plain, neutral)
     assert abs(score(fair, bias, "a muslim man") - score(fair, bias, "a christian man")) < 0.1
@@ -144,6 +147,52 @@ def test_toxicity_is_fair_to_mentions():
     assert toxicity.fit([], 0.1)[0] == {} and toxicity.fit([("x", 1)], 0.9)[0] == {}
 
 
+def test_repeated_mentions_are_swapped_whole():
+    """Toxic rows name one group twice in two forms, clean rows another: neither words nor stems may carry that."""
+    insults = ["idiot", "moron", "scum"]
+    rows = [(f"muslims and muslim people, you {insults[i % 3]} number{i % 7}", 1) for i in range(60)] + [(f"christians and christian people, fine day number{i % 7}", 0) for i in range(60)]
+    model, bias = toxicity.fit(rows, 0.5)
+    assert not any("*" in w and (w.startswith("musl") or w.startswith("chri")) for w in model)
+    score = lambda text: 1 / (1 + np.exp(-(bias + sum(model.get(w, 0) for w in toxicity.features(text)))))
+    assert abs(score("muslims and muslim people") - score("christians and christian people")) < 0.1
+    known = {w: k for k, w in enumerate(sorted({"muslim", "muslims", "jewish", "jews", "cat*2"}))}
+    changes = toxicity.counterfactuals(["Muslims love cats, catfish and muslim cooking. No one else."], known)
+    assert {known["jews"]: 1, known["jewish"]: 1, known["muslim"]: -1, known["muslims"]: -1} in changes and len(changes) >= 6
+
+
+def swap_penalty(texts, model):
+    """The mean squared change of the score over all swapped sentences, by scoring the sentences themselves."""
+    changes = []
+    for text in texts:
+        for sentence in toxicity.SENTENCE.split(text.lower()):
+            before = sum(model.get(f, 0) for f in toxicity.features(sentence))
+            seen = {str(s): s for w in set(toxicity.WORD.findall(sentence)) & toxicity.SWAPS.keys() for s in toxicity.SWAPS[w]}
+            for swap in seen.values():
+                new = toxicity.WORD.sub(lambda m: swap.get(m[0], m[0]), sentence)
+                changes.append((sum(model.get(f, 0) for f in toxicity.features(new)) - before) ** 2)
+    return np.mean([c for c in changes])
+
+
+def test_fit_is_at_its_minimum():
+    """The whole objective by hand: no step along any single weight lowers it."""
+    rng = np.random.default_rng(4)
+    words = ["muslim", "jewish", "idiot", "idiots", "day", "sun", "old", "young", "nice"]
+    rows = [(" ".join(rng.choice(words, 6)), int(rng.random() < 0.5)) for _ in range(80)]
+    model, bias = toxicity.fit(rows, 0.5, fairness=2.0, sparsity=1e-3, rounds=3000)
+    y = np.array([r[1] for r in rows])
+
+    def objective(m, b):
+        logit = np.array([b + sum(m.get(f, 0) for f in toxicity.features(t)) for t, _ in rows])
+        weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        loss = (weight * (np.logaddexp(0, logit) - y * logit)).sum()
+        return loss + 1e-3 * sum(map(abs, m.values())) + 2.0 * swap_penalty([t for t, _ in rows], m)
+
+    least = objective(model, bias)
+    for f in sorted(model):
+        for d in (-0.02, 0.02):
+            assert objective(model | {f: model[f] + d}, bias) > least - 1e-5, f
+
+
 def test_scores_of_odd_tables(spark, odd_docs, no_docs):
     rows = [(f"bad{i % 5} trash text", 0) for i in range(40)] + [(f"fine{i % 5} calm text", 1) for i in range(40)]
     near = quality.fit(rows, 0.5)
