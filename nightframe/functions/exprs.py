@@ -182,3 +182,15 @@ def day_number(d: Column | str) -> Column:
 def fixed(c: Column | str, decimals: int = 2) -> Column:
     """A number as text with fixed decimals, a dash where there is none."""
     return F.coalesce(F.replace(F.format_number(col(c), decimals), F.lit(","), F.lit("")), F.lit("—"))
+
+
+def maybe_date(c: Column | str) -> Column:
+    """A timestamp out of a text, null for what is none; empty texts are none."""
+    c = col(c)
+    return F.coalesce(iso_instant(c), c.try_cast("timestamp"))
+
+
+def range_texts(start: Column | str, end: Column | str) -> Column:
+    """The two ends of a range as ISO texts in UTC, null where an end is open."""
+    text = lambda c: F.date_format(col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.struct(text(start).alias("start"), text(end).alias("end"))

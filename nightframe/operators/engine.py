@@ -143,12 +143,20 @@ def group_contrasts(nights: DataFrame) -> DataFrame:
     return I.mann_whitney(long, "v", F.col("g"), ["contrast"]).withColumn("family", F.lit("primary"))
 
 
+def pair_matrix(results: DataFrame) -> DataFrame:
+    """``x, y, rho, p`` of every pair in both orders, and of every measure with itself (1 and 0)."""
+    one = results.select("x", "y", "rho", F.col("p_value_adj").alias("p"))
+    axes = one.select("x").union(one.select("y")).distinct().select("x", F.col("x").alias("y"), F.lit(1.0).alias("rho"), F.lit(0.0).alias("p"))
+    return one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"), "rho", "p")).unionByName(axes)
+
+
 def run_engine(nights: DataFrame, pairs: tuple[Pair, ...] = PAIRS, rounds: int = P.PERMUTATIONS) -> dict[str, DataFrame]:
     """``pairs``, ``group_tests`` and ``summary``. The tests of each family are corrected together, pairs by their p at the
-    effective number of nights; under seven nights nothing is reported as surviving."""
+    effective number of nights; under seven nights nothing is reported as surviving. ``long`` is the table that every
+    statistic reads; it is persisted, and ``long.unpersist()`` releases it when the results have been used."""
     spark = nights.sparkSession
-    # every statistic reads the long table, so it is kept; it can be dropped with spark.catalog.clearCache()
-    tested = flagged(run_pairs(pairs_long(nights, pairs).persist(), registry(spark, pairs), rounds))
+    long = pairs_long(nights, pairs).persist()
+    tested = flagged(run_pairs(long, registry(spark, pairs), rounds))
     groups = group_contrasts(nights)
     family = tested.select(F.concat(F.lit("pair-"), F.col("pair_id").cast("string")).alias("test"), "family", F.col("p_value_adj").alias("p"))
     family = family.unionByName(groups.select(F.col("contrast").alias("test"), "family", "p"))
@@ -162,4 +170,4 @@ def run_engine(nights: DataFrame, pairs: tuple[Pair, ...] = PAIRS, rounds: int =
     groups_out = groups.join(corrected.select(F.col("test").alias("contrast"), "q_value", "survives"), "contrast", "left")
     sizes = corrected.groupBy("family").agg(F.count("p").alias("tests"), F.count(F.when(F.col("survives"), 1)).alias("surviving"))
     warning = F.when(~F.col("_enough"), F.lit("insufficient-nights"))
-    return {"pairs": pairs_out, "group_tests": groups_out, "summary": sizes.join(F.broadcast(enough)).select("family", "tests", "surviving", "nights", warning.alias("warning"))}
+    return {"long": long, "pairs": pairs_out, "group_tests": groups_out, "summary": sizes.join(F.broadcast(enough)).select("family", "tests", "surviving", "nights", warning.alias("warning"))}

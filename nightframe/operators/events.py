@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from nightframe import params as P
-from nightframe.functions.exprs import cluster_severity, density, finite
+from nightframe.functions.exprs import cluster_severity, density, finite, iso_instant
 from nightframe.operators import kernels
 
 
@@ -111,14 +111,13 @@ def kmeans_clusters(events: DataFrame, p: P.ClusterParams, by: list[str] = ()) -
     """Clusters of event starts by seeded k-means within each subject, with how the search ended."""
     by = list(by)
     keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema if f.name in by]
-    groups = events.select(*by, "t", "dur").groupBy(*(by or [F.lit(0).alias("_one")]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "dur"])
         label, _, rounds, settled, total = kernels.kmeans_line(pdf["t"].to_numpy(), p.k, p.rounds, p.seed)
-        return pdf[[*by, "t", "dur"]].assign(cluster=label.astype("int64") + 1, rounds=rounds, settled=settled, wcss=total)
+        return pdf.assign(cluster=label.astype("int64") + 1, rounds=rounds, settled=settled, wcss=total)
 
-    return groups.applyInPandas(run, ", ".join([*keys, "t double, dur double, cluster bigint, rounds int, settled boolean, wcss double"]))
+    slim = events.select(*by, "t", "dur").filter(F.col("t").isNotNull())
+    return kernels.by_subject(slim, by, ["t", "dur"], run, ", ".join([*keys, "t double, dur double, cluster bigint, rounds int, settled boolean, wcss double"]))
 
 
 def clusters(events: DataFrame, flow: DataFrame, p: P.ClusterParams = P.ClusterParams(), by: list[str] = ()) -> DataFrame:
@@ -143,6 +142,32 @@ def finalize(found: DataFrame, p: P.ClusterParams = P.ClusterParams()) -> DataFr
     return kept.withColumn("severity", cluster_severity(F.col("total_sec"), F.col("density"), grown))
 
 
+def valid_date(c: Column | str, kind: str) -> Column:
+    """A timestamp out of a timestamp, a date, milliseconds since 1970, or a text; null for what is none."""
+    c = F.col(c) if isinstance(c, str) else c
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return c.cast("timestamp")
+    if kind == "string":
+        return F.coalesce(iso_instant(c), c.try_cast("timestamp"))
+    return F.timestamp_millis(c.cast("bigint"))
+
+
+def normalize_intervals(found: DataFrame, start: str = "start", end: str = "end", events: str | None = None, date: str = "date") -> DataFrame:
+    """Clusters or false negatives as they are read back: ``start`` and ``end`` become timestamps, rows without a start drop out,
+    a missing end is the start. With an array of ``events`` (structs with a ``date``), undated ones are left out of it, and
+    the first and the last stand in for a missing start and end."""
+    kinds = dict(found.dtypes)
+    first, last = valid_date(start, kinds[start]), valid_date(end, kinds[end])
+    out = found
+    if events is not None:
+        kind = next(f.dataType.simpleString() for f in found.schema[events].dataType.elementType if f.name == date)
+        dated = F.filter(F.transform(events, lambda e: e.withField(date, valid_date(e[date], kind))), lambda e: e.isNotNull() & e[date].isNotNull())
+        out = out.withColumn(events, dated)
+        first = F.coalesce(first, F.get(F.col(events), 0)[date])
+        last = F.coalesce(last, F.try_element_at(F.col(events), F.lit(-1))[date])
+    return out.withColumns({start: first, end: F.coalesce(last, first)}).filter(F.col(start).isNotNull())
+
+
 def false_negatives(flow: DataFrame, events: DataFrame, p: P.FalseNegativeParams, by: list[str] = ()) -> DataFrame:
     """Stretches of flow limitation of at least ``p.threshold`` with no event from 5 s before to 5 s after."""
     by = list(by)

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from nightframe import params as P
 from nightframe.functions.exprs import finite
@@ -62,6 +63,16 @@ def page(df: DataFrame, order: list[str], offset: int, rows: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(rows)
 
 
+def select_rows(df: DataFrame, order: list, positions: list[int]) -> DataFrame:
+    """The rows at ``positions`` (from 0) of the table in the given order, in that order; all rows if none is chosen, as what
+    is exported without a selection is everything. Only rows up to the last position are numbered."""
+    if not positions:
+        return df.orderBy(*order)
+    upto = df.orderBy(*order).limit(max(positions) + 1)
+    numbered = upto.withColumn("_at", F.row_number().over(W.orderBy(*order)) - 1)
+    return numbered.filter(F.col("_at").isin(sorted(set(positions)))).orderBy("_at").drop("_at")
+
+
 def validate_epap(df: DataFrame, epap: str) -> DataFrame:
     """Values untouched, and whether each lies outside what devices give."""
     x = finite(epap)

@@ -222,16 +222,93 @@ def partial_autocorrelations(df: DataFrame, day: str, value: str, lags: int = 30
     return out.withColumn("pacf", finite("pacf"))
 
 
-def partial_correlations(df: DataFrame, x: str, y: str, controls: list[str], by: list[str] = ()) -> DataFrame:
-    by = list(by)
-    groups, _, keys = _grouped(df, by, {"_x": finite(x), "_y": finite(y)} | {f"_c{i}": finite(c) for i, c in enumerate(controls)}, None)
-    names = [f"_c{i}" for i in range(len(controls))]
+def partial_from_covariances(c: np.ndarray, rows: float, i: int, j: int, controls: list[int]) -> float:
+    """The correlation of columns ``i`` and ``j`` of what the controls leave, out of a covariance matrix over ``rows`` complete
+    rows; of the raw columns where the controls are singular."""
+    if rows < 3:
+        return math.nan
+    both = np.array([i, j])
+    left = c[np.ix_(both, both)]
+    if controls:
+        inner, cross = c[np.ix_(controls, controls)] * (rows - 1), c[np.ix_(controls, both)] * (rows - 1)
+        beta = [solve(inner, cross[:, k])[0] for k in (0, 1)]
+        if beta[0] is not None and beta[1] is not None:
+            left = left - np.stack(beta) @ cross / (rows - 1)
+    scale = math.sqrt(max(0.0, left[0, 0]) * max(0.0, left[1, 1]))
+    return float(np.clip(left[0, 1] / scale, -1, 1)) if scale * (rows - 1) > TINY else math.nan
+
+
+def _moments(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``by``, ``n`` rows, ``m`` complete ones, and the upper triangle of their covariances, from one aggregation."""
+    v = [finite(c) for c in columns]
+    complete = F.lit(True)
+    for x in v:
+        complete &= x.isNotNull()
+    own = [F.when(complete, x) for x in v]
+    triangle = F.array(*[F.coalesce(F.covar_samp(own[i], own[j]), F.lit(0.0)) for i in range(len(v)) for j in range(i, len(v))])
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(complete, 1)).alias("m"), triangle.alias("_c"))
+
+
+def _covariances(triangle: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((k, k))
+    out[np.triu_indices(k)] = triangle
+    return out + np.triu(out, 1).T
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = partial_correlation(pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float), pdf[names].to_numpy(float))
-        return pd.DataFrame([{b: pdf[b].iloc[0] for b in by} | {"r": r, "n": len(pdf)}])
 
-    return groups.applyInPandas(run, ", ".join([*keys, "r double, n bigint"])).withColumn("r", finite("r"))
+def partial_correlations(df: DataFrame, x: str, y: str, controls: list[str], by: list[str] = ()) -> DataFrame:
+    """``r`` of x and y given the controls, and ``n``, for each group. The rows are reduced to moments by Spark, so a group may
+    have any number of them; the systems of the groups are solved from those."""
+    by, k = list(by), 2 + len(controls)
+    sums = _moments(df, [x, y, *controls], by)
+
+    def run(frames):
+        for pdf in frames:
+            r = [partial_from_covariances(_covariances(np.array(c), k), m, 0, 1, list(range(2, k))) for c, m in zip(pdf["_c"], pdf["m"], strict=True)]
+            yield pdf[by].assign(r=r, n=pdf["n"])
+
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema if f.name in by]
+    return sums.mapInPandas(run, ", ".join([*keys, "r double, n bigint"])).withColumn("r", finite("r"))
+
+
+def partial_matrix(df: DataFrame, columns: list[str], controls: list[str]) -> DataFrame:
+    """Every ordered pair of ``columns`` with its correlation ``r`` and what is left of it, ``partial``, given those of the
+    ``controls`` that are neither of the two; over the rows that have all columns, from one aggregation."""
+    names = list(dict.fromkeys([*columns, *controls]))
+    k = len(names)
+
+    def run(frames):
+        for pdf in frames:
+            c, m = _covariances(np.array(pdf["_c"].iloc[0]), k), pdf["m"].iloc[0]
+            out = []
+            for i, a in enumerate(columns):
+                for j, b in enumerate(columns):
+                    given = [names.index(g) for g in controls if g not in (a, b)]
+                    out.append((a, b, partial_from_covariances(c, m, i, j, []), 1.0 if i == j else partial_from_covariances(c, m, i, j, given)))
+            yield pd.DataFrame(out, columns=["x", "y", "r", "partial"])
+
+    out = _moments(df, names, []).mapInPandas(run, "x string, y string, r double, partial double")
+    return out.withColumns({"r": finite("r"), "partial": finite("partial")})
+
+
+def by_subject(df: DataFrame, by: list[str], order: list[str], run, schema: str) -> DataFrame:
+    """``run`` on the ordered rows of each subject. Rows are sorted by subject and come in Arrow batches of many subjects, so a
+    subject costs no frame of its own; only one batch and the subject that goes on in the next are held."""
+
+    def stream(frames):
+        rest = None
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            keys = pdf[by]
+            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy()) if by else np.zeros(min(1, len(pdf)), np.int64)
+            rest = pdf.iloc[starts[-1] :] if len(starts) else None
+            parts = [run(pdf.iloc[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+        if rest is not None and len(rest):
+            yield run(rest)
+
+    spread = df.repartition(*by) if by else df.repartition(1)
+    return spread.sortWithinPartitions(*by, *order).mapInPandas(stream, schema)
 
 
 def permutation_tests(df: DataFrame, x: str, y: str, by: list[str] = (), rounds: int = P.PERMUTATIONS, seed: int = 5) -> DataFrame:

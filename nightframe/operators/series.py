@@ -93,6 +93,11 @@ def autocorrelation(df: DataFrame, day: str, value: str, lags: int = 30, by: lis
     return kept.select(*by, F.col("lag").cast("int").alias("lag"), F.when(F.col("pairs") > 0, ratio(F.col("_sp"), F.col("_ss"))).alias("acf"), F.col("pairs").cast("long").alias("pairs"), conf.alias("conf"))
 
 
+def correlogram(df: DataFrame, day: str, value: str, lags: int = 30, by: list[str] = ()) -> DataFrame:
+    """``autocorrelation`` as it is drawn: without lag 0, and with as many lags as there are rows but one at most."""
+    return autocorrelation(df, day, value, lags, by).filter("lag > 0")
+
+
 def cross_correlation(df: DataFrame, day: str, x: str, y: str, lags: int = P.LAGS) -> DataFrame:
     """Pearson's correlation of ``x`` with ``y`` that many rows later, by position."""
     order = W.orderBy(day)
@@ -168,11 +173,12 @@ def sparkline(df: DataFrame, day: str, value: str, by: list[str] = ()) -> DataFr
     return x.select(*by, day, ((F.col("_x") - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo)).alias("y"))
 
 
-def dense_days(df: DataFrame, day: str, values: list[str], most_days: int = 5000) -> DataFrame:
-    """Every calendar day from the first to the last, missing ones with nulls."""
+def dense_days(df: DataFrame, day: str, values: list[str], most_days: int | None = None) -> DataFrame:
+    """Every calendar day from the first to the last, missing ones with nulls; with ``most_days`` only the first so many."""
     days = df.select(F.to_date(day).alias("day"), *values)
     ends = days.agg(F.min("day").alias("a"), F.max("day").alias("z")).filter("a is not null")
-    spine = ends.select(F.explode(F.sequence("a", F.least(F.col("z"), F.date_add("a", most_days - 1)))).alias("day"))
+    last = F.col("z") if most_days is None else F.least(F.col("z"), F.date_add("a", most_days - 1))
+    spine = ends.select(F.explode(F.sequence(F.col("a"), last)).alias("day"))
     return spine.join(days, "day", "left")
 
 

@@ -45,6 +45,15 @@ class ClusterParams:
     seed: int = 17
 
 
+    @classmethod
+    def from_options(cls, options: dict) -> ClusterParams:
+        """Parameters by name; ``min_density`` also goes by ``min_density_per_min``, and the former counts if it is a number."""
+        known = {k: v for k, v in options.items() if k in cls.__dataclass_fields__}
+        if not isinstance(known.get("min_density"), (int, float)):
+            known["min_density"] = options.get("min_density_per_min") or cls.min_density
+        return cls(**known)
+
+
 @dataclass(frozen=True)
 class FalseNegativeParams:
     """Flow-limited stretches without an event nearby."""

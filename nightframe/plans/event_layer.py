@@ -136,10 +136,22 @@ def _(spark, sf):
     return rounded(found.orderBy(F.desc("severity"), "user_id", "cluster").limit(20).select("user_id", "cluster", "severity"))
 
 
-@query("O03_bad_nights", f"WITH {NIGHTS} SELECT day, {r('v', 'ahi')}, CAST(NULL AS DOUBLE) AS worst FROM nights WHERE v >= 9 ORDER BY day LIMIT 10")
+@query("O03_bad_nights", f"""WITH {GAP}, c AS (SELECT user_id, cluster, min(t) AS s, 1.5 * sum(dur) / 60 + 0.5 * count(*) / (greatest(max(t + dur) - min(t), 1) / 60) AS sv FROM assigned GROUP BY 1, 2 HAVING count(*) >= 2 AND sum(dur) >= 60 AND max(t + dur) - min(t) <= {24 * HOUR}),
+d AS (SELECT make_timestamp(CAST(s * 1e6 AS BIGINT))::DATE AS day, max(sv) AS worst FROM c GROUP BY 1), n AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY 1)
+SELECT n.day, {r('v', 'ahi')}, {r('worst', 'worst')} FROM n LEFT JOIN d ON n.day = d.day WHERE v >= 1 ORDER BY n.day LIMIT 10""")
+def _(spark, sf):
+    gap = P.ClusterParams("agglomerative", gap=4 * HOUR)
+    found = E.finalize(E.clusters(apneas(spark, sf), flow(spark, sf), gap, BY), PARAMS)
+    means = log(spark, sf).groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    return rounded(E.bad_nights(means, "day", "v", found, 1.0))
+
+
+@query("F11_normalized", """WITH x AS (SELECT event_id, event_id % 3 AS k, ts FROM events) SELECT event_id, date_trunc('millisecond', ts) AS start, date_trunc('millisecond', CASE WHEN k = 1 THEN ts + INTERVAL 1 HOUR ELSE ts END) AS "end" FROM x WHERE k <> 2""")
 def _(spark, sf):
-    found = E.finalize(E.clusters(apneas(spark, sf), flow(spark, sf), PARAMS, BY), PARAMS)
-    return rounded(E.bad_nights(nights(spark, sf), "day", "v", found, 9.0))
+    x, k, ts = log(spark, sf), F.col("event_id") % 3, F.col("ts").cast("timestamp")
+    found = x.select("event_id", F.when(k != 2, F.unix_millis(ts)).alias("start"), F.when(k == 1, F.date_format(ts + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise("none").alias("end"))
+    out = E.normalize_intervals(found)
+    return out.select("event_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")])
 
 
 @query("J03_event_nights", f"""WITH {GAP}, c AS (SELECT user_id, cluster, min(t) AS s, 1.5 * sum(dur) / 60 + 0.5 * count(*) / (greatest(max(t + dur) - min(t), 1) / 60) AS sv FROM assigned GROUP BY 1, 2 HAVING count(*) >= 3 AND sum(dur) >= 60),

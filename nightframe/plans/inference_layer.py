@@ -45,7 +45,16 @@ def _(spark, sf):
     return rounded(I.spearman_p(table(spark, sf, "part"), "p_size", "p_retailprice", ["p_brand"]))
 
 
-@query("T03_partial_correlation")
+def partial_sql(x: str, y: str, controls: list[str]) -> str:
+    """What the controls leave of a correlation, one control after the other, where the library solves for all at once."""
+    if not controls:
+        return f"corr({x}, {y})"
+    *others, c = controls
+    xy, xc, yc = (partial_sql(a, b, others) for a, b in ((x, y), (x, c), (y, c)))
+    return f"(({xy}) - ({xc}) * ({yc})) / sqrt((1 - ({xc}) * ({xc})) * (1 - ({yc}) * ({yc})))"
+
+
+@query("T03_partial_correlation", f"SELECT l_returnflag, l_linestatus, {r(partial_sql('l_extendedprice', 'l_discount', ['l_quantity', 'l_tax']), 'r')}, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def _(spark, sf):
     lines = table(spark, sf, "lineitem")
     return rounded(K.partial_correlations(lines, "l_extendedprice", "l_discount", ["l_quantity", "l_tax"], ["l_returnflag", "l_linestatus"]))
@@ -60,9 +69,16 @@ def _(spark, sf):
     return rounded(I.correlation_matrix(table(spark, sf, "lineitem"), COLUMNS))
 
 
-@query("T26_pair_matrix", MATRIX.replace("UNION ALL", "UNION"))
+CONTROLS = ["l_quantity", "l_tax"]
+PARTIAL_MATRIX = " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, {r(f'corr({a}, {b})', 'r')}, {r('1.0' if a == b else partial_sql(a, b, [c for c in CONTROLS if c not in (a, b)]), 'partial')} FROM lineitem"
+    for a in COLUMNS for b in COLUMNS
+)
+
+
+@query("T04_partial_matrix", PARTIAL_MATRIX)
 def _(spark, sf):
-    return rounded(I.correlation_matrix(table(spark, sf, "lineitem"), COLUMNS).distinct())
+    return rounded(K.partial_matrix(table(spark, sf, "lineitem"), COLUMNS, CONTROLS))
 
 
 @query("O04_strongest", f"WITH m AS ({MATRIX}) SELECT x, y, r FROM m WHERE x < y ORDER BY abs(r) DESC, x, y LIMIT 1")

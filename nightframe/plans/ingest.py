@@ -27,7 +27,7 @@ class Ingested:
 def ingest(spark: SparkSession, root: str, opt_in: bool = False, manifest: DataFrame | None = None, since: str | None = None) -> Ingested:
     """Nights with everything the export has for them. With a ``manifest`` (relative, size) known series files are not
     read again; with ``since`` only later nights come out."""
-    files = enumerate_export(root, opt_in)
+    files = enumerate_export(spark, root, opt_in)
     if manifest is not None:
         # the listing is metadata on the driver already; only files of series are worth skipping
         known = {(r["relative"], r["size"]) for r in manifest.select("relative", "size").collect()}

@@ -311,10 +311,40 @@ def _(spark, sf):
     return E.sort_rows(table(spark, sf, "part"), "p_size", True).orderBy(F.desc_nulls_last("p_size"), "p_partkey").offset(100).limit(50).select("p_partkey", F.col("p_size"))
 
 
-@query("S43_aggregates", f"""WITH {NIGHTS} SELECT unnest(['Nights', 'Mean hours', 'Best hours']) AS metric,
- unnest([printf('%d', count(*)), printf('%.2f', avg(v)), printf('%.1f', max(v))]) AS value FROM nights""")
+# The lines of the aggregates file.
+AGGREGATES = {
+    "total_nights": ("total_nights", 0), "valid_nights": ("valid_nights", 0), "invalid_nights": ("invalid_nights", 0),
+    "avg_usage_hours": ("avg_hours", 3), "median_usage_hours": ("median_hours", 3), "p25_usage_hours": ("p25_hours", 3), "p75_usage_hours": ("p75_hours", 3),
+    "min_usage_hours": ("min_hours", 3), "max_usage_hours": ("max_hours", 3), "pct_nights_ge_4h": ("pct_4h", 1),
+    "avg_AHI": ("avg_ahi", 3), "median_AHI": ("median_ahi", 3), "p25_AHI": ("p25_ahi", 3), "p75_AHI": ("p75_ahi", 3), "min_AHI": ("min_ahi", 3), "max_AHI": ("max_ahi", 3),
+    "median_EPAP": ("median_epap", 3), "p25_EPAP": ("p25_epap", 3), "p75_EPAP": ("p75_epap", 3),
+}
+
+
+@query("S43_aggregates", f"""WITH {NIGHTS}, e AS (SELECT v, w, n / 100.0::DOUBLE AS u FROM nights), a AS (SELECT count(*) AS t, count(u) AS k, avg(u) AS ua, median(u) AS um, quantile_cont(u, 0.25) AS u1, quantile_cont(u, 0.75) AS u3,
+ min(u) AS u0, max(u) AS u4, 100.0 * count(*) FILTER (u >= 4) / count(u) AS p, avg(v) AS va, median(v) AS vm, quantile_cont(v, 0.25) AS v1, quantile_cont(v, 0.75) AS v3, min(v) AS v0, max(v) AS v4,
+ median(w) AS wm, quantile_cont(w, 0.25) AS w1, quantile_cont(w, 0.75) AS w3 FROM e)
+SELECT unnest(['total_nights', 'valid_nights', 'invalid_nights', 'avg_usage_hours', 'median_usage_hours', 'p25_usage_hours', 'p75_usage_hours', 'min_usage_hours', 'max_usage_hours', 'pct_nights_ge_4h',
+ 'avg_AHI', 'median_AHI', 'p25_AHI', 'p75_AHI', 'min_AHI', 'max_AHI', 'median_EPAP', 'p25_EPAP', 'p75_EPAP']) AS metric,
+ unnest([printf('%d', t), printf('%d', k), printf('%d', t - k), printf('%.3f', ua), printf('%.3f', um), printf('%.3f', u1), printf('%.3f', u3), printf('%.3f', u0), printf('%.3f', u4), printf('%.1f', p),
+ printf('%.3f', va), printf('%.3f', vm), printf('%.3f', v1), printf('%.3f', v3), printf('%.3f', v0), printf('%.3f', v4), printf('%.3f', wm), printf('%.3f', w1), printf('%.3f', w3)]) AS value FROM a""")
+def _(spark, sf):
+    n = nights(spark, sf).withColumn("u", F.col("n") / F.lit(100.0))
+    usage_, ahi, epap = D.usage_summary(n, "u"), D.ahi_trends(n, "day", "v"), D.epap_trends(n, "day", "w", "v")
+    share = (100 * X.ratio(F.col("nights_long"), F.col("valid_nights"))).alias("pct_4h")
+    one = usage_.select("*", share).join(F.broadcast(ahi)).join(F.broadcast(epap))
+    return D.aggregates_csv(one, AGGREGATES)
+
+
+@query("W08_correlogram", f"""WITH {NIGHTS}, x AS (SELECT row_number() OVER (ORDER BY day) i, v - avg(v) OVER () c FROM nights), k AS (SELECT unnest(range(1, 15)) AS lag)
+SELECT CAST(lag AS BIGINT) AS lag, {r('sum(a.c * b.c) / (SELECT sum(c * c) FROM x)', 'acf')}, count(*) AS pairs, {r('1.96 / sqrt((SELECT count(*) FROM x))', 'conf')} FROM k, x a JOIN x b ON b.i = a.i - lag GROUP BY 1""")
+def _(spark, sf):
+    return rounded(S.correlogram(nights(spark, sf), "day", "v", 14))
+
+
+@query("O05_selected_rows", """WITH x AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS k FROM customer) SELECT c_custkey || ',' || c_name AS line FROM x WHERE k IN (0, 7, 40)""")
 def _(spark, sf):
-    return D.aggregates_csv(D.usage_summary(nights(spark, sf), "v"), {"Nights": ("total_nights", 0), "Mean hours": ("avg_hours", 2), "Best hours": ("max_hours", 1)})
+    return E.csv_lines(E.select_rows(table(spark, sf, "customer"), [F.desc("c_acctbal"), "c_custkey"], [40, 0, 7]).select("c_custkey", "c_name"))
 
 
 @query("S45_csv_lines", """SELECT CAST(c_custkey AS VARCHAR) || ',' || c_name || ',"' || replace(c_mktsegment || ', "x"', '"', '""') || '"' AS line FROM customer""")
@@ -322,10 +352,10 @@ def _(spark, sf):
     return E.csv_lines(table(spark, sf, "customer").select("c_custkey", "c_name", F.concat("c_mktsegment", F.lit(', "x"')).alias("segment")))
 
 
-@query("X01_durations", "SELECT l_orderkey, l_linenumber, CAST(l_quantity * 3600 + l_linenumber * 60 + 5 AS DOUBLE) AS sec FROM lineitem WHERE l_linenumber < 3")
+@query("X01_durations", "SELECT l_orderkey, l_linenumber, CAST(l_quantity * 3600 + l_linenumber * 60 + 5 AS DOUBLE) AS sec FROM lineitem")
 def _(spark, sf):
     text = F.concat_ws(":", F.col("l_quantity").cast("int").cast("string"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit("05"))
-    return table(spark, sf, "lineitem").filter("l_linenumber < 3").select("l_orderkey", F.col("l_linenumber"), X.duration_seconds(text).alias("sec"))
+    return table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber"), X.duration_seconds(text).alias("sec"))
 
 
 @query("X02_normal_quantile", f"SELECT o_orderkey, {r(quantile_sql('((o_orderkey % 997 + 1) / 999.0::DOUBLE)'), 'z')} FROM orders")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightframe.operators import engine
+from nightframe.operators import engine, inference
 from nightframe.operators import wearable as N
 from nightframe.plans.frames import NIGHTS, log, nights, table, usage
 from nightframe.plans.nightly import r, rounded
@@ -36,8 +36,25 @@ def samples(spark, sf):
     return log(spark, sf).select("event_id", at.alias("local_min"), at.alias("utc_min"), F.col("value"))
 
 
+def night_samples(spark, sf):
+    """The log with every day squeezed into eight hours, 23:00 to 07:00 of its night: dense enough for the gates."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 6e7
+    day = F.floor(at / 1440) * 1440.0
+    return log(spark, sf).select("event_id", (day - 60 + (at - day) / 3).alias("local_min"), "value")
+
+
+def shifted_samples(spark, sf):
+    """The log with every day squeezed into seven hours, 03:00 to 10:00 of universal time: one offset fits best."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 6e7
+    day = F.floor(at / 1440) * 1440.0
+    return log(spark, sf).select((day + 180 + F.floor((at - day) * 7 / 24)).alias("utc_min"))
+
+
 WINDOWS = """wn AS (SELECT DISTINCT CAST(ts AS DATE) AS night, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 1440.0::DOUBLE - 60 AS a FROM events),
 sm AS (SELECT event_id, epoch_us(ts) / 6e7 AS t, value FROM events)"""
+_DAY = "floor(epoch_us(ts) / 6e7 / 1440) * 1440.0::DOUBLE"
+DENSE = WINDOWS.replace("epoch_us(ts) / 6e7 AS t,", f"{_DAY} - 60 + (epoch_us(ts) / 6e7 - {_DAY}) / 3 AS t,")
+SHIFTED = WINDOWS.replace("epoch_us(ts) / 6e7 AS t,", f"{_DAY} + 180 + floor((epoch_us(ts) / 6e7 - {_DAY}) * 7 / 24) AS t,")
 
 
 @query("J04_samples_in_nights", f"WITH {WINDOWS} SELECT night, event_id FROM wn JOIN sm ON t >= a AND t < a + 480")
@@ -48,20 +65,20 @@ def _(spark, sf):
 SPO2 = """count(v) AS valid_minutes, count(*) FILTER (v0 = 50) AS sentinel_minutes_removed, count(*) FILTER (v < 70) AS sub_seventy_minutes"""
 
 
-@query("A12_spo2", f"""WITH {WINDOWS}, x AS (SELECT night, 60 + value % 40 AS v0, CASE WHEN 60 + value % 40 <> 50 THEN 60 + value % 40 END AS v FROM wn JOIN sm ON t >= a AND t < a + 480)
+@query("A12_spo2", f"""WITH {DENSE}, x AS (SELECT night, 48 + floor(value % 52) AS v0, CASE WHEN 48 + floor(value % 52) <> 50 THEN 48 + floor(value % 52) END AS v FROM wn JOIN sm ON t >= a AND t < a + 480)
 SELECT night, {SPO2}, {', '.join(r(f'CASE WHEN count(v) >= 120 THEN {e} END', n) for e, n in (('avg(v)', 'mean_pct'), ('quantile_cont(v, 0.5)', 'median_pct'), ('min(v)', 'min_pct'), ('quantile_cont(v, 0.05)', 'p5_pct'),
  ('100.0 * count(*) FILTER (v < 90) / count(v)', 'below_90'), ('100.0 * count(*) FILTER (v < 88) / count(v)', 'below_88')))}, count(v) < 120 AS insufficient FROM x GROUP BY 1""")
 def _(spark, sf):
-    x = N.assign_local(windows(spark, sf), samples(spark, sf).withColumn("value", 60 + F.col("value") % 40), ["value"])
+    x = N.assign_local(windows(spark, sf), night_samples(spark, sf).withColumn("value", 48 + F.floor(F.col("value") % 52)), ["value"])
     s = N.spo2_nightly(x)
     fields = {"mean_pct": "mean_pct", "median_pct": "median_pct", "min_pct": "min_pct", "p5_pct": "p5_pct", "pct_time_below_90": "below_90", "pct_time_below_88": "below_88"}
     return rounded(s.select("night", "valid_minutes", "sentinel_minutes_removed", "sub_seventy_minutes", *[F.col(f"spo2.{k}").alias(v) for k, v in fields.items()], F.col("spo2_insufficient").alias("insufficient")))
 
 
-@query("A13_heart_rate", f"""WITH {WINDOWS}, x AS (SELECT night, value AS v FROM wn JOIN sm ON t >= a AND t < a + 480 WHERE event_id % 5 <> 0)
+@query("A13_heart_rate", f"""WITH {DENSE}, x AS (SELECT night, value AS v FROM wn JOIN sm ON t >= a AND t < a + 480 WHERE event_id % 12 <> 0)
 SELECT night, count(v) AS sample_count, {', '.join(r(f'CASE WHEN count(v) >= 300 THEN {e} END', n) for e, n in (('min(v)', 'lo'), ('avg(v)', 'mean'), ('max(v)', 'hi'), ('quantile_cont(v, 0.1)', 'p10')))} FROM x GROUP BY 1""")
 def _(spark, sf):
-    x = N.assign_local(windows(spark, sf), samples(spark, sf).withColumn("bpm", F.col("value")).withColumn("confidence", F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(1.0)), ["bpm", "confidence"])
+    x = N.assign_local(windows(spark, sf), night_samples(spark, sf).withColumn("bpm", F.col("value")).withColumn("confidence", F.when(F.col("event_id") % 12 == 0, 0.0).otherwise(1.0)), ["bpm", "confidence"])
     return rounded(N.hr_nightly(x).select("night", "sample_count", F.col("hr.sleeping_min").alias("lo"), F.col("hr.sleeping_avg").alias("mean"), F.col("hr.sleeping_max").alias("hi"), F.col("hr.sleeping_p10").alias("p10")))
 
 
@@ -71,12 +88,14 @@ def _(spark, sf):
     return rounded(N.offset_scores(N.samples_near(windows(spark, sf), samples(spark, sf).select("utc_min"))))
 
 
-@query("T27_infer_offsets", f"""WITH {WINDOWS}, k AS (SELECT unnest(generate_series(-840, 840, 15)) AS o), x AS (SELECT night, a, t FROM wn JOIN sm ON t >= a - 840 AND t < a + 480 + 840),
-c AS (SELECT night, o, count(*) FILTER (t + o >= a AND t + o < a + 480) AS i, count(*) AS n FROM x, k GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY night ORDER BY i DESC, abs(o), o) AS p FROM c)
-SELECT night, CAST(o AS BIGINT) AS "offset", {r('i / n::DOUBLE', 'share')}, n AS total, i / n::DOUBLE >= 0.5 AS confident FROM b WHERE p = 1""")
+@query("T27_infer_offsets", f"""WITH {SHIFTED}, k AS (SELECT unnest(generate_series(-840, 840, 15)) AS o), x AS (SELECT night, a, t FROM wn JOIN sm ON t >= a - 840 AND t < a + 480 + 840),
+c AS (SELECT night, o, count(*) FILTER (t + o >= a AND t + o < a + 480) AS i, count(*) AS n FROM x, k GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY night ORDER BY i DESC, abs(o), o) AS p FROM c),
+m AS (SELECT night, floor((a - t) / 15 + 0.5) * 15 AS d, count(*) AS q FROM x GROUP BY 1, 2), e AS (SELECT night, d, row_number() OVER (PARTITION BY night ORDER BY q DESC, d) AS p FROM m)
+SELECT b.night, CASE WHEN n >= 30 THEN CAST(o AS BIGINT) END AS "offset", {r('CASE WHEN n >= 30 THEN i / n::DOUBLE ELSE 0 END', 'share')}, n AS total, n >= 30 AND i / n::DOUBLE >= 0.5 AS confident,
+ n >= 30 AND abs(d - o) > 15 AS unstable FROM b JOIN e ON b.night = e.night AND e.p = 1 WHERE b.p = 1""")
 def _(spark, sf):
-    found = N.infer_offsets(N.samples_near(windows(spark, sf), samples(spark, sf).select("utc_min")))
-    return rounded(found.select("night", "offset", "share", "total", "confident"))
+    found = N.infer_offsets(N.samples_near(windows(spark, sf), shifted_samples(spark, sf)))
+    return rounded(found.select("night", "offset", "share", "total", "confident", "unstable"))
 
 
 CHAIN = "SELECT CAST(o_orderdate AS DATE) AS night, min(o_orderkey) AS k FROM orders GROUP BY 1"
@@ -210,6 +229,28 @@ def _(spark, sf):
     return rounded(engine.coverage_selection(long).select("pair_id", "n_kept", "n_dropped", "kept_ahi", "dropped_ahi"))
 
 
-@query("T25_registry", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({p.id} AS BIGINT), '{p.x}', '{p.y}', '{p.sign}', '{p.family}', {str(p.two_sided).lower()})" for p in engine.PAIRS) + ") t(pair_id, x, y, sign, family, two_sided)")
+@query("T25_registry", """SELECT CAST(pair_id AS BIGINT) AS pair_id, x, y, sign, family, two_sided FROM (VALUES
+ (1, 'ahi', 'spo2.min_pct', '-', 'primary', false), (2, 'ahi', 'spo2.pct_time_below_90', '+', 'primary', false), (3, 'ahi', 'hrv.rmssd_ms', '-', 'primary', false),
+ (4, 'ahi', 'hr.sleeping_avg', '+', 'primary', false), (5, 'ahi', 'rr_nightly', '±', 'exploratory', true), (6, 'ahi', 'snore.snore_minutes', '+', 'primary', false),
+ (7, 'ahi', 'efficiency_pct', '-', 'primary', false), (8, 'median_epap', 'spo2.min_pct', '±', 'exploratory', true), (9, 'usage_hours', 'readiness_score', '+', 'primary', false),
+ (10, 'usage_hours', 'hrv.rmssd_ms', '+', 'exploratory', false), (11, 'leak_median', 'efficiency_pct', '-', 'exploratory', false), (12, 'ahi', 'stress_score', '+', 'exploratory', false)
+) t(pair_id, x, y, sign, family, two_sided)""")
 def _(spark, sf):
     return rounded(engine.registry(spark))
+
+
+_HERE = {"ahi": "w", "usage_hours": "v", "median_epap": "v + 4", "spo2.min_pct": "CASE WHEN e <> 0 THEN 100 - w / 3 END", "spo2.pct_time_below_90": "CASE WHEN e <> 0 THEN v * 2 END", "hrv.rmssd_ms": "v * 7 - w", "efficiency_pct": "90 - w / 2", "readiness_score": "v * 5 + w"}
+_BOTH = [("ahi", "spo2.min_pct"), ("ahi", "spo2.pct_time_below_90"), ("ahi", "hrv.rmssd_ms"), ("ahi", "efficiency_pct"), ("median_epap", "spo2.min_pct"), ("usage_hours", "readiness_score"), ("usage_hours", "hrv.rmssd_ms")]
+_MISSING = [("ahi", "hr.sleeping_avg"), ("ahi", "rr_nightly"), ("ahi", "snore.snore_minutes"), ("leak_median", "efficiency_pct"), ("ahi", "stress_score")]
+_RANK = "rank() OVER (PARTITION BY x, y ORDER BY {0}) + (count(*) OVER (PARTITION BY x, y, {0}) - 1) / 2.0"
+
+
+@query("T26_pair_matrix", f"""WITH {NIGHTS}, n AS (SELECT v, w, date_diff('day', DATE '1990-01-01', day) % 5 AS e FROM nights WHERE w IS NOT NULL),
+l AS ({' UNION ALL '.join(f"SELECT '{x}' AS x, '{y}' AS y, {_HERE[x]} AS a, {_HERE[y]} AS b FROM n" for x, y in _BOTH)}),
+k AS (SELECT x, y, {_RANK.format('a')} AS ra, {_RANK.format('b')} AS rb FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+p AS (SELECT x, y, {r('corr(ra, rb)', 'rho')} FROM k GROUP BY 1, 2 UNION ALL SELECT * FROM (VALUES {', '.join(f"('{x}', '{y}', CAST(NULL AS DOUBLE))" for x, y in _MISSING)}) t(x, y, rho))
+SELECT x, y, rho FROM p UNION ALL SELECT y, x, rho FROM p UNION ALL SELECT x, x, 1.0 FROM (SELECT x FROM p UNION SELECT y FROM p)""")
+def _(spark, sf):
+    rho = inference.spearman(engine.pairs_long(_engine_nights(spark, sf)), "x_value", "y_value", ["pair_id"]).withColumnRenamed("r", "rho")
+    found = engine.registry(spark).join(rho, "pair_id", "left").withColumn("p_value_adj", F.lit(None).cast("double"))
+    return rounded(engine.pair_matrix(found).select("x", "y", "rho"))

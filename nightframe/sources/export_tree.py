@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from nightframe.sources import files
 
 # Folders and name parts that must not be read.
 DENIED_FOLDERS = (
@@ -97,20 +100,20 @@ class ExportFile:
     kind: Kind
 
 
-def enumerate_export(root: str, opt_in: bool = False) -> list[ExportFile]:
-    """Readable files under ``root``, by path; denied folders are left out before they are opened."""
-    found, base = [], Path(root)
-    waiting = [base]
+def enumerate_export(spark: SparkSession, root: str, opt_in: bool = False) -> list[ExportFile]:
+    """Readable files under ``root``, by path, on any file system; denied folders are left out before they are opened."""
+    found, waiting = [], [("", root)]
     while waiting:
-        for entry in sorted(waiting.pop().iterdir()):
-            relative = entry.relative_to(base).as_posix()
-            if entry.is_dir():
+        above, folder = waiting.pop()
+        for name, path, is_folder, size in files.children(spark, folder):
+            relative = f"{above}{name}"
+            if is_folder:
                 if not is_denied_folder(relative, opt_in):
-                    waiting.append(entry)
+                    waiting.append((f"{relative}/", path))
             elif classify(relative, opt_in) == "allowed":
-                found.append(ExportFile(str(entry), relative, entry.stat().st_size, describe(relative)))
+                found.append(ExportFile(path, relative, size, describe(relative)))
     return sorted(found, key=lambda f: f.relative)
 
 
-def scan_summary(files: list[ExportFile]) -> dict[str, int]:
-    return dict(Counter(f.kind.metric for f in files))
+def scan_summary(found: list[ExportFile]) -> dict[str, int]:
+    return dict(Counter(f.kind.metric for f in found))

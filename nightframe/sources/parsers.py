@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightframe.functions import exprs as X
+from nightframe.sources import files
 
 
 def _file() -> Column:
@@ -15,9 +16,9 @@ def _file() -> Column:
 
 def _csv(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
     """Text columns by name, missing ones null, with the file each row is from."""
-    raw = spark.read.csv(paths, header=True, mode="PERMISSIVE", quote='"', escape='"')
+    raw = files.read_csv(spark, paths)
     have = set(raw.columns)
-    return raw.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast("string").alias(c) for c in columns], _file())
+    return raw.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast("string").alias(c) for c in columns], F.col("_file").alias("file"))
 
 
 def _json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:

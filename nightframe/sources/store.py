@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from nightframe.sources.files import exists, remove
+
 
 def last_writer(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in the given order."""
@@ -25,11 +27,17 @@ def month_of(night: str) -> Column:
     return F.date_format(night, "yyyy-MM")
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], night: str = "night") -> None:
-    """Writes rows by key: new ones replace old ones. Only the months that ``rows`` touches are read and written again;
-    rows repeated within a key count once. The new months are staged beside the store before they replace the old."""
-    fresh = rows.dropDuplicates(key).withColumn("month", month_of(night))
-    if not _exists(spark, path):
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], night: str = "night", order: list[str] | None = None) -> None:
+    """Writes rows by key: new ones replace old ones. Only the months that ``rows`` touches are read and written again.
+
+    Of rows that repeat a key the last one in ``order`` counts (the values of all other columns, if none is named). The new
+    months are staged beside the store, replace the old ones month by month, and are then removed: a run that is broken off
+    leaves the staged copy and can be repeated.
+    """
+    rest = order or [c for c in sorted(rows.columns) if c not in key]
+    fresh = last_writer(rows, key, rest) if rest else rows.dropDuplicates(key)
+    fresh = fresh.withColumn("month", month_of(night))
+    if not exists(spark, path):
         fresh.write.partitionBy("month").parquet(path)
         return
     months = [r[0] for r in fresh.select("month").distinct().collect()]
@@ -38,11 +46,29 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], nigh
     staged = f"{path.rstrip('/')}-staged-{hashlib.sha256(os.urandom(16)).hexdigest()[:12]}"
     merged.write.partitionBy("month").parquet(staged)
     spark.read.parquet(staged).withColumn("month", F.col("month").cast("string")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    remove(spark, staged)
+
+
+def set_meta(spark: SparkSession, path: str, key: str, value: str) -> None:
+    """One value beside the store, by key; replaces what the key had."""
+    spark.createDataFrame([(key, value)], "key string, value string").coalesce(1).write.mode("overwrite").json(_meta(path, key))
+
 
+def get_meta(spark: SparkSession, path: str, key: str) -> str | None:
+    if not exists(spark, _meta(path, key)):
+        return None
+    return spark.read.schema("key string, value string").json(_meta(path, key)).first()["value"]
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+def _meta(path: str, key: str) -> str:
+    return f"{path.rstrip('/')}-meta/{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+
+
+def clear_all(spark: SparkSession, *paths: str) -> None:
+    """Forgets stores: their rows and their metadata."""
+    for path in paths:
+        remove(spark, path)
+        remove(spark, f"{path.rstrip('/')}-meta")
 
 
 def nights_between(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
@@ -65,6 +91,13 @@ def high_water(nights: DataFrame, metric: str = "metric", night: str = "night")
     return nights.groupBy(metric).agg(F.max(night).alias("high_water"))
 
 
+def ingest_totals(series: DataFrame, malformed: DataFrame, metric: str = "metric", night: str = "night") -> DataFrame:
+    """For each metric its first and last night, how many rows it has and how many of its rows were malformed."""
+    ranges = series.groupBy(metric).agg(F.min(night).alias("first_night"), F.max(night).alias("last_night"), F.count(F.lit(1)).alias("rows_kept"))
+    bad = malformed.groupBy(metric).agg(F.sum("malformed").alias("malformed"))
+    return ranges.join(bad, metric, "full_outer").withColumns({"rows_kept": F.coalesce("rows_kept", F.lit(0)), "malformed": F.coalesce("malformed", F.lit(0))})
+
+
 def since(rows: DataFrame, mark: str | None, night: str = "night") -> DataFrame:
     return rows if mark is None else rows.filter(F.col(night) > F.lit(mark).cast("date"))
 
@@ -82,15 +115,24 @@ def load_session(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 # --- protected export ----------------------------------------------------------------------------------------------
 
-ROUNDS, SALT, LEAST = 100_000, 16, 12
+ROUNDS, SALT = 100_000, 16
+# The length a passphrase needs, lengths that count, and how many points make it moderate and strong.
+LEAST, COUNTED, MODERATE, STRONG = 8, (12, 16), 3, 5
 
 
-def passphrase_problems(passphrase: str) -> list[str]:
-    rules = {
-        f"at least {LEAST} characters": len(passphrase) >= LEAST, "a lower-case letter": any(c.islower() for c in passphrase), "an upper-case letter": any(c.isupper() for c in passphrase),
-        "a digit": any(c.isdigit() for c in passphrase), "a symbol": any(not c.isalnum() for c in passphrase),
+def passphrase_strength(passphrase: str) -> tuple[bool, str, list[str]]:
+    """Whether a passphrase may be used, how strong it is (weak, moderate, strong), and what would make it stronger. Lengths
+    and kinds of characters give a point each."""
+    if len(passphrase) < LEAST:
+        return False, "weak", [f"at least {LEAST} characters"]
+    kinds = {
+        "lower-case letters": any(c.isascii() and c.islower() for c in passphrase), "upper-case letters": any(c.isascii() and c.isupper() for c in passphrase),
+        "digits": any(c.isascii() and c.isdigit() for c in passphrase), "symbols": any(not (c.isascii() and c.isalnum()) for c in passphrase),
     }
-    return [need for need, met in rules.items() if not met]
+    points = sum(kinds.values()) + sum(len(passphrase) >= n for n in COUNTED)
+    strength = "strong" if points >= STRONG else "moderate" if points >= MODERATE else "weak"
+    advice = [f"{COUNTED[0]} or more characters"] if len(passphrase) < COUNTED[0] else []
+    return True, strength, advice + [name for name, there in kinds.items() if not there and name != "lower-case letters"]
 
 
 def _key(passphrase: str, salt: bytes) -> Column:

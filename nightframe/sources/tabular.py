@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightframe.functions import exprs as X
+from nightframe.sources import files
 
 # Required headers.
 SUMMARY = ("Date", "Total Time", "AHI", "Median EPAP")
@@ -37,9 +38,9 @@ def classify(spark: SparkSession, path: str) -> str:
     return "details" if first and re.search("event", first[0][0], re.IGNORECASE) else "summary"
 
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All columns as text; malformed lines fill what they can. Files are split and read in parallel."""
-    return spark.read.csv(path, header=True, mode="PERMISSIVE", quote='"', escape='"')
+def read_csv(spark: SparkSession, path: str | list[str], typed: bool = False) -> DataFrame:
+    """All columns as text, or ``typed`` by their values; every file by its own header. See ``files.read_csv``."""
+    return files.read_csv(spark, path, typed).drop("_file")
 
 
 def read_summary(spark: SparkSession, path: str | list[str], compat_usage: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,14 +11,14 @@ from nightframe import cli
 from nightframe import params as P
 from nightframe.functions import exprs as X
 from nightframe.operators import descriptive as D
-from nightframe.operators import engine, explorer
+from nightframe.operators import engine, explorer, kernels
 from nightframe.operators import events as E
 from nightframe.operators import inference as I
 from nightframe.operators import series as S
 from nightframe.operators import wearable as N
 from nightframe.plans.inference_layer import QUERIES
 from nightframe.plans.ingest import ingest, manifest_of
-from nightframe.sources import export_tree, store, tabular
+from nightframe.sources import export_tree, parsers, store, tabular
 
 DAY = dt.date(2021, 1, 1)
 
@@ -213,6 +214,83 @@ def test_headers(spark, tmp_path):
     assert tabular.classify(spark, str(tmp_path / "d.csv")) == "details" and tabular.classify(spark, str(tmp_path / "s.csv")) == "summary"
 
 
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    """Columns change places and names from file to file, some are missing, one file is compressed, one is empty."""
+    import gzip
+
+    folder = tmp_path / "rates"
+    folder.mkdir()
+    (folder / "a.csv").write_text("timestamp,deep_sleep_breathing_rate,light_sleep_breathing_rate\n2021-01-01T00:00:00,10,20\n")
+    (folder / "b.csv").write_text("light_sleep_breathing_rate,timestamp,deep_sleep_breathing_rate\n20,2021-01-02T00:00:00,10\n")
+    (folder / "c.csv").write_text("timestamp,light_breathing_rate,deep_breathing_rate,signal_to_noise\n2021-01-03T00:00:00,20,10,3\n")
+    (folder / "d.csv.gz").write_bytes(gzip.compress(b"deep_breathing_rate,timestamp\n10,2021-01-04T00:00:00\n"))
+    (folder / "e.csv").write_text("")
+    for where in ([str(p) for p in sorted(folder.iterdir())], str(folder), str(folder / "*")):
+        out = parsers.resp_rate_stage(spark, where).orderBy("night").collect()
+        assert [(r["night"].day, r["rr_deep"], r["rr_light"]) for r in out] == [(1, 10, 20), (2, 10, 20), (3, 10, 20), (4, 10, None)] and out[2]["rr_signal_to_noise"] == 3
+        assert [r["file"].rsplit("/", 1)[1] for r in out] == ["a.csv", "b.csv", "c.csv", "d.csv.gz"]
+    assert dict(tabular.read_csv(spark, str(folder / "a.csv"), typed=True).dtypes)["deep_sleep_breathing_rate"] == "int"
+    assert tabular.read_csv(spark, [str(folder / "e.csv")]).count() == 0
+
+
+def test_normalized_intervals(spark):
+    df = spark.createDataFrame(
+        [(1, "2021-01-02T03:00:00Z", None, [("2021-01-01T00:00:00Z", 1)]), (2, None, "bad", [("x", 1), ("2021-01-05T00:00:00Z", 2), ("2021-01-06T00:00:00Z", 3), None]), (3, "bad", "2021-01-02T00:00:00Z", [])],
+        "id int, start string, end string, events array<struct<date:string,k:int>>",
+    )
+    plain = {r["id"]: r for r in E.normalize_intervals(df.drop("events")).collect()}
+    assert set(plain) == {1} and plain[1]["end"] == plain[1]["start"] == dt.datetime(2021, 1, 2, 3)
+    full = {r["id"]: r for r in E.normalize_intervals(df, events="events").collect()}
+    assert set(full) == {1, 2} and [e["k"] for e in full[2]["events"]] == [2, 3]
+    assert (full[2]["start"], full[2]["end"]) == (dt.datetime(2021, 1, 5), dt.datetime(2021, 1, 6)) and full[1]["end"] == dt.datetime(2021, 1, 1)
+
+
+def test_selected_rows_options_and_ranges(spark):
+    df = spark.range(20).withColumn("v", (F.col("id") * 7) % 20)
+    assert [r["v"] for r in explorer.select_rows(df, ["v"], [5, 0, 5]).collect()] == [0, 5] and explorer.select_rows(df, ["v"], []).count() == 20
+    assert P.ClusterParams.from_options({"min_density_per_min": 2.0, "gap": 5.0, "other": 1}) == P.ClusterParams(gap=5.0, min_density=2.0)
+    assert P.ClusterParams.from_options({"min_density": 0, "min_density_per_min": 2.0}).min_density == 0
+    row = spark.createDataFrame([(dt.datetime(2021, 1, 2), None)], "a timestamp, b timestamp").select(X.range_texts("a", "b").alias("r")).first()["r"]
+    assert (row["start"], row["end"]) == ("2021-01-02T00:00:00.000Z", None)
+    assert scalar(spark, X.maybe_date(F.lit("2021-01-02T00:00:00Z"))) == dt.datetime(2021, 1, 2) and scalar(spark, X.maybe_date(F.lit("no"))) is None
+    assert S.dense_days(nights(spark, [1.0, 2.0], 6000), "day", ["v"]).count() == 6001
+    assert [r["lag"] for r in S.correlogram(nights(spark, [1.0, 2.0, 4.0]), "day", "v", 9).orderBy("lag").collect()] == [1, 2]
+
+
+def test_partials_from_moments(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a" if k % 3 else "b", *map(float, rng.normal(size=2) + [k % 5, k % 7]), float(k % 5), None if k % 11 == 0 else float(k % 7)) for k in range(300)] + [("c", 1.0, 2.0, 3.0, 4.0)] * 5
+    df = spark.createDataFrame(rows, "g string, x double, y double, p double, q double")
+    got = {r["g"]: r for r in kernels.partial_correlations(df, "x", "y", ["p", "q"], ["g"]).collect()}
+    for g in "ab":
+        own = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows if r[0] == g])
+        assert got[g]["r"] == pytest.approx(kernels.partial_correlation(own[:, 0], own[:, 1], own[:, 2:])) and got[g]["n"] == len(own)
+    assert got["c"]["r"] is None
+    # a control twice makes the system singular: the raw series count
+    twice = kernels.partial_correlations(df, "x", "y", ["p", "p"], ["g"]).filter("g = 'a'").first()["r"]
+    own = np.array([r[1:4] for r in rows if r[0] == "a"])
+    assert twice == pytest.approx(np.corrcoef(own[:, 0], own[:, 1])[0, 1])
+    matrix = {(r["x"], r["y"]): r for r in kernels.partial_matrix(df, ["x", "y", "p"], ["p", "q"]).collect()}
+    full = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows])
+    assert matrix[("x", "y")]["partial"] == pytest.approx(kernels.partial_correlation(full[:, 0], full[:, 1], full[:, 2:])) and matrix[("x", "x")]["partial"] == 1
+    assert matrix[("x", "p")]["partial"] == pytest.approx(kernels.partial_correlation(full[:, 0], full[:, 2], full[:, 3:]))
+
+
+def test_subjects_across_batches(spark):
+    """Subjects that reach over Arrow batches stay whole."""
+    rows = [(u, float(k), 1.0) for u in range(30) for k in range(u * 9 % 41 + 1)]
+    df = spark.createDataFrame(rows, "u int, t double, dur double").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {(r["u"], r["n"], r["in_order"]) for r in kernels.by_subject(df, ["u"], ["t"], lambda pdf: pdf[["u"]].iloc[:1].assign(n=len(pdf), in_order=pdf["t"].is_monotonic_increasing), "u int, n bigint, in_order boolean").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(u, u * 9 % 41 + 1, True) for u in range(30)}
+    whole = E.kmeans_clusters(df.select("t", "dur"), P.ClusterParams("kmeans", k=2)).collect()
+    assert len(whole) == len(rows) and {r["cluster"] for r in whole} == {1, 2}
+
+
 def test_paths():
     C = export_tree.classify
     assert C("Global Export Data/sleep-2021-01-01.json") == "allowed"
@@ -290,7 +368,22 @@ def test_store(spark, tmp_path):
     assert store.decrypt_rows(secret, "Passphrase-123!", "night date, v int").collect()[0]["v"] == 1
     with pytest.raises(Exception, match="AES|CRYPTO"):
         store.decrypt_rows(secret, "wrong", "night date, v int").collect()
-    assert store.passphrase_problems("short") and not store.passphrase_problems("Passphrase-123!")
+    assert [store.passphrase_strength(p)[:2] for p in ("", "short7!", "longenough", "Longenough12", "Passphrase-123!")] == [(False, "weak"), (False, "weak"), (True, "weak"), (True, "moderate"), (True, "strong")]
+    assert store.passphrase_strength("alllowercase")[2] == ["upper-case letters", "digits", "symbols"]
+    repeated = spark.createDataFrame([(dt.date(2021, 1, 2), v) for v in (5, 8, 3)], "night date, v int")
+    store.upsert(spark, path, repeated, ["night"])
+    assert {r["v"] for r in store.nights_between(spark, path, "2021-01-02", "2021-01-02").collect()} == {8}
+    assert [p.name for p in tmp_path.iterdir() if "staged" in p.name] == []
+    assert store.get_meta(spark, path, "folder") is None
+    for value in ("a", "b'\"ü"):
+        store.set_meta(spark, path, "folder", value)
+        assert store.get_meta(spark, path, "folder") == value
+    store.clear_all(spark, path)
+    assert store.get_meta(spark, path, "folder") is None and not (tmp_path / "nights").exists()
+    bad = spark.createDataFrame([("hr", 2, 9), ("hr", 1, 4), ("spo2", 3, 3)], "metric string, malformed bigint, rows bigint")
+    got = spark.createDataFrame([("hr", dt.date(2021, 1, 2)), ("hr", dt.date(2021, 1, 5))], "metric string, night date")
+    totals = {r["metric"]: r for r in store.ingest_totals(got, bad).collect()}
+    assert (totals["hr"]["first_night"].day, totals["hr"]["last_night"].day, totals["hr"]["rows_kept"], totals["hr"]["malformed"]) == (2, 5, 2, 3) and totals["spo2"]["rows_kept"] == 0
     store.save_session(spark, str(tmp_path / "s"), df([("2021-01-01", 1)]), df([]), {"a": "b"})
     assert store.load_session(spark, str(tmp_path / "s"))[2] == {"a": "b"}
 
