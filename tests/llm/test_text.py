@@ -278,3 +278,57 @@ def test_unigram_paths_are_best():
     for word in sorted({"▁" + "".join(rng.choice(list("abc"), n)) for n in range(1, 9) for _ in range(6)}):
         got = forward.encode(word)
         assert "".join(v.pieces[i] for i in got) == word and sum(v.scores[i] for i in got) == pytest.approx(best(word))
+
+
+def raw_fields(data):
+    """Fields of a message with their raw bytes."""
+    at = 0
+
+    def number():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        begin = at
+        key = number()
+        if key & 7 == 0:
+            number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7)
+            size = number() if size is None else size
+            at += size
+        yield key >> 3, data[begin:at], data[at - size : at] if key & 7 else b""
+
+
+@needs_model
+def test_best_scores_match_the_library(spark):
+    """The public pieces under the other kind of model: there the path of the best score is what the library gives."""
+    import sentencepiece
+
+    data = open(MODEL, "rb").read()
+    out = []
+    for number, raw, body in raw_fields(data):
+        if number == 2:
+            inner = b"".join(r for n, r, _ in raw_fields(body) if n != 3) + b"\x18\x01"
+            size, n = b"", len(inner)
+            while n > 127:
+                size, n = size + bytes((n & 127 | 128,)), n >> 7
+            raw = b"\x12" + size + bytes((n,)) + inner
+        out.append(raw)
+    data = b"".join(out)
+    assert pieces.read_model(data).model == pieces.UNIGRAM
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    vocabulary = pieces.read_model(data)
+    texts = ["The quick brown fox jumps over the lazy dog.", "unhappiness  unhappily, 1234567 naïve façade", "", "日本語 x😀y", "internationalization of counterrevolutionaries", "<s> a"]
+    df = spark.createDataFrame(list(enumerate(texts)), ID_TEXT)
+    got = {r["doc_id"]: list(r["ids"]) for r in pieces.encode(df, data).collect()}
+    worth = lambda ids: sum(vocabulary.scores[i] if vocabulary.kinds[i] == pieces.NORMAL else 0.0 for i in ids)
+    for i, text in enumerate(texts):
+        want = library.encode(text)
+        assert got[i] == want or worth(got[i]) == pytest.approx(worth(want)), text
+        assert library.decode(got[i]) == library.decode(want)
