@@ -99,17 +99,36 @@ def offset_scores(near: DataFrame, key: str = "night") -> DataFrame:
 
 
 def infer_offsets(near: DataFrame, key: str = "night") -> DataFrame:
-    """The offset of the largest share; of equals the smallest in size, then the more negative. Too few samples or too
-    small a share are not believed; ``unstable`` says that the commonest start-to-sample distance tells otherwise."""
-    rank = F.struct("share", -F.abs(F.col("offset")), -F.col("offset"))
-    best = offset_scores(near, key).groupBy(key).agg(F.max_by("offset", rank).alias("offset"), F.max("share").alias("share"), F.max("total").alias("total"))
+    """The offset of the largest share; of equals the one nearest to the last believed offset before (0 before any), then the
+    smallest in size, then the more negative. Too few samples or too small a share are not believed; ``unstable`` says that
+    the commonest start-to-sample distance tells otherwise.
+
+    What one night believes decides ties of the next, so the nights of the wearer, one short row for each day, are walked in
+    order; everything before that is grouped by night.
+    """
+    scores = offset_scores(near, key)
+    most = scores.groupBy(key).agg(F.max("inside").alias("_top"))
+    enough = F.col("total") >= LEAST_SAMPLES
+    best = scores.join(most, key).filter("inside = _top").groupBy(key).agg(F.sort_array(F.collect_list("offset")).alias("_ties"), F.max("share").alias("share"), F.max("total").alias("total"))
+    best = best.withColumn("confident", enough & (F.col("share") >= LEAST_SHARE))
+    line = F.array_sort(F.collect_list(F.struct(key, F.when(enough, F.col("_ties")).alias("ties"), "confident")))
+    nights = best.agg(line.alias("_line"))
+    kind = next(k for c, k in near.dtypes if c == key)
+
+    def walk(state: Column, night: Column) -> Column:
+        from_last = lambda o: F.struct(F.abs(o - F.coalesce(state["last"], F.lit(0))).alias("a"), F.abs(o).alias("b"), o.alias("o"))
+        chosen = F.array_min(F.transform(night["ties"], from_last))["o"]
+        seen = F.array(F.struct(night[key].alias(key), chosen.alias("offset")))
+        return F.struct(F.when(night["confident"], chosen).otherwise(state["last"]).alias("last"), F.concat(state["seen"], seen).alias("seen"))
+
+    begin = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast(f"array<struct<{key}:{kind},offset:int>>").alias("seen"))
+    offsets = nights.select(F.explode(F.aggregate("_line", begin, walk)["seen"]).alias("o")).select("o.*")
     modal = near.groupBy(key, (F.floor((F.col("start_min") - F.col("utc_min")) / STEP + 0.5) * STEP).alias("_m")).agg(F.count(F.lit(1)).alias("_c"))
     modal = modal.groupBy(key).agg(F.max_by("_m", F.struct("_c", -F.col("_m"))).alias("modal"))
-    out = best.join(modal, key)
-    enough = F.col("total") >= LEAST_SAMPLES
+    out = best.join(offsets, key).join(modal, key)
     return out.select(
-        key, F.when(enough, F.col("offset")).alias("offset"), F.when(enough, F.col("share")).otherwise(0.0).alias("share"), "total",
-        (enough & (F.col("share") >= LEAST_SHARE)).alias("confident"), (enough & (F.abs(F.col("modal") - F.col("offset")) > STEP)).alias("unstable"),
+        key, "offset", F.when(enough, F.col("share")).otherwise(0.0).alias("share"), "total", "confident",
+        (enough & (F.abs(F.col("modal") - F.col("offset")) > STEP)).alias("unstable"),
     )
 
 

@@ -88,11 +88,16 @@ def _(spark, sf):
     return rounded(N.offset_scores(N.samples_near(windows(spark, sf), samples(spark, sf).select("utc_min"))))
 
 
-@query("T27_infer_offsets", f"""WITH {SHIFTED}, k AS (SELECT unnest(generate_series(-840, 840, 15)) AS o), x AS (SELECT night, a, t FROM wn JOIN sm ON t >= a - 840 AND t < a + 480 + 840),
-c AS (SELECT night, o, count(*) FILTER (t + o >= a AND t + o < a + 480) AS i, count(*) AS n FROM x, k GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY night ORDER BY i DESC, abs(o), o) AS p FROM c),
+# the nights one after the other, by recursion
+@query("T27_infer_offsets", f"""WITH RECURSIVE {SHIFTED}, k AS (SELECT unnest(generate_series(-840, 840, 15)) AS o), x AS (SELECT night, a, t FROM wn JOIN sm ON t >= a - 840 AND t < a + 480 + 840),
+c AS (SELECT night, o, count(*) FILTER (t + o >= a AND t + o < a + 480) AS i, count(*) AS n FROM x, k GROUP BY 1, 2), h AS (SELECT *, max(i) OVER (PARTITION BY night) AS top FROM c),
+b AS (SELECT night, list(o ORDER BY o) AS ties, max(i) AS i, max(n) AS n, row_number() OVER (ORDER BY night) AS k FROM h WHERE i = top GROUP BY night),
+s AS (SELECT k, CAST(NULL AS BIGINT) AS o, CAST(NULL AS BIGINT) AS prev FROM (SELECT 0 AS k)
+ UNION ALL SELECT k, CASE WHEN n >= 30 THEN c END, CASE WHEN n >= 30 AND i / n::DOUBLE >= 0.5 THEN c ELSE prev END FROM (SELECT b.k, n, i, prev,
+ list_sort(list_transform(ties, lambda z: {{'d': abs(z - coalesce(prev, 0)), 's': abs(z), 'o': z}}))[1].o AS c FROM s JOIN b ON b.k = s.k + 1) y),
 m AS (SELECT night, floor((a - t) / 15 + 0.5) * 15 AS d, count(*) AS q FROM x GROUP BY 1, 2), e AS (SELECT night, d, row_number() OVER (PARTITION BY night ORDER BY q DESC, d) AS p FROM m)
-SELECT b.night, CASE WHEN n >= 30 THEN CAST(o AS BIGINT) END AS "offset", {r('CASE WHEN n >= 30 THEN i / n::DOUBLE ELSE 0 END', 'share')}, n AS total, n >= 30 AND i / n::DOUBLE >= 0.5 AS confident,
- n >= 30 AND abs(d - o) > 15 AS unstable FROM b JOIN e ON b.night = e.night AND e.p = 1 WHERE b.p = 1""")
+SELECT b.night, CAST(o AS BIGINT) AS "offset", {r('CASE WHEN n >= 30 THEN i / n::DOUBLE ELSE 0 END', 'share')}, n AS total, n >= 30 AND i / n::DOUBLE >= 0.5 AS confident,
+ coalesce(n >= 30 AND abs(d - o) > 15, false) AS unstable FROM b JOIN s USING (k) JOIN e ON b.night = e.night AND e.p = 1""")
 def _(spark, sf):
     found = N.infer_offsets(N.samples_near(windows(spark, sf), shifted_samples(spark, sf)))
     return rounded(found.select("night", "offset", "share", "total", "confident", "unstable"))

@@ -396,6 +396,18 @@ def test_alignment(spark):
     assert out[1]["match_type"] == "exact" and out[2]["match_type"] == "shifted+1" and 3 not in out
 
 
+def test_ties_go_to_the_last_believed_offset(spark):
+    """The first night fits only -300; the second fits many offsets equally, the third has too few samples, the fourth as the second."""
+    rows = []
+    for night, (first, minutes) in {1: (300, 480), 2: (420, 240), 3: (420, 10), 4: (420, 240), 5: (-60, 240)}.items():
+        start = night * 10_000.0
+        rows += [(night, start, start + 480, start + first + k) for k in range(minutes)]
+    near = spark.createDataFrame(rows, "night int, start_min double, end_min double, utc_min double")
+    out = {r["night"]: r for r in N.infer_offsets(near).collect()}
+    assert [out[n]["offset"] for n in (1, 2, 3, 4)] == [-300, -300, None, -300] and [out[n]["confident"] for n in (1, 2, 3, 4)] == [True, True, False, True]
+    assert out[5]["offset"] == 60 and {r["night"]: r["offset"] for r in N.infer_offsets(near.filter("night = 2")).collect()} == {2: -180}
+
+
 def test_offset_chain(spark):
     rows = [(0, -300, True, None), (1, None, False, None), (2, None, False, 60), (3, None, False, 0), (9, 400, False, None)]
     df = spark.createDataFrame([(DAY + dt.timedelta(i), o, c, h) for i, o, c, h in rows], "night date, offset int, confident boolean, hint int")
