@@ -140,24 +140,32 @@ def grid_of(df: DataFrame, x: str, points: int = 60) -> DataFrame:
     return ends.select("a", "z", F.posexplode(step).alias("point", "_k")).select("point", (F.col("a") + (F.col("z") - F.col("a")) * F.col("_k") / (points - 1)).alias("x0"))
 
 
+#: Slices of the range of x in which rows are numbered.
+SLICES = 1024
+
+
 def _nearest(df: DataFrame, x: str, y: str, grid: DataFrame, count: Column) -> DataFrame:
     """For each grid point the ``count`` nearest rows; of two at one distance the one to the left.
 
     The nearest lie among the ``count`` rows on either side, so rows are ranked once and met by rank, not by comparing
-    every row with every point. ``count`` is computed from ``_n``, the number of rows.
+    every row with every point. Rows are ranked within slices of the range of x, each by itself, and the slices' sizes say
+    where each begins. ``count`` is computed from ``_n``, the number of rows.
     """
     pts = _paired(df, x, y, [])
-    order = W.orderBy("_x", "_y")
-    pts = pts.withColumn("_r", F.row_number().over(order))
-    size = pts.agg(F.count(F.lit(1)).alias("_n"))
-    # each grid point: how many rows lie to the left of it. Points are few, so they are broadcast; rows are counted once.
-    marks = pts.select("_x").unionByName(grid.select(F.col("x0").alias("_x"))).distinct()
-    left = marks.alias("m")
-    below = pts.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
-    cumulative = left.join(below, "_x", "left").withColumn("_below", F.sum(F.coalesce("_c", F.lit(0))).over(W.orderBy("_x")) - F.coalesce("_c", F.lit(0)))
-    spots = grid.join(cumulative.select(F.col("_x").alias("x0"), "_below"), "x0").join(F.broadcast(size)).withColumn("_k", count.cast("long"))
-    wanted = spots.withColumn("_r", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_below") - F.col("_k") + 1), F.least(F.col("_n"), F.col("_below") + F.col("_k")))))
-    met = wanted.join(pts, "_r")
+    ends = F.broadcast(pts.agg(F.min("_x").alias("_a"), F.max("_x").alias("_z"), F.count(F.lit(1)).alias("_n")))
+    share = F.coalesce(ratio(F.col("_at") - F.col("_a"), F.when(F.col("_z") > F.col("_a"), F.col("_z") - F.col("_a"))), F.lit(0.0))
+    sliced = lambda d: d.join(ends).withColumn("_s", F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(share * SLICES))).cast("int"))
+    pts = sliced(pts.withColumn("_at", F.col("_x"))).select("_x", "_y", "_s")
+    spine = df.sparkSession.range(SLICES).select(F.col("id").cast("int").alias("_s"))
+    sizes = spine.join(pts.groupBy("_s").agg(F.count(F.lit(1)).alias("_c")), "_s", "left").fillna(0, ["_c"])
+    # as many rows as there are slices
+    base = F.broadcast(sizes.select("_s", (F.sum("_c").over(W.orderBy("_s")) - F.col("_c")).alias("_base")))
+    pts = pts.join(base, "_s").withColumn("_r", F.col("_base") + F.row_number().over(W.partitionBy("_s").orderBy("_x", "_y")))
+    spots = sliced(grid.withColumn("_at", F.col("x0"))).join(base, "_s").withColumn("_k", count.cast("long"))
+    before = pts.join(F.broadcast(spots.select("point", "x0", "_s")), "_s").groupBy("point").agg(F.count(F.when(F.col("_x") < F.col("x0"), 1)).alias("_inside"))
+    spots = spots.join(before, "point", "left").withColumn("_below", F.col("_base") + F.coalesce("_inside", F.lit(0)))
+    wanted = spots.select("point", "x0", "_n", "_k", "_below", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_below") - F.col("_k") + 1), F.least(F.col("_n"), F.col("_below") + F.col("_k")))).alias("_r"))
+    met = wanted.join(pts.select("_r", "_x", "_y"), "_r")
     left_first = F.when(F.col("_r") <= F.col("_below"), 0).otherwise(1)
     from_edge = F.when(left_first == 0, -F.col("_r")).otherwise(F.col("_r"))
     near = W.partitionBy("point").orderBy(F.abs(F.col("_x") - F.col("x0")), left_first, from_edge)
