@@ -15,13 +15,52 @@ def quantile(c: str | Column, q: float) -> Column:
     return F.percentile(col(c), F.lit(q))
 
 
-def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: list[str] = ()) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: list[str] = (), spread: bool = False) -> DataFrame:
+    """``n`` and the quantiles by name. ``spread`` is for series of any length: there no task sees a whole series."""
+    if spread:
+        return _spread_quantiles(df, value, probabilities, list(by))
     x = df.withColumn("_x", finite(value))
     return x.groupBy(*by).agg(F.count("_x").alias("n"), *[quantile("_x", q).alias(name) for name, q in probabilities.items()])
 
 
-def median_iqr(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    out = quantiles(df, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}, by)
+#: Slices of the range of values in which order statistics are looked for.
+SLICES = 4096
+
+
+def _spread_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: list[str]) -> DataFrame:
+    """The same from counts by slice of the range: they tell in which slices the wanted order statistics lie, and only the
+    rows of those are counted by value and put in order, each slice by itself. Equal values are one row there."""
+    series = F.struct(*by) if by else F.struct(F.lit(0).alias("_one"))
+    x = df.select(series.alias("_g"), finite(value).alias("_x"))
+    ends = x.agg(F.min("_x").alias("_a"), F.max("_x").alias("_z"))
+    share = F.coalesce(ratio(F.col("_x") - F.col("_a"), F.nullif(F.col("_z") - F.col("_a"), F.lit(0.0))), F.lit(0.0))
+    rows = x.filter("_x is not null").join(F.broadcast(ends)).select("_g", "_x", F.least(F.lit(SLICES - 1), F.floor(share * SLICES)).cast("int").alias("_s"))
+    all_of = W.partitionBy("_g")
+    sizes = rows.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", F.sum("_c").over(all_of))
+    sizes = sizes.withColumn("_base", F.sum("_c").over(all_of.orderBy("_s")) - F.col("_c"))
+    place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    ends_of = {"lo": F.floor, "hi": F.ceil}
+    asked = F.array(*[F.struct(F.lit(f"{name} {end}").alias("what"), (f(place(q)).cast("long") - F.col("_base")).alias("at")) for name, q in probabilities.items() for end, f in ends_of.items()])
+    wanted = sizes.select("_g", "_s", F.filter(asked, lambda w: (w["at"] >= 0) & (w["at"] < F.col("_c"))).alias("_asked")).filter(F.size("_asked") > 0)
+    counts = rows.join(wanted.select("_g", "_s"), ["_g", "_s"], "left_semi").groupBy("_g", "_s", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy("_g", "_s").orderBy("_x"))
+    met = counts.withColumn("_upto", upto).join(wanted, ["_g", "_s"])
+    met = met.select("_g", "_x", F.explode(F.filter("_asked", lambda w: (w["at"] >= F.col("_upto") - F.col("_c")) & (w["at"] < F.col("_upto")))["what"]).alias("_what"))
+    found = met.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_what", "_x"))).alias("_m"))
+    # without ``by`` there is one row, even of an empty table
+    totals = x.groupBy("_g").agg(F.count("_x").alias("n")) if by else x.agg(F.count("_x").alias("n")).withColumn("_g", series)
+    out = totals.join(found, "_g", "left")
+
+    def between(name: str, q: float) -> Column:
+        lo, hi = (F.try_element_at("_m", F.lit(f"{name} {end}")) for end in ends_of)
+        part = (F.col("n") - 1) * F.lit(float(q)) - F.floor((F.col("n") - 1) * F.lit(float(q)))
+        return ((1 - part) * lo + part * hi).alias(name)
+
+    return out.select(*[F.col("_g")[c].alias(c) for c in by], "n", *[between(name, q) for name, q in probabilities.items()])
+
+
+def median_iqr(df: DataFrame, value: str, by: list[str] = (), spread: bool = False) -> DataFrame:
+    out = quantiles(df, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}, by, spread)
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
@@ -118,17 +157,20 @@ def epap_trends(df: DataFrame, day: str, epap: str, ahi: str) -> DataFrame:
 
 def event_stats(events: DataFrame, ts: str, duration: str) -> DataFrame:
     """Durations of events with inclusive outlier fences, and the spread of counts over calendar dates."""
-    x = _with_fences(events, duration, [])
+    points = {"p25_sec": 0.25, "median_sec": 0.5, "p75_sec": 0.75, "p95_sec": 0.95}
+    # one row
+    middle = F.broadcast(quantiles(events, duration, points, spread=True).drop("n"))
+    x = events.select(finite(duration).alias("_x")).join(middle)
     v, iqr = F.col("_x"), F.col("p75") - F.col("p25")
     out = x.agg(
         F.count(v).alias("total_events"),
         F.avg(v).alias("avg_sec"),
         F.min(v).alias("min_sec"),
         F.max(v).alias("max_sec"),
-        *[quantile(v, q).alias(n) for n, q in (("p25_sec", 0.25), ("median_sec", 0.5), ("p75_sec", 0.75), ("p95_sec", 0.95))],
+        *[F.first(n).alias(n) for n in points],
         F.count(F.when(v > P.LONG_EVENT_SEC, 1)).alias("over30"),
         F.count(F.when(v > P.VERY_LONG_EVENT_SEC, 1)).alias("over60"),
-        F.count(F.when(v >= F.col("p75") + P.IQR_FACTOR * iqr, 1)).alias("outlier_events"),
+        F.count(F.when(v >= F.col("p75_sec") + P.IQR_FACTOR * (F.col("p75_sec") - F.col("p25_sec")), 1)).alias("outlier_events"),
     )
     nights = events.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("c"))
     n = _with_fences(nights, "c", [])
@@ -196,8 +238,8 @@ def histogram2d(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     return both.groupBy(bin_of(F.col("_x"), F.col("_xl"), F.col("_xh"), bins).alias("bx"), bin_of(F.col("_y"), F.col("_yl"), F.col("_yh"), bins).alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def box(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return quantiles(df, value, {"lo": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "hi": 1.0}, by)
+def box(df: DataFrame, value: str, by: list[str], spread: bool = False) -> DataFrame:
+    return quantiles(df, value, {"lo": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "hi": 1.0}, by, spread)
 
 
 def pivot(df: DataFrame, by: str) -> DataFrame:

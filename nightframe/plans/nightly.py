@@ -41,7 +41,7 @@ Q3 = ", ".join(r(f"quantile_cont(v, {q})", n) for q, n in ((0.25, "p25"), (0.5,
 @query("A01_quantiles", f"""SELECT event_type, count(value) AS n, {r('quantile_cont(value, 0.25)', 'p25')}, {r('quantile_cont(value, 0.5)', 'median')},
  {r('quantile_cont(value, 0.95)', 'p95')} FROM events GROUP BY 1""")
 def _(spark, sf):
-    return rounded(D.quantiles(log(spark, sf), "value", {"p25": 0.25, "median": 0.5, "p95": 0.95}, ["event_type"]))
+    return rounded(D.quantiles(log(spark, sf), "value", {"p25": 0.25, "median": 0.5, "p95": 0.95}, ["event_type"], spread=True))
 
 
 @query("A02_usage_summary", f"""WITH {NIGHTS}, q AS (SELECT quantile_cont(v, 0.25) a, quantile_cont(v, 0.5) b, quantile_cont(v, 0.75) c FROM nights)
@@ -121,7 +121,7 @@ def _(spark, sf):
 @query("A11_box", f"""SELECT o_orderpriority, count(o_totalprice) AS n, {r('min(o_totalprice)', 'lo')}, {r('quantile_cont(o_totalprice, 0.25)', 'p25')},
  {r('quantile_cont(o_totalprice, 0.5)', 'median')}, {r('quantile_cont(o_totalprice, 0.75)', 'p75')}, {r('max(o_totalprice)', 'hi')} FROM orders GROUP BY 1""")
 def _(spark, sf):
-    return rounded(D.box(table(spark, sf, "orders"), "o_totalprice", ["o_orderpriority"]))
+    return rounded(D.box(table(spark, sf, "orders"), "o_totalprice", ["o_orderpriority"], spread=True))
 
 
 @query("A23_pivot", f"""SELECT coalesce(p_brand, '') AS "group", count(*) AS n, {r('avg(p_partkey)', 'mean_p_partkey')}, {r('avg(p_size)', 'mean_p_size')}, {r('avg(p_retailprice)', 'mean_p_retailprice')} FROM part GROUP BY 1""")
@@ -132,7 +132,7 @@ def _(spark, sf):
 @query("A25_median_iqr", f"""SELECT c_mktsegment, count(c_acctbal) AS n, {r('quantile_cont(c_acctbal, 0.25)', 'p25')}, {r('quantile_cont(c_acctbal, 0.5)', 'median')}, {r('quantile_cont(c_acctbal, 0.75)', 'p75')},
  {r('quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)', 'iqr')} FROM customer GROUP BY 1""")
 def _(spark, sf):
-    return rounded(D.median_iqr(table(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"]))
+    return rounded(D.median_iqr(table(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"], spread=True))
 
 
 @query("A28_report", f"""WITH {NIGHTS}, q AS (SELECT quantile_cont(w, 0.25) a, quantile_cont(w, 0.75) c FROM nights)

@@ -64,6 +64,19 @@ def test_not_a_number_is_missing(spark):
     assert one(D.quantiles(df.filter("false"), "v", {"median": 0.5})) == {"n": 0, "median": None}
 
 
+def test_spread_quantiles(spark):
+    """Skewed values, many ties, a series without values and one without a name: as the aggregate function gives them."""
+    rng = np.random.default_rng(8)
+    rows = [("a", float(v)) for v in rng.exponential(1000, 501)] + [("b", float(v)) for v in rng.integers(0, 3, 300)] + [(None, 5.0), (None, 7.0), ("c", None), ("c", float("nan")), ("d", -1e9)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    points = {"lo": 0.0, "p5": 0.05, "p25": 0.25, "median": 0.5, "p95": 0.95, "hi": 1.0}
+    for frame, by in ((df, ["g"]), (df, []), (df.filter("false"), ["g"]), (df.filter("false"), [])):
+        plain, spread = (sorted(map(tuple, D.quantiles(frame, "v", points, by, spread=s).collect()), key=str) for s in (False, True))
+        assert len(plain) == len(spread)
+        for a, b in zip(plain, spread, strict=True):
+            assert [x if not isinstance(x, float) else pytest.approx(x) for x in a] == list(b)
+
+
 def test_usage_summary(spark):
     df = spark.createDataFrame([("01:30:00",), ("bad",), (None,)], "t string").withColumn("h", X.hours("t"))
     out = one(D.usage_summary(df, "h"))
