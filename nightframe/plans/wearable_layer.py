@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nightframe.operators import engine, inference
 from nightframe.operators import wearable as N
 from nightframe.plans.frames import NIGHTS, log, nights, table, usage
+from nightframe.plans.inference_layer import mann_whitney_sql
 from nightframe.plans.nightly import r, rounded
 from nightframe.sources import store
 
@@ -227,6 +228,15 @@ def _(spark, sf):
     return rounded(engine.run_engine(_engine_nights(spark, sf))["group_tests"])
 
 
+@query("T23_contrast_tests", f"WITH {NIGHTS}, e AS (SELECT v * 7 - w AS hrv, v * 5 + w AS ready, v, w FROM nights WHERE w IS NOT NULL), "
+       + mann_whitney_sql("SELECT 'hrv-by-ahi' AS contrast, hrv AS v, (w - 25) * 4 + 10 >= 15 AS g FROM e WHERE (w - 25) * 4 + 10 >= 15 OR (w - 25) * 4 + 10 < 5 UNION ALL SELECT 'readiness-by-use', ready, v >= 4 FROM e", "contrast")
+       + f" SELECT contrast, 'primary' AS family, n1, n2, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN least(u1, u2) END', 'u')}, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN zz END', 'z')} FROM mw")
+def _(spark, sf):
+    # spread so that there are nights on either side of both thresholds
+    spread = _engine_nights(spark, sf).withColumn("ahi", (F.col("ahi") - 25) * 4 + 10)
+    return rounded(engine.group_contrasts(spread).select("contrast", "family", "n1", "n2", "u", "z"))
+
+
 @query("T20_coverage_selection", f"""WITH {NIGHTS}, x AS (SELECT w, date_diff('day', DATE '1990-01-01', day) % 5 <> 0 AS kept FROM nights WHERE w IS NOT NULL)
 SELECT CAST(1 AS BIGINT) AS pair_id, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_dropped, {r('quantile_cont(w, 0.5) FILTER (kept)', 'kept_ahi')}, {r('quantile_cont(w, 0.5) FILTER (NOT kept)', 'dropped_ahi')} FROM x""")
 def _(spark, sf):
