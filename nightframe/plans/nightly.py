@@ -182,7 +182,15 @@ def _(spark, sf):
     return rounded(S.breakpoints(short.join(long, "day"), "day", "a7", "a30", 0.1))
 
 
-@query("W04_change_points")
+# the same recurrence over lists, one night after the other
+@query("W04_change_points", f"""WITH RECURSIVE {NIGHTS}, z AS (SELECT day, v, coalesce(v, 0) AS x FROM nights),
+q AS (SELECT list_prepend(0.0::DOUBLE, list(a ORDER BY day)) AS s1, list_prepend(0.0::DOUBLE, list(b ORDER BY day)) AS s2, list(day ORDER BY day) AS days, list(v ORDER BY day) AS vs, count(*) AS n
+ FROM (SELECT day, v, sum(x) OVER w AS a, sum(x * x) OVER w AS b FROM z WINDOW w AS (ORDER BY day))),
+d AS (SELECT CAST(0 AS BIGINT) AS t, [-10.0::DOUBLE] AS best, [CAST(0 AS BIGINT)] AS origin FROM q
+ UNION ALL SELECT t + 1, list_append(best, c.cost), list_append(origin, c.s) FROM (SELECT t, best, origin, list_min(list_transform(range(0, t + 1),
+ lambda s: {{'cost': best[s + 1] + s2[t + 2] - s2[s + 1] - (s1[t + 2] - s1[s + 1]) * (s1[t + 2] - s1[s + 1]) / (t + 1 - s) + 10, 's': s}})) AS c FROM d, q WHERE t < n) y),
+f AS (SELECT origin FROM d, q WHERE t = n), b AS (SELECT origin[n + 1] AS t, n AS upto FROM f, q UNION ALL SELECT origin[t + 1], t FROM b, f WHERE t > 0)
+SELECT days[t + 1] AS day, {r('abs(list_avg(vs[t + 1 : upto]) - list_avg(vs[(SELECT origin[b.t + 1] FROM f) + 1 : t]))', 'shift')} FROM b, q WHERE t > 0""")
 def _(spark, sf):
     return rounded(K.change_point_days(nights(spark, sf), "day", "v", 10.0))
 
@@ -201,7 +209,17 @@ def _(spark, sf):
     return rounded(S.autocorrelation(nights(spark, sf), "day", "v", 30))
 
 
-@query("W07_partial_autocorrelation")
+def _swept(p: int) -> str:
+    """Takes the value ``p`` rows before out of all covariances, where it lies between the two ends."""
+    at = lambda t, i, j: f"JOIN c{p - 1} {t} ON {t}.k = a.k AND {t}.i = {i} AND {t}.j = {j}"
+    return f"c{p} AS MATERIALIZED (SELECT a.k, a.i, a.j, CASE WHEN a.k > {p} THEN a.v - b.v * c.v / d.v ELSE a.v END AS v FROM c{p - 1} a LEFT {at('b', 'a.i', p)} LEFT {at('c', p, 'a.j')} LEFT {at('d', p, p)})"
+
+
+# by sweeping covariances, where the library takes residuals
+@query("W07_partial_autocorrelation", f"""WITH {NIGHTS}, x AS (SELECT row_number() OVER (ORDER BY day) AS t, v FROM nights),
+u AS (SELECT k, i, j FROM (SELECT unnest(range(1, 11)) AS k), (SELECT unnest(range(0, 11)) AS i), (SELECT unnest(range(0, 11)) AS j) WHERE i <= k AND j <= k),
+c0 AS MATERIALIZED (SELECT k, i, j, covar_samp(a.v, b.v) AS v FROM u JOIN x o ON o.t > k JOIN x a ON a.t = o.t - i JOIN x b ON b.t = o.t - j GROUP BY 1, 2, 3), {', '.join(_swept(p) for p in range(1, 10))}
+SELECT CAST(a.k AS BIGINT) AS lag, {r('a.v / sqrt(b.v * c.v)', 'pacf')}, false AS unstable FROM c9 a JOIN c9 b ON b.k = a.k AND b.i = 0 AND b.j = 0 JOIN c9 c ON c.k = a.k AND c.i = a.k AND c.j = a.k WHERE a.i = 0 AND a.j = a.k""")
 def _(spark, sf):
     return rounded(K.partial_autocorrelations(nights(spark, sf), "day", "v", 10))
 
