@@ -29,10 +29,11 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
     """Groups of texts that are equal but for white space, and the row of each that stays.
 
-    Every partition is one run. A run is sorted by digest and keeps one entry for each digest: the entry of the
-    row with the longest original text, then the smallest id, and the number of rows. In each round ``fan_in`` runs
-    meet in one (run numbers lose log2(fan_in) bits) and equal digests merge, until one run is left; its entries are
-    spread over all tasks by digest, so no task holds the whole. The winners then go down the same tree, so that
+    Every partition is one run. A run keeps one entry for each digest: the entry of the row with the longest original
+    text, then the smallest id, and the number of rows. In each round ``fan_in`` runs meet in one (run numbers lose
+    log2(fan_in) bits) and equal digests merge, until one run is left. The entries of a run are spread over tasks by
+    digest, so no task holds the whole; each task sorts its share by run and digest and merges neighbours, which is how
+    Spark aggregates entries of several fields. Digests are verified by length and a second hash, not byte by byte. The winners then go down the same tree, so that
     a digest that a third of all rows have is dealt out by run and not to one task.
 
     Returns ``doc_id, keep_id, group_size, kept, text_sha256, n_points``. Null text counts as empty, so all

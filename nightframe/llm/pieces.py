@@ -101,7 +101,8 @@ def read_model(data: bytes) -> Vocabulary:
 class Forward:
     """The forward state of each prefix of the current word: the best path's score, its last piece, where that begins.
 
-    For a unigram model the best path is the one of the highest score. For a BPE model it is the only one whose
+    It is Viterbi's recurrence in both cases. For a unigram model the best path is the one of the highest score. For a BPE
+    model, where a step is worth 0 or minus infinity depending on the piece before, it is the only one whose
     neighbouring pieces could all stand side by side: two pieces may if merging their joint text by the model's
     priorities gives just those two. Either way the state of a prefix depends on the prefix alone, so words that are
     handled in sorted order share it: only what follows the common prefix with the word before is computed, which is
@@ -248,7 +249,8 @@ def _encoder(model: bytes) -> Encoder:
 
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids`` for every row. Null and empty texts have no ids; characters that no piece has become bytes."""
+    """``doc_id, ids`` for every row. Null and empty texts have no ids; characters that no piece has become bytes. Rows that
+    repeat, or have no id, are each encoded; other columns are not looked at; an empty table gives no rows."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -266,7 +268,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
 
 def decode(tokens: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, text, n_tokens`` for every row of ids; null ids count as none. Raises on ids that the model lacks."""
+    """``doc_id, text, n_tokens`` for every row of ids; null ids count as none. Raises on ids that the model lacks. Rows that
+    repeat are each decoded; other columns are not looked at; an empty table gives no rows."""
     kind = tokens.schema[id_col].dataType.simpleString()
     source = tokens.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.expr("cast(array() as array<int>)")).alias("ids"))
     shared = tokens.sparkSession.sparkContext.broadcast(model)
