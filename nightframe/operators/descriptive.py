@@ -34,9 +34,12 @@ def _spread_quantiles(df: DataFrame, value: str, probabilities: dict[str, float]
     x = df.select(series.alias("_g"), finite(value).alias("_x"))
     ends = x.agg(F.min("_x").alias("_a"), F.max("_x").alias("_z"))
     share = F.coalesce(ratio(F.col("_x") - F.col("_a"), F.nullif(F.col("_z") - F.col("_a"), F.lit(0.0))), F.lit(0.0))
-    rows = x.filter("_x is not null").join(F.broadcast(ends)).select("_g", "_x", F.least(F.lit(SLICES - 1), F.floor(share * SLICES)).cast("int").alias("_s"))
+    slice_of = F.when(F.col("_x").isNotNull(), F.least(F.lit(SLICES - 1), F.floor(share * SLICES)).cast("int"))
+    rows = x.join(F.broadcast(ends)).select("_g", "_x", slice_of.alias("_s"))
     all_of = W.partitionBy("_g")
-    sizes = rows.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", F.sum("_c").over(all_of))
+    # rows without a value have no slice, but their series has its line
+    every = rows.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = every.filter("_s is not null").withColumn("_n", F.sum("_c").over(all_of))
     sizes = sizes.withColumn("_base", F.sum("_c").over(all_of.orderBy("_s")) - F.col("_c"))
     place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
     ends_of = {"lo": F.floor, "hi": F.ceil}
@@ -47,8 +50,9 @@ def _spread_quantiles(df: DataFrame, value: str, probabilities: dict[str, float]
     met = counts.withColumn("_upto", upto).join(wanted, ["_g", "_s"])
     met = met.select("_g", "_x", F.explode(F.filter("_asked", lambda w: (w["at"] >= F.col("_upto") - F.col("_c")) & (w["at"] < F.col("_upto")))["what"]).alias("_what"))
     found = met.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_what", "_x"))).alias("_m"))
+    n = F.coalesce(F.sum(F.when(F.col("_s").isNotNull(), F.col("_c"))), F.lit(0)).alias("n")
     # without ``by`` there is one row, even of an empty table
-    totals = x.groupBy("_g").agg(F.count("_x").alias("n")) if by else x.agg(F.count("_x").alias("n")).withColumn("_g", series)
+    totals = every.groupBy("_g").agg(n) if by else every.agg(n).withColumn("_g", series)
     out = totals.join(found, "_g", "left")
 
     def between(name: str, q: float) -> Column:
