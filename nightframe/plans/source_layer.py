@@ -11,11 +11,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightframe.functions import exprs as X
+from nightframe.operators import explorer
 from nightframe.operators import wearable as N
 from nightframe.plans.frames import NIGHTS, log, nights, table
 from nightframe.plans.nightly import r, rounded
 from nightframe.plans.wearable_layer import DENSE, night_samples, windows
-from nightframe.sources import files, store, tabular
+from nightframe.sources import export_tree, files, store, tabular
 from nightframe.sources import parsers as R
 
 QUERIES: dict = {}
@@ -298,3 +300,71 @@ def _(spark, sf):
     out = N.fold_nights(N.sleep_architecture(N.dedup_sessions(_sessions(spark, sf))))
     has = lambda flag: F.array_contains("flags", flag)
     return rounded(out.select("night", "log_id", "start_local", "end_local", "asleep_min", "waso_min", "deep_min", has("split-sleep").alias("split"), has("classic").alias("classic")))
+
+
+@query("X19_stage_shares", f"WITH {SESSIONS}, z AS (SELECT *, CASE WHEN k % 3 <> 0 THEN p / 2 END AS light FROM y) SELECT k AS night, {r('100 * deep / nullif(coalesce(deep, 0) + coalesce(light, 0), 0)', 'deep_share')}, {r('100 * light / nullif(coalesce(deep, 0) + coalesce(light, 0), 0)', 'light_share')} FROM z")
+def _(spark, sf):
+    own = N.sleep_architecture(_sessions(spark, sf)).withColumn("night", F.col("log_id"))
+    return rounded(N.stage_shares(own).select("night", "deep_share", "light_share"))
+
+
+@query("J02_assembled", f"""WITH {DAYS}, e AS (SELECT night, CASE WHEN n % 2 = 0 THEN v END AS s, CASE WHEN n % 3 = 0 THEN w END AS t, n % 4 = 0 AS short FROM b)
+SELECT night, {r('s', 'stress_score')}, {r('t', 'skin_temperature')}, short AS insufficient, {r('CASE WHEN NOT short THEN s END', 'rmssd')} FROM e""")
+def _(spark, sf):
+    d = days(spark, sf)
+    daily_of = {"stress": d.filter("n % 2 = 0").select("night", F.col("v").alias("stress_score")), "temperature": d.filter("n % 3 = 0").select("night", F.col("w").alias("skin_temperature"))}
+    rmssd = F.when(F.col("n") % 2 == 0, F.col("v"))
+    measure = N.gated(d.select("night", "n", rmssd.alias("rmssd_ms")), "hrv", F.col("n") % 4 != 0, ["rmssd_ms"], [])
+    own = N.assemble(d.select("night", F.array().cast("array<string>").alias("flags")), daily_of, [measure], ["hrv"])
+    return rounded(own.select("night", "stress_score", "skin_temperature", F.array_contains("insufficient", "hrv").alias("insufficient"), F.col("hrv.rmssd_ms").alias("rmssd")))
+
+
+@query("F03_range_pick", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1996-05-31'")
+def _(spark, sf):
+    return explorer.date_filter(_undated(spark, sf), "day", "1996-03-01", "1996-05-31", keep_undated=False).select("o_orderkey")
+
+
+@query("F05_explorer_dates", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR CAST(o_orderdate AS DATE) >= DATE '1996-03-01'")
+def _(spark, sf):
+    return explorer.date_filter(_undated(spark, sf), "day", "1996-03-01", None).select("o_orderkey")
+
+
+def _undated(spark, sf):
+    """Orders whose date is a text in one of two forms, and none for every fifth."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, "soon").when(k % 5 == 1, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"))
+    return table(spark, sf, "orders").select(k, text.alias("day"))
+
+
+@query("F06_columns", """SELECT c_custkey || ',' || c_mktsegment AS line FROM customer""")
+def _(spark, sf):
+    own = table(spark, sf, "customer")
+    return explorer.csv_lines(own, [explorer.find_column(own, "^C_CUST"), explorer.find_column(own, "segment")])
+
+
+@query("F12_summary_fields", f"WITH {NIGHTS} SELECT day, {r('v', 'ahi')}, {r('w', 'leak_median')}, {r('n::DOUBLE', 'max_pressure')}, CAST(NULL AS DOUBLE) AS central_ahi FROM nights")
+def _(spark, sf):
+    rows = nights(spark, sf).select(F.col("day").alias("Date"), F.lit("7:00:00").alias("Total Time"), F.concat("v", F.lit(" per hour")).alias("AHI"), F.col("w").alias("Median EPAP"), F.col("w").alias("Leak Rate Median"), F.col("n").alias("Max Pressure"))
+    own = tabular.summary_fields(tabular.read_summary(spark, put_csv(spark, rows)))
+    return rounded(own.select("day", "ahi", "leak_median", "max_pressure", "central_ahi"))
+
+
+@query("X11_wall_minutes", f"SELECT event_id, {r('floor(epoch_us(ts) / 1e6) / 60', 'minutes')} FROM events")
+def _(spark, sf):
+    return rounded(log(spark, sf).select("event_id", X.wall_minutes("ts").alias("minutes")))
+
+
+@query("S07_enumerated", """SELECT * FROM (VALUES ('Global Export Data/sleep-2024-01-01.json', 'sleep', 'windows'), ('Sleep Score/sleep_score.csv', 'sleep_score', 'windows'),
+ ('Oxygen Saturation (SpO2)/Minute SpO2 - 1.csv', 'spo2_minute', 'series'), ('Global Export Data/heart_rate-2024-01-01.json', 'heart_rate', 'series'), ('Stress Score/Stress Score.csv', 'stress', 'windows')) t(relative, metric, phase)""")
+def _(spark, sf):
+    """A folder with files that may be read, files that nothing names, and denied ones."""
+    root = scratch(spark)
+    for name in (
+        "Global Export Data/sleep-2024-01-01.json", "Global Export Data/sleep-latest.json", "Global Export Data/heart_rate-2024-01-01.json", "Sleep Score/sleep_score.csv", "Sleep Score/gps_location_1.csv",
+        "Account/sleep_score.csv", "Menstrual Health/a.csv", "Oxygen Saturation (SpO2)/Minute SpO2 - 1.csv", "Stress Score/Stress Score.csv", "Stress Score/deep/Stress Score.csv", "Your Profile/Sleep Score/sleep_score.csv",
+    ):
+        path, system = files.hadoop_path(spark, f"{root}/{name}")
+        system.create(path).close()
+    found = export_tree.enumerate_export(spark, root)
+    return spark.createDataFrame([(f.relative, f.kind.metric, f.kind.phase) for f in found], "relative string, metric string, phase string")
+
