@@ -241,7 +241,7 @@ def learn_languages(
     """Known text of every language from a bounded sample.
 
     Of each language and each of ``buckets`` hash buckets of the id, the document with the smallest hash is taken; its
-    first ``chars / buckets`` characters join the language's text. So a language brings at most ``chars`` characters to
+    first ``chars / buckets`` characters join the language's text; of rows that repeat an id one counts. So a language brings at most ``chars`` characters to
     the driver, whatever share of the rows it has. Every language of the labels is learnt; a Python worker holds up to
     24 MB for each, about 8 MB with a Latin alphabet.
     """
@@ -249,7 +249,7 @@ def learn_languages(
     hashed = F.xxhash64("_id", F.lit("known"))
     picked = mine.groupBy("_lang", F.pmod(hashed, F.lit(buckets)).alias("_b")).agg(F.min(hashed).alias("_h"))
     chosen = picked.select("_lang", "_h")
-    rows = mine.withColumn("_h", hashed).join(small(chosen), ["_lang", "_h"]).select("_lang", "_h", F.substring("_text", 1, chars // buckets).alias("t")).distinct().collect()
+    rows = mine.withColumn("_h", hashed).join(small(chosen), ["_lang", "_h"]).groupBy("_lang", "_h").agg(F.min(F.substring("_text", 1, chars // buckets)).alias("t")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["_lang"], r["_h"], r["t"])):
         found.setdefault(r["_lang"], []).append(r["t"])

@@ -31,6 +31,7 @@ def labelled_texts(
     order = [F.xxhash64("_id", F.lit("sample")), F.col("_id")]
     picked = known.filter("_y = 0").orderBy(*order).limit(per_class).unionByName(known.filter("_y = 1").orderBy(*order).limit(per_class))
     text = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).filter(F.length("_text") <= max_chars)
-    rows = text.join(F.broadcast(picked), "_id").select("_text", "_y", "_id").collect()
-    # copies of an id or a text don't count twice
+    # of rows that repeat an id one counts, so the bound holds whatever the table
+    rows = text.join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
+    # nor do copies of a text count twice
     return sorted({(r["_text"], r["_y"]) for r in rows}), float(share)
