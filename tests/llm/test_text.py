@@ -332,3 +332,12 @@ def test_best_scores_match_the_library(spark):
         want = library.encode(text)
         assert got[i] == want or worth(got[i]) == pytest.approx(worth(want)), text
         assert library.decode(got[i]) == library.decode(want)
+
+
+def test_samples_stay_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(k % 3 if k % 4 else None, f"text {k}", "en") for k in range(200)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k % 3, k % 2) for k in range(6)], "doc_id bigint, quality int")
+    texts, share = samples.labelled_texts(docs, labels, "quality", F.lit(True), per_class=5)
+    assert share == 0.5 and len(texts) == 6 and {y for _, y in texts} == {0, 1}
+    known = langid.learn_languages(docs, F.lit(True), buckets=2, chars=20)
+    assert known.names == ["en"] and len(known.texts[0]) <= 20
