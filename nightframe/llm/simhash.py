@@ -516,7 +516,7 @@ def candidate_links(distinct: DataFrame, plan: Plan, range_rows: int = 1 << 19)
     Each block is ball-hashed by itself: a fingerprint goes to the ranges of variants that its ball reaches, where the
     variants are listed. What a batch sends to one range goes as one row.
     """
-    ball = Ball(plan.radius, prefix_bits(plan.n, 0, range_rows), plan.width, at_once=4_000_000)
+    ball = Ball(plan.radius, prefix_bits(plan.n, 0, range_rows), plan.width, at_once=1_500_000)
     most, wide, blocks = plan.most(CHECK), plan.wide, plan.blocks
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
