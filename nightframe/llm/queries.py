@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nightframe.llm import exact_dedup, langid, packing, pieces, pii, quality, simhash, tiff, toxicity, url_filter
+from nightframe.llm import exact_dedup, langid, negatives, packing, pieces, pii, quality, simhash, tiff, toxicity, url_filter, whitening
 from nightframe.llm.common import table
 
 #: A public vocabulary for op7; another one can be named in the environment. It is read on the driver and broadcast.
@@ -55,6 +56,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", noisy), F.col("id") % 100 == 0)
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_exact_dedup": op2_exact_dedup,
@@ -66,8 +77,11 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
