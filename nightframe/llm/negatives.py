@@ -249,10 +249,10 @@ def hard_negatives(
 OP13_SQL = """
 WITH kept AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x
+         [floor(256 * c::DOUBLE) FOR c IN embedding] AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len([1 FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
 ), pairs AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
   FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
