@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframe.llm import exact_dedup, langid, negatives, packing, pieces, pii, quality, simhash, tiff, toxicity, url_filter, whitening
+from nightframe.llm import exact_dedup, jaccard_join, langid, negatives, packing, pieces, pii, quality, simhash, tiff, toxicity, url_filter, whitening
 from nightframe.llm.common import table
 
 #: A public vocabulary for op7; another one can be named in the environment. It is read on the driver and broadcast.
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.shingle_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -78,10 +82,12 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op12_jaccard_join": jaccard_join.OP12_SQL,
     "op13_hard_negatives": negatives.OP13_SQL,
 }
