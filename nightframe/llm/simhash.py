@@ -293,7 +293,8 @@ def shingle_set(text: bytes, words: int, known: Words) -> np.ndarray:
         return hashes
     total = np.zeros(len(parts) - n + 1, np.uint64)
     for j in range(n):
-        total += hashes[j : len(parts) - n + 1 + j] * np.uint64((2 * j + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))
+        # powers of one number: sums of small multiples of them, as of repeated words, don't meet
+        total += hashes[j : len(parts) - n + 1 + j] * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 2**64))
     return np.unique(mixed(total, 99))
 
 
