@@ -106,14 +106,14 @@ def packed_rows(rows: DataFrame, pivots: Pivots, d: int, n: int, block: int, gro
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["id", "label", "x", "cell", "apart"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
+        group = TaskContext.get().partitionId() % groups
         for batch in batches:
             for begin in range(0, batch.num_rows, block):
                 own = batch.slice(begin, block)
                 ids, labels = (own.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
                 x = matrix(own.column(2), d)
                 made = [pa.array([v], pa.binary()) for v in (ids.tobytes(), labels.tobytes(), pack(x), pivots.of_rows(x).tobytes())]
-                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), *made], names=["g", "ids", "labels", "xs", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *made], names=["g", "ids", "labels", "xs", "far"])
 
     placed = rows.mapInArrow(place, "id bigint, label bigint, x array<bigint>, cell int, apart double")
     near = placed.repartitionByRange(groups, "cell", "apart", "id").sortWithinPartitions("cell", "apart", "id")
