@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from nightframe import params as P
 from nightframe.functions.exprs import col, finite, fixed, ratio, severity_band
+from nightframe.operators import scans
 
 
 def quantile(c: str | Column, q: float) -> Column:
@@ -23,44 +24,21 @@ def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: li
     return x.groupBy(*by).agg(F.count("_x").alias("n"), *[quantile("_x", q).alias(name) for name, q in probabilities.items()])
 
 
-#: Slices of the range of values in which order statistics are looked for.
-SLICES = 4096
-
-
 def _spread_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: list[str]) -> DataFrame:
-    """The same from counts by slice of the range: they tell in which slices the wanted order statistics lie, and only the
-    rows of those are counted by value and put in order, each slice by itself. Equal values are one row there."""
+    """The same from the two order statistics around each quantile."""
     series = F.struct(*by) if by else F.struct(F.lit(0).alias("_one"))
-    x = df.select(series.alias("_g"), finite(value).alias("_x"))
-    ends = x.agg(F.min("_x").alias("_a"), F.max("_x").alias("_z"))
-    share = F.coalesce(ratio(F.col("_x") - F.col("_a"), F.nullif(F.col("_z") - F.col("_a"), F.lit(0.0))), F.lit(0.0))
-    slice_of = F.when(F.col("_x").isNotNull(), F.least(F.lit(SLICES - 1), F.floor(share * SLICES)).cast("int"))
-    rows = x.join(F.broadcast(ends)).select("_g", "_x", slice_of.alias("_s"))
-    all_of = W.partitionBy("_g")
-    # rows without a value have no slice, but their series has its line
-    every = rows.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = every.filter("_s is not null").withColumn("_n", F.sum("_c").over(all_of))
-    sizes = sizes.withColumn("_base", F.sum("_c").over(all_of.orderBy("_s")) - F.col("_c"))
-    place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
-    ends_of = {"lo": F.floor, "hi": F.ceil}
-    asked = F.array(*[F.struct(F.lit(f"{name} {end}").alias("what"), (f(place(q)).cast("long") - F.col("_base")).alias("at")) for name, q in probabilities.items() for end, f in ends_of.items()])
-    wanted = sizes.select("_g", "_s", F.filter(asked, lambda w: (w["at"] >= 0) & (w["at"] < F.col("_c"))).alias("_asked")).filter(F.size("_asked") > 0)
-    counts = rows.join(wanted.select("_g", "_s"), ["_g", "_s"], "left_semi").groupBy("_g", "_s", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy("_g", "_s").orderBy("_x"))
-    met = counts.withColumn("_upto", upto).join(wanted, ["_g", "_s"])
-    met = met.select("_g", "_x", F.explode(F.filter("_asked", lambda w: (w["at"] >= F.col("_upto") - F.col("_c")) & (w["at"] < F.col("_upto")))["what"]).alias("_what"))
-    found = met.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_what", "_x"))).alias("_m"))
-    n = F.coalesce(F.sum(F.when(F.col("_s").isNotNull(), F.col("_c"))), F.lit(0)).alias("n")
-    # without ``by`` there is one row, even of an empty table
-    totals = every.groupBy("_g").agg(n) if by else every.agg(n).withColumn("_g", series)
-    out = totals.join(found, "_g", "left")
+    place = lambda n, q: (n - 1) * F.lit(float(q))
+    asked = {name: lambda n, q=q: (F.floor(place(n, q)), F.ceil(place(n, q))) for name, q in probabilities.items()}
+    found = scans.order_statistics(df.select(series.alias("_g"), finite(value).alias("_x")), asked)
+    if not by:  # one row, even of an empty table
+        found = df.sparkSession.range(1).select(series.alias("_of")).join(F.broadcast(found), F.col("_of") == F.col("_g"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
     def between(name: str, q: float) -> Column:
-        lo, hi = (F.try_element_at("_m", F.lit(f"{name} {end}")) for end in ends_of)
-        part = (F.col("n") - 1) * F.lit(float(q)) - F.floor((F.col("n") - 1) * F.lit(float(q)))
-        return ((1 - part) * lo + part * hi).alias(name)
+        ends = F.try_element_at("_m", F.lit(name))
+        part = place(F.col("n"), q) - F.floor(place(F.col("n"), q))
+        return ((1 - part) * ends["lo"] + part * ends["hi"]).alias(name)
 
-    return out.select(*[F.col("_g")[c].alias(c) for c in by], "n", *[between(name, q) for name, q in probabilities.items()])
+    return found.select(*[F.col("_g")[c].alias(c) for c in by], F.col("n").cast("bigint").alias("n"), *[between(name, q) for name, q in probabilities.items()])
 
 
 def median_iqr(df: DataFrame, value: str, by: list[str] = (), spread: bool = False) -> DataFrame:

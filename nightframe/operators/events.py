@@ -1,7 +1,9 @@
 """Event logs: clusters, flow-limited stretches, false negatives, and joins of events with intervals.
 
-``by`` names the columns that separate subjects; every window and join is partitioned by them. Times are instants or
-wall-clock timestamps, durations and gaps are seconds.
+``by`` names the columns that separate subjects; every window and join is partitioned by them. With ``spread``, which is the
+default without ``by``, a subject's log is cut into slices of time (``scans``), and only what a slice hands on (its last
+end, the latest sample, how many clusters it began) reaches the next. Times are instants or wall-clock timestamps,
+durations and gaps are seconds.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from nightframe import params as P
 from nightframe.functions.exprs import cluster_severity, density, finite, iso_instant
-from nightframe.operators import kernels
+from nightframe.operators import kernels, scans
 
 
 def seconds(ts: Column | str) -> Column:
@@ -36,15 +38,27 @@ def scan_filter(details: DataFrame, event: str, level: str, types: tuple[str, ..
     return details.filter(F.col(event).isin(*types) | ((F.col(event) == flow) & (finite(level) >= least)))
 
 
-def gap_clusters(events: DataFrame, gap: float, by: list[str] = ()) -> DataFrame:
+def _spread(spread: bool | None, by: list[str]) -> bool:
+    return not by if spread is None else spread
+
+
+def _counted(line: DataFrame, order: list[str], new: Column, by: list[str], name: str) -> DataFrame:
+    """Slices of a log with the running number of the rows that begin something new."""
+    return scans.running(line.withColumn("_new", new), order, {name: F.col("_new")}, by=by).drop("_new", "_s")
+
+
+def gap_clusters(events: DataFrame, gap: float, by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """Numbers clusters within each subject: an event that begins more than ``gap`` after the end of the one before it
     begins a new one."""
+    if _spread(spread, by):
+        x = scans.preceding(scans.sliced(events, "t"), ["t", "dur"], {"_end": F.col("t") + F.col("dur")}, by)
+        return _counted(x, ["t", "dur"], F.coalesce((F.col("t") - F.col("_end") > gap).cast("int"), F.lit(1)), by, "cluster").drop("_end")
     w = W.partitionBy(*by).orderBy("t", "dur")
     fresh = F.coalesce((F.col("t") - F.lag(F.col("t") + F.col("dur")).over(w) > gap).cast("int"), F.lit(1))
     return events.withColumn("_new", fresh).withColumn("cluster", F.sum("_new").over(w)).drop("_new")
 
 
-def bridged_clusters(events: DataFrame, flow: DataFrame, p: P.ClusterParams, by: list[str] = ()) -> DataFrame:
+def bridged_clusters(events: DataFrame, flow: DataFrame, p: P.ClusterParams, by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """As ``gap_clusters``, and a gap of up to ``p.bridge_gap`` is bridged if a sample of at least
     ``p.bridge_threshold`` lies between the latest end so far and the event.
 
@@ -53,27 +67,41 @@ def bridged_clusters(events: DataFrame, flow: DataFrame, p: P.ClusterParams, by:
     by = list(by)
     marks = flow.filter(F.col("level") >= p.bridge_threshold).select(*by, "t", F.lit(0.0).alias("dur"), F.lit(0).alias("_event"))
     line = events.select(*by, "t", "dur", F.lit(1).alias("_event")).unionByName(marks)
+    if _spread(spread, by):
+        line = scans.sliced(line, "t")
+        line = scans.running(line, ["t"], maxima={"_q": F.when(F.col("_event") == 0, F.col("t"))}, by=by, ties=True).filter("_event = 1")
+        line = scans.preceding(line, ["t", "dur"], {"_end": F.col("t") + F.col("dur")}, by)
+        line = scans.running(line, ["t", "dur"], maxima={"_far": F.col("_end")}, by=by)
+        return _counted(line, ["t", "dur"], _begins(p), by, "cluster").select(*by, "t", "dur", "cluster")
     upto = W.partitionBy(*by).orderBy("t").rangeBetween(W.unboundedPreceding, 0)
     line = line.withColumn("_q", F.max(F.when(F.col("_event") == 0, F.col("t"))).over(upto)).filter("_event = 1")
     w = W.partitionBy(*by).orderBy("t", "dur")
     end = F.lag(F.col("t") + F.col("dur")).over(w)
     line = line.withColumn("_end", end)
     line = line.withColumn("_far", F.max("_end").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return line.withColumn("_new", _begins(p)).withColumn("cluster", F.sum("_new").over(w)).select(*by, "t", "dur", "cluster")
+
+
+def _begins(p: P.ClusterParams) -> Column:
+    """1 where neither the gap nor a bridge joins an event to the one before it."""
     wait = F.col("t") - F.col("_end")
     same = (wait <= p.gap) | ((wait <= p.bridge_gap) & (F.col("_q") >= F.col("_far")))
-    line = line.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    return line.withColumn("cluster", F.sum("_new").over(w)).select(*by, "t", "dur", "cluster")
+    return F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
 
 
-def flow_segments(flow: DataFrame, p: P.ClusterParams, by: list[str] = ()) -> DataFrame:
+def flow_segments(flow: DataFrame, p: P.ClusterParams, by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """Stretches of flow limitation: entered at ``p.edge_enter``, kept while samples are close and at least ``p.edge_exit``."""
     by = list(by)
-    w = W.partitionBy(*by).orderBy("t", "level")
-    close = (F.col("t") - F.lag("t").over(w) <= p.bridge_gap) & (F.col("level") >= p.edge_exit)
-    x = flow.withColumn("_new", F.when(F.coalesce(close, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w))
-    inside = W.partitionBy(*by, "_island").orderBy("t", "level").rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("_in", F.max((F.col("level") >= p.edge_enter).cast("int")).over(inside)).filter("_in = 1")
-    out = x.groupBy(*by, "_island").agg(F.min("t").alias("seg_start"), F.max("t").alias("seg_end"))
+    close = lambda before: F.when(F.coalesce((F.col("t") - before <= p.bridge_gap) & (F.col("level") >= p.edge_exit), F.lit(False)), 0).otherwise(1)
+    if _spread(spread, by):
+        x = scans.preceding(scans.sliced(flow, "t"), ["t", "level"], {"_before": F.col("t")}, by)
+        x = _counted(x, ["t", "level"], close(F.col("_before")), by, "_island")
+    else:
+        w = W.partitionBy(*by).orderBy("t", "level")
+        x = flow.withColumn("_new", close(F.lag("t").over(w))).withColumn("_island", F.sum("_new").over(w))
+    # from the first sample that enters on, whatever its island is like before
+    entered = F.min(F.when(F.col("level") >= p.edge_enter, F.col("t")))
+    out = x.groupBy(*by, "_island").agg(entered.alias("seg_start"), F.max("t").alias("seg_end")).filter("seg_start is not null")
     return out.filter(F.col("seg_end") - F.col("seg_start") >= p.edge_min).drop("_island")
 
 
@@ -120,15 +148,15 @@ def kmeans_clusters(events: DataFrame, p: P.ClusterParams, by: list[str] = ()) -
     return kernels.by_subject(slim, by, ["t", "dur"], run, ", ".join([*keys, "t double, dur double, cluster bigint, rounds int, settled boolean, wcss double"]))
 
 
-def clusters(events: DataFrame, flow: DataFrame, p: P.ClusterParams = P.ClusterParams(), by: list[str] = ()) -> DataFrame:
+def clusters(events: DataFrame, flow: DataFrame, p: P.ClusterParams = P.ClusterParams(), by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """Clusters by the algorithm that ``p`` names: bridged, agglomerative or kmeans."""
     if p.algorithm == "agglomerative":
-        out = summarize_clusters(gap_clusters(events, p.gap, by), by)
+        out = summarize_clusters(gap_clusters(events, p.gap, by, spread), by)
     elif p.algorithm == "kmeans":
         out = summarize_clusters(kmeans_clusters(events, p, by), by)
     elif p.algorithm == "bridged":
-        out = summarize_clusters(bridged_clusters(events, flow, p, by), by)
-        out = extend_edges(out.withColumns({"core_start": F.col("start"), "core_end": F.col("end")}), flow_segments(flow, p, by), p.gap, by)
+        out = summarize_clusters(bridged_clusters(events, flow, p, by, spread), by)
+        out = extend_edges(out.withColumns({"core_start": F.col("start"), "core_end": F.col("end")}), flow_segments(flow, p, by, spread), p.gap, by)
     else:
         raise ValueError(f"unknown algorithm {p.algorithm!r}")
     return out.filter(F.col("density") >= p.min_density) if p.min_density > 0 else out
@@ -168,12 +196,17 @@ def normalize_intervals(found: DataFrame, start: str = "start", end: str = "end"
     return out.withColumns({start: first, end: F.coalesce(last, first)}).filter(F.col(start).isNotNull())
 
 
-def false_negatives(flow: DataFrame, events: DataFrame, p: P.FalseNegativeParams, by: list[str] = ()) -> DataFrame:
+def false_negatives(flow: DataFrame, events: DataFrame, p: P.FalseNegativeParams, by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """Stretches of flow limitation of at least ``p.threshold`` with no event from 5 s before to 5 s after."""
     by = list(by)
     x = flow.filter(F.col("level") >= p.threshold)
-    w = W.partitionBy(*by).orderBy("t", "level")
-    x = x.withColumn("_new", F.coalesce((F.col("t") - F.lag("t").over(w) > p.gap).cast("int"), F.lit(1))).withColumn("_id", F.sum("_new").over(w))
+    apart = lambda before: F.coalesce((F.col("t") - before > p.gap).cast("int"), F.lit(1))
+    if _spread(spread, by):
+        x = scans.preceding(scans.sliced(x, "t"), ["t", "level"], {"_before": F.col("t")}, by)
+        x = _counted(x, ["t", "level"], apart(F.col("_before")), by, "_id")
+    else:
+        w = W.partitionBy(*by).orderBy("t", "level")
+        x = x.withColumn("_new", apart(F.lag("t").over(w))).withColumn("_id", F.sum("_new").over(w))
     runs = x.groupBy(*by, "_id").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.max("level").alias("peak"))
     span = F.col("end") - F.col("start")
     runs = runs.filter((span >= p.min_span) & (span <= p.max_span) & (F.col("peak") >= p.peak)).withColumn("span_sec", span)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from nightframe import params as P
 from nightframe.functions.exprs import clamp, finite, normal_cdf, ratio, wilson
-from nightframe.operators import kernels
+from nightframe.operators import kernels, scans
 from nightframe.operators.series import ranks
 
 
@@ -34,10 +34,11 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3) -
     return sums.select(*by, clamp(r, -1.0, 1.0).alias("r"), "n")
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3, spread: bool = True) -> DataFrame:
+    """Correlation of average ranks; ``spread=False`` where groups are known to be small."""
     by = list(by)
     pairs = _paired(df, x, y, by)
-    ranked = ranks(ranks(pairs, "_x", by, "_rx"), "_y", by, "_ry")
+    ranked = ranks(ranks(pairs, "_x", by, "_rx", spread), "_y", by, "_ry", spread)
     return pearson(ranked, "_rx", "_ry", by, least)
 
 
@@ -70,25 +71,28 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.unionByName(other)
 
 
-def mann_whitney(df: DataFrame, value: str, first: Column, by: list[str] = ()) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, first: Column, by: list[str] = (), spread: bool = True) -> DataFrame:
     """Rank test of the rows where ``first`` is true against those where it is false.
 
     Ranks, ties and U come from counts by value. Up to 28 values the p is exact, by a small kernel that sees only those
-    groups; beyond, normal without a continuity correction. The effect is 2 U2 / (n1 n2) - 1, its limits Wilson's.
+    groups; beyond, normal without a continuity correction. The effect is 2 U2 / (n1 n2) - 1, its limits Wilson's. Ranks
+    are running sums over slices of the values, unless groups are known to be small (``spread=False``).
     """
     by = list(by)
     x = df.select(*by, finite(value).alias("_v"), first.cast("boolean").alias("_g")).filter("_v is not null and _g is not null")
     counts = x.groupBy(*by, "_v").agg(F.count(F.when(F.col("_g"), 1)).alias("_a"), F.count(F.when(~F.col("_g"), 1)).alias("_b"))
     t = F.col("_a") + F.col("_b")
-    upto = F.sum(t).over(W.partitionBy(*by).orderBy("_v"))
-    placed = counts.withColumn("_t", t.cast("double")).withColumn("_rank", upto - (t - 1) / 2)
-    small = F.struct("_v", F.col("_a").cast("int").alias("a"), F.col("_b").cast("int").alias("b"))
-    total = F.sum("_t").over(W.partitionBy(*by))
-    placed = placed.withColumn("_n", total)
+    if spread:
+        placed = scans.running(scans.sliced(counts, "_v"), ["_v"], {"_upto": t}, by=by)
+    else:
+        placed = counts.withColumn("_upto", F.sum(t).over(W.partitionBy(*by).orderBy("_v")))
+    placed = placed.withColumn("_t", t.cast("double")).withColumn("_rank", F.col("_upto") - (t - 1) / 2)
+    few = F.struct("_v", F.col("_a").cast("int").alias("a"), F.col("_b").cast("int").alias("b"))
     out = placed.groupBy(*by).agg(
         F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(F.col("_a") * F.col("_rank")).alias("_r1"),
         F.sum(F.col("_t") * (F.col("_t") * F.col("_t") - 1)).alias("_ties"),
-        F.collect_list(F.when(F.col("_n") <= P.EXACT_RANK_TEST_N, small)).alias("_few"),
+        # values up to the place that groups with an exact p end at
+        F.collect_list(F.when(F.col("_upto") <= P.EXACT_RANK_TEST_N, few)).alias("_few"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, both = n1 + n2, (F.col("n1") > 0) & (F.col("n2") > 0)
@@ -98,7 +102,7 @@ def mann_whitney(df: DataFrame, value: str, first: Column, by: list[str] = ()) -
     sigma = F.sqrt(n1 * n2 * (n + 1) / 12) * F.sqrt(correction)
     z = F.coalesce(ratio(F.least(u1, u2) - n1 * n2 / 2, F.when(sigma > 0, sigma)), F.lit(0.0))
     out = out.withColumn("u1", F.when(both, u1)).withColumn("u2", F.when(both, u2)).withColumn("z", F.when(both, z))
-    exact = exact_p("_few", "n1")
+    exact = exact_p(F.when(n <= P.EXACT_RANK_TEST_N, F.col("_few")), "n1")
     p = F.when(both & (n <= P.EXACT_RANK_TEST_N), exact).when(both, 2 * (1 - normal_cdf(F.abs("z"))))
     share = ratio(F.col("u2"), n1 * n2)
     low, high = wilson(share, n1 * n2)
@@ -140,46 +144,31 @@ def grid_of(df: DataFrame, x: str, points: int = 60) -> DataFrame:
     return ends.select("a", "z", F.posexplode(step).alias("point", "_k")).select("point", (F.col("a") + (F.col("z") - F.col("a")) * F.col("_k") / (points - 1)).alias("x0"))
 
 
-#: Slices of the range of x in which rows are numbered.
-SLICES = 1024
+def _near(df: DataFrame, x: str, y: str, grid: DataFrame, count) -> DataFrame:
+    """For each grid point the rows that are no farther than its ``count``-th nearest, with their distance ``_d`` and the
+    largest distance ``_far``.
 
-
-def _nearest(df: DataFrame, x: str, y: str, grid: DataFrame, count: Column) -> DataFrame:
-    """For each grid point the ``count`` nearest rows; of two at one distance the one to the left.
-
-    The nearest lie among the ``count`` rows on either side, so rows are ranked once and met by rank, not by comparing
-    every row with every point. Rows are ranked within slices of the range of x, each by itself, and the slices' sizes say
-    where each begins. ``count`` is computed from ``_n``, the number of rows.
+    That distance is an order statistic of the distances from the point, so neither rows nor points are sorted. ``count`` is
+    a function of the number of rows. Grid points are few and broadcast.
     """
     pts = _paired(df, x, y, [])
-    ends = F.broadcast(pts.agg(F.min("_x").alias("_a"), F.max("_x").alias("_z"), F.count(F.lit(1)).alias("_n")))
-    share = F.coalesce(ratio(F.col("_at") - F.col("_a"), F.when(F.col("_z") > F.col("_a"), F.col("_z") - F.col("_a"))), F.lit(0.0))
-    sliced = lambda d: d.join(ends).withColumn("_s", F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(share * SLICES))).cast("int"))
-    pts = sliced(pts.withColumn("_at", F.col("_x"))).select("_x", "_y", "_s")
-    spine = df.sparkSession.range(SLICES).select(F.col("id").cast("int").alias("_s"))
-    sizes = spine.join(pts.groupBy("_s").agg(F.count(F.lit(1)).alias("_c")), "_s", "left").fillna(0, ["_c"])
-    # as many rows as there are slices
-    base = F.broadcast(sizes.select("_s", (F.sum("_c").over(W.orderBy("_s")) - F.col("_c")).alias("_base")))
-    pts = pts.join(base, "_s").withColumn("_r", F.col("_base") + F.row_number().over(W.partitionBy("_s").orderBy("_x", "_y")))
-    spots = sliced(grid.withColumn("_at", F.col("x0"))).join(base, "_s").withColumn("_k", count.cast("long"))
-    before = pts.join(F.broadcast(spots.select("point", "x0", "_s")), "_s").groupBy("point").agg(F.count(F.when(F.col("_x") < F.col("x0"), 1)).alias("_inside"))
-    spots = spots.join(before, "point", "left").withColumn("_below", F.col("_base") + F.coalesce("_inside", F.lit(0)))
-    wanted = spots.select("point", "x0", "_n", "_k", "_below", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_below") - F.col("_k") + 1), F.least(F.col("_n"), F.col("_below") + F.col("_k")))).alias("_r"))
-    met = wanted.join(pts.select("_r", "_x", "_y"), "_r")
-    left_first = F.when(F.col("_r") <= F.col("_below"), 0).otherwise(1)
-    from_edge = F.when(left_first == 0, -F.col("_r")).otherwise(F.col("_r"))
-    near = W.partitionBy("point").orderBy(F.abs(F.col("_x") - F.col("x0")), left_first, from_edge)
-    return met.withColumn("_place", F.row_number().over(near)).filter("_place <= _k")
+    met = pts.join(F.broadcast(grid.select("point", "x0"))).withColumn("_d", F.abs(F.col("_x") - F.col("x0")))
+    kth = lambda n: (F.least(n, count(n)).cast("long") - 1,) * 2
+    reach = scans.order_statistics(met.select(F.col("point").alias("_g"), F.col("_d").alias("_x")), {"k": kth})
+    # a row for each grid point
+    reach = F.broadcast(reach.select(F.col("_g").alias("_of"), F.try_element_at("_m", F.lit("k"))["lo"].alias("_far"), F.least("n", count(F.col("n"))).cast("long").alias("_k")))
+    return met.join(reach, F.col("point") == F.col("_of")).filter("_d <= _far").drop("_of")
 
 
 def loess(df: DataFrame, x: str, y: str, grid: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """Local lines with tricube weights over the nearest ``alpha`` of all rows, at each ``x0`` of the grid."""
-    near = _nearest(df, x, y, grid, F.greatest(F.lit(2), F.floor(F.lit(alpha) * F.col("_n"))))
-    d = F.abs(F.col("_x") - F.col("x0"))
-    widest = F.max(d).over(W.partitionBy("point"))
-    near = near.withColumn("_d", ratio(d, F.when(widest > 0, widest).otherwise(1.0)))
-    w = F.pow(F.greatest(F.lit(0.0), 1 - F.pow("_d", F.lit(3.0))), F.lit(3.0))
-    near = near.withColumn("_w", w)
+    """Local lines with tricube weights over the nearest ``alpha`` of all rows, at each ``x0`` of the grid.
+
+    The farthest of these rows have weight 0, so it doesn't matter which of several equally far ones belong to them; only
+    where more rows than wanted lie at the point itself do all of those count.
+    """
+    near = _near(df, x, y, grid, lambda n: F.greatest(F.lit(2), F.floor(F.lit(alpha) * n)))
+    d = ratio(F.col("_d"), F.when(F.col("_far") > 0, F.col("_far")).otherwise(1.0))
+    near = near.withColumn("_w", F.pow(F.greatest(F.lit(0.0), 1 - F.pow(d, F.lit(3.0))), F.lit(3.0)))
     # about the grid point, so the fitted value is the intercept
     u, v = F.col("_x") - F.col("x0"), F.col("_y")
     s = near.groupBy("point", "x0").agg(*[F.sum(F.col("_w") * e).alias(n) for n, e in (("s", F.lit(1.0)), ("sx", u), ("sy", v), ("sxx", u * u), ("sxy", u * v))])
@@ -189,23 +178,47 @@ def loess(df: DataFrame, x: str, y: str, grid: DataFrame, alpha: float = 0.3) ->
 
 
 def running_quantile(df: DataFrame, x: str, y: str, grid: DataFrame, q: float = 0.5, k: int = 25) -> DataFrame:
-    near = _nearest(df, x, y, grid, F.greatest(F.lit(3), F.least(F.lit(k), F.col("_n"))))
+    """The quantile of the ``k`` nearest rows at each grid point; of two at one distance the one to the left, and of equal
+    ones the one next to the point in the order of ``x`` and ``y``."""
+    near = _near(df, x, y, grid, lambda n: F.greatest(F.lit(3), F.least(F.lit(k), n)))
+    left = F.col("_x") < F.col("x0")
+    order = ["_d", F.when(left, 0).otherwise(1), F.when(left, -F.col("_y")).otherwise(F.col("_y"))]
+    # the k nearest and those as far as the last of them
+    near = near.withColumn("_place", F.row_number().over(W.partitionBy("point").orderBy(*order))).filter(F.col("_place") <= k).filter("_place <= _k")
     return near.groupBy("point", "x0").agg(F.percentile("_y", F.lit(q)).alias("y"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str, by: list[str] = (), q: float = P.BH_Q) -> DataFrame:
-    """Adjusted p-values within each family and whether a test survives; tests without a p take no part."""
+    """Adjusted p-values within each family and whether a test survives; tests without a p take no part.
+
+    Equal p-values have equal results, so the work is done on counts by p: places are running sums over slices of p, and the
+    smallest ratio from a place on is a running minimum from the other end.
+    """
+    by = list(by)
     x = df.withColumn("_p", finite(p))
-    tests = x.filter("_p is not null")
-    family = W.partitionBy(*by)
-    tests = tests.withColumn("_m", F.count(F.lit(1)).over(family)).withColumn("_k", F.row_number().over(family.orderBy("_p", key)))
-    tests = tests.withColumn("_q", F.col("_p") * F.col("_m") / F.col("_k"))
-    backwards = family.orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
-    tests = tests.withColumn("q_value", F.least(F.lit(1.0), F.min("_q").over(backwards)))
-    cut = F.max(F.when(F.col("_p") <= F.col("_k") / F.col("_m") * q, F.col("_k"))).over(family)
-    tests = tests.withColumn("survives", F.coalesce(F.col("_k") <= cut, F.lit(False)))
-    rest = x.filter("_p is null").withColumn("q_value", F.lit(None).cast("double")).withColumn("survives", F.lit(False))
-    return tests.drop("_m", "_k", "_q", "_p").unionByName(rest.drop("_p"))
+    counts = x.filter("_p is not null").groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_m"))
+    placed = scans.running(scans.sliced(counts, "_p"), ["_p"], {"_k": F.col("_c")}, by=by)
+    placed = _with(placed, totals, by)
+    # of equal p-values the last has the smallest ratio
+    placed = placed.withColumns({"_q": F.col("_p") * F.col("_m") / F.col("_k"), "_n": -F.col("_p")})
+    placed = scans.running(scans.sliced(placed.drop("_s"), "_n"), ["_n"], maxima={"_least": -F.col("_q")}, by=by)
+    passes = F.col("_p") <= F.col("_k") / F.col("_m") * q
+    placed = placed.select(*by, "_p", F.least(F.lit(1.0), -F.col("_least")).alias("q_value"), F.when(passes, F.col("_p")).alias("_cut"))
+    cut = placed.groupBy(*by).agg(F.max("_cut").alias("_last"))
+    placed = _with(placed.drop("_cut"), cut, by).select(*by, "_p", "q_value", F.coalesce(F.col("_p") <= F.col("_last"), F.lit(False)).alias("survives"))
+    tests = _with(x, placed, [*by, "_p"])
+    return tests.withColumn("survives", F.coalesce("survives", F.lit(False))).drop("_p")
+
+
+def _with(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``right``, which has a row for each of the keys; null keys meet. Without keys it is one row."""
+    if not keys:
+        return df.join(F.broadcast(right))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_w_{k}"))
+    return df.join(right.withColumnsRenamed({k: f"_w_{k}" for k in keys}), same, "left").drop(*[f"_w_{k}" for k in keys])
 
 
 def heavy_ties(df: DataFrame, columns: list[str], by: list[str] = (), share: float = P.HEAVY_TIES) -> DataFrame:

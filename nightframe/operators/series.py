@@ -1,7 +1,7 @@
 """Operators on ordered series: rolling windows, streaks, decomposition, lags.
 
-``by`` separates series and is the partitioning of every window. A single long series without ``by`` meets in one
-task where its order matters; the operators that can do without (autocorrelation, seasonal means) join instead.
+``by`` separates series. With ``spread``, which is the default without ``by``, a series of any length is cut into blocks or
+slices (``scans``) and no task sees all of it; else ``by`` is the partitioning of every window.
 """
 
 from __future__ import annotations
@@ -12,13 +12,28 @@ from pyspark.sql.window import Window as W
 
 from nightframe import params as P
 from nightframe.functions.exprs import day_number, finite, normal_quantile, ratio
+from nightframe.operators import scans
 
+#: Days or rows of a block; blocks are longer where a frame is.
+BLOCK = 1024
 
-def rolling(df: DataFrame, day: str, value: str, days: int, by: list[str] = ()) -> DataFrame:
+
+def _spread(spread: bool | None, by: list[str]) -> bool:
+    return not by if spread is None else spread
+
+
+def rolling(df: DataFrame, day: str, value: str, days: int, by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """Over the last ``days`` calendar days of each row: mean with its interval, median with its order-statistic
-    interval, and the share of nights of at least four hours. Missing values count nowhere."""
+    interval, and the share of nights of at least four hours. Missing values count nowhere.
+
+    Spread out, a block of days also gets the days before it that its frames reach, and returns its own rows only.
+    """
     x = df.withColumn("_d", day_number(day)).withColumn("_x", finite(value))
-    w = W.partitionBy(*by).orderBy("_d").rangeBetween(-(days - 1), 0)
+    apart = _spread(spread, by)
+    if apart:
+        # rows without a date have a frame of their own
+        x = scans.with_halo(x.withColumn("_p", F.coalesce("_d", F.lit(-(2**40)))), "_p", days - 1, 0, max(BLOCK, 8 * days))
+    w = W.partitionBy(*by, *["_at"] * apart).orderBy("_d").rangeBetween(-(days - 1), 0)
     x = x.withColumn("_n", F.count("_x").over(w)).withColumn("_s", F.sort_array(F.collect_list("_x").over(w)))
     x = x.withColumn("_m", F.avg("_x").over(w)).withColumn("_sd", F.stddev_samp("_x").over(w))
     x = x.withColumn("_c", F.sum((F.col("_x") >= P.USAGE_HOURS).cast("int")).over(w))
@@ -28,7 +43,7 @@ def rolling(df: DataFrame, day: str, value: str, days: int, by: list[str] = ())
     high = F.least(n - 1, F.ceil(n * 0.5 + spread)).cast("int")
     mid = F.floor((n - 1) / 2).cast("int")
     median = F.when(n % 2 == 1, F.get("_s", mid)).otherwise((F.get("_s", mid) + F.get("_s", mid + 1)) / 2)
-    return x.select(
+    return (x.filter("_own") if apart else x).select(
         *by, day, F.col("_x").alias("value"), n.alias("n"),
         F.col("_m").alias("avg"), (F.col("_m") - half).alias("avg_low"), (F.col("_m") + half).alias("avg_high"),
         F.when(n > 0, median).alias("median"), F.get("_s", low).alias("median_low"), F.get("_s", high).alias("median_high"),
@@ -46,21 +61,26 @@ def streaks(df: DataFrame, day: str, value: str, thresholds: list[float], by: li
     return runs.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("_ok"), F.col("_n"))), F.lit(0)).alias("longest"))
 
 
-def breakpoints(df: DataFrame, day: str, short: str, long: str, least: float = 0.75, by: list[str] = ()) -> DataFrame:
+def breakpoints(df: DataFrame, day: str, short: str, long: str, least: float = 0.75, by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """Days on which the difference of two rolling means changes its sign, where it is at least ``least``."""
-    w = W.partitionBy(*by).orderBy(day)
-    x = df.withColumn("_d", finite(short) - finite(long)).withColumn("_p", F.lag("_d").over(w))
+    x = df.withColumn("_d", finite(short) - finite(long))
+    if _spread(spread, by):
+        x = scans.sliced(x.withColumn("_k", day_number(day)), "_k")
+        x = scans.preceding(x, ["_k"], {"_p": F.col("_d")}, by)
+    else:
+        x = x.withColumn("_p", F.lag("_d").over(W.partitionBy(*by).orderBy(day)))
     turned = (F.signum("_d") != F.signum("_p")) & (F.abs("_d") >= least)
     return x.filter(turned).select(*by, day, F.col("_d").alias("delta"))
 
 
-def decompose(df: DataFrame, day: str, value: str, season: int = P.SEASON, by: list[str] = ()) -> DataFrame:
+def decompose(df: DataFrame, day: str, value: str, season: int = P.SEASON, by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """Trend (centred moving mean), seasonal part (mean of the detrended values at each place of the season, centred)
     and the rest."""
-    order = W.partitionBy(*by).orderBy(day)
-    half = max(1, season // 2)
-    x = df.select(*by, day, finite(value).alias("value")).withColumn("_i", F.row_number().over(order) - 1)
-    x = x.withColumn("trend", F.avg("value").over(order.rowsBetween(-half, half))).withColumn("_place", F.pmod("_i", F.lit(season)))
+    by, half = list(by), max(1, season // 2)
+    x = _numbered(df, day, value, by, spread, [day]).withColumnRenamed("_x", "value")
+    x = scans.with_halo(x, "_i", half, half, max(BLOCK, 8 * half)) if _spread(spread, by) else x.withColumns({"_at": F.lit(0), "_own": F.lit(True)})
+    order = W.partitionBy(*by, "_at").orderBy("_i")
+    x = x.withColumn("trend", F.avg("value").over(order.rowsBetween(-half, half))).filter("_own").withColumn("_place", F.pmod("_i", F.lit(season)))
     means = x.groupBy(*by, "_place").agg(F.avg(F.col("value") - F.col("trend")).alias("_mean"))
     all_of = W.partitionBy(*by)
     # as many rows as the season has places
@@ -69,23 +89,37 @@ def decompose(df: DataFrame, day: str, value: str, season: int = P.SEASON, by: l
     return x.select(*by, day, "value", "trend", "seasonal", (F.col("value") - F.col("trend") - F.col("seasonal")).alias("residual"))
 
 
-def _numbered(df: DataFrame, day: str, value: str, by: list[str]) -> DataFrame:
-    return df.select(*by, F.row_number().over(W.partitionBy(*by).orderBy(day)).alias("_i"), finite(value).alias("_x"))
+def _numbered(df: DataFrame, day: str, value: str, by: list[str], spread: bool | None, more: list[str] = ()) -> DataFrame:
+    """``by, _i, _x``: values in order of the day, numbered from 0."""
+    x = df.select(*by, *more, day_number(day).alias("_k"), finite(value).alias("_x"))
+    if _spread(spread, by):
+        return scans.numbered(x, "_k", by)
+    return x.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy("_k")) - 1)
 
 
-def autocorrelation(df: DataFrame, day: str, value: str, lags: int = 30, by: list[str] = ()) -> DataFrame:
+def autocorrelation(df: DataFrame, day: str, value: str, lags: int = 30, by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """Autocorrelation by lag about the series' mean, over the pairs that have both values.
 
-    All lags come from one pass: a row meets its ``lags`` predecessors in one window frame.
+    All lags come from one pass: a row meets its ``lags`` predecessors in one window frame. Spread out, a block of rows
+    also gets the ``lags`` rows before it.
     """
     by = list(by)
-    all_of = W.partitionBy(*by)
-    x = _numbered(df, day, value, by)
-    x = x.withColumn("_c", F.col("_x") - F.avg("_x").over(all_of))
-    order = W.partitionBy(*by).orderBy("_i")
+    x = _numbered(df, day, value, by, spread)
+    means = df.groupBy(*by).agg(F.avg(finite(value)).alias("_mean"))
+    if by:
+        same = F.lit(True)
+        for b in by:
+            same &= F.col(b).eqNullSafe(F.col(f"_m_{b}"))
+        x = x.join(means.withColumnsRenamed({b: f"_m_{b}" for b in by}), same).drop(*[f"_m_{b}" for b in by])
+    else:
+        x = x.join(F.broadcast(means))
+    x = x.withColumn("_c", F.col("_x") - F.col("_mean"))
+    x = scans.with_halo(x, "_i", lags, 0, max(BLOCK, 8 * lags)) if _spread(spread, by) else x.withColumns({"_at": F.lit(0), "_own": F.lit(True)})
+    order = W.partitionBy(*by, "_at").orderBy("_i")
     before = [F.struct(F.lit(k).alias("lag"), (F.col("_c") * F.lag("_c", k).over(order)).alias("p")) for k in range(lags + 1)]
-    total = x.groupBy(*by).agg(F.sum(F.col("_c") * F.col("_c")).alias("_ss"), F.count(F.lit(1)).alias("_rows"))
-    products = x.select(*by, F.array(*before).alias("_all")).select(*by, F.explode("_all").alias("t")).groupBy(*by, F.col("t.lag").alias("lag"))
+    own = x.select(*by, "_c", "_own", F.array(*before).alias("_all")).filter("_own")
+    total = own.groupBy(*by).agg(F.sum(F.col("_c") * F.col("_c")).alias("_ss"), F.count(F.lit(1)).alias("_rows"))
+    products = own.select(*by, F.explode("_all").alias("t")).groupBy(*by, F.col("t.lag").alias("lag"))
     sums = products.agg(F.sum("t.p").alias("_sp"), F.count("t.p").alias("pairs"))
     out = sums.join(total, by) if by else sums.join(F.broadcast(total))
     kept = out.filter(F.col("lag") < F.col("_rows"))
@@ -113,13 +147,17 @@ def cross_correlation(df: DataFrame, day: str, x: str, y: str, lags: int = P.LAG
     return out.join(size, "lag").select("lag", "r", "n", "conf")
 
 
-def ranks(df: DataFrame, value: str, by: list[str] = (), name: str = "rank") -> DataFrame:
-    """Average ranks; missing values have none. Counts by value come first, so ties cost one row each in the window."""
+def ranks(df: DataFrame, value: str, by: list[str] = (), name: str = "rank", spread: bool = True) -> DataFrame:
+    """Average ranks; missing values have none. Counts by value come first, so ties cost one row each; ranks are running sums
+    over slices of the values, or over a group where groups are known to be small (``spread=False``)."""
     by = list(by)
     x = df.withColumn("_v", finite(value))
     counts = x.filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_t"))
-    upto = F.sum("_t").over(W.partitionBy(*by).orderBy("_v"))
-    placed = counts.select(*by, "_v", (upto - (F.col("_t") - 1) / 2).cast("double").alias(name))
+    if spread:
+        counts = scans.running(scans.sliced(counts, "_v"), ["_v"], {"_upto": F.col("_t")}, by=by)
+    else:
+        counts = counts.withColumn("_upto", F.sum("_t").over(W.partitionBy(*by).orderBy("_v")))
+    placed = counts.select(*by, "_v", (F.col("_upto") - (F.col("_t") - 1) / 2).cast("double").alias(name))
     return x.join(placed, [*by, "_v"], "left").drop("_v")
 
 
@@ -191,7 +229,7 @@ def lag_profile(df: DataFrame, day: str, x: str, y: str, lags: int = P.LAGS, lea
     left = days.filter("_x is not null").select(*by, "_day", "_x", F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"))
     left = left.withColumn("_on", F.date_add("_day", F.col("lag")))
     right = days.filter("_y is not null").select(*by, F.col("_day").alias("_on"), "_y")
-    return spearman(left.join(right, [*by, "_on"]), "_x", "_y", [*by, "lag"], least).withColumnRenamed("r", "rho")
+    return spearman(left.join(right, [*by, "_on"]), "_x", "_y", [*by, "lag"], least, spread=False).withColumnRenamed("r", "rho")
 
 
 def effective_n(n: Column, r1x: Column, r1y: Column) -> Column:

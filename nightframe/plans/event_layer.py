@@ -164,6 +164,50 @@ def _(spark, sf):
     return rounded(E.bad_nights(by_day, "day", "v", found, 1.0, 1000))
 
 
+# The whole log as one subject, cut into slices of time, none of which sees all of it.
+MIN = 60.0
+LOG = P.ClusterParams(gap=20 * MIN, bridge_gap=40 * MIN, bridge_threshold=0.3, edge_enter=0.6, edge_exit=0.4, edge_min=10 * MIN)
+LOG_FN = P.FalseNegativeParams(threshold=0.3, peak=0.8, min_span=10 * MIN, max_span=12 * HOUR, gap=45 * MIN)
+LOG_GAP = f"""{EVENTS}, g AS (SELECT t, dur, CASE WHEN t - lag(t + dur) OVER w <= {20 * MIN} THEN 0 ELSE 1 END AS new FROM apneas WINDOW w AS (ORDER BY t, dur)),
+assigned AS (SELECT *, sum(new) OVER (ORDER BY t, dur ROWS UNBOUNDED PRECEDING) AS cluster FROM g)"""
+
+
+@query("W12_log_clusters", f"WITH {LOG_GAP} SELECT CAST(cluster AS BIGINT) AS cluster, {SUMMARY} FROM assigned GROUP BY 1")
+def _(spark, sf):
+    whole = apneas(spark, sf).drop("user_id")
+    return rounded(E.clusters(whole, flow(spark, sf).drop("user_id"), P.ClusterParams("agglomerative", gap=20 * MIN)))
+
+
+LOG_BRIDGE = f"""{EVENTS}, g AS (SELECT t, dur, lag(t + dur) OVER w AS e, row_number() OVER w AS k FROM apneas WINDOW w AS (ORDER BY t, dur)),
+h AS (SELECT *, max(e) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS far FROM g),
+n AS (SELECT h.*, CASE WHEN e IS NULL THEN 1 WHEN t - e <= {20 * MIN} THEN 0
+ WHEN t - e <= {40 * MIN} AND (SELECT max(f.t) FROM flow f WHERE f.level >= 0.3 AND f.t <= h.t) >= far THEN 0 ELSE 1 END AS new FROM h),
+assigned AS (SELECT *, sum(new) OVER (ORDER BY k) AS cluster FROM n),
+i AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {40 * MIN} AND level >= 0.4 THEN 0 ELSE 1 END AS new FROM flow WINDOW w AS (ORDER BY t, level)),
+j AS (SELECT *, sum(new) OVER (ORDER BY t, level ROWS UNBOUNDED PRECEDING) AS isl FROM i),
+first_in AS (SELECT isl, min(t) FILTER (level >= 0.6) AS t0 FROM j GROUP BY 1),
+seg AS (SELECT j.isl, min(t) AS a, max(t) AS z FROM j JOIN first_in f ON f.isl = j.isl AND j.t >= f.t0 GROUP BY 1 HAVING max(t) - min(t) >= {10 * MIN}),
+c AS (SELECT cluster, min(t) AS s, max(t + dur) AS e, count(*) AS n, sum(dur) AS total FROM assigned GROUP BY 1),
+x AS (SELECT c.*, coalesce((SELECT min(a) FROM seg WHERE z <= s AND s - z <= {20 * MIN}), s) AS s2,
+ greatest(e, coalesce((SELECT arg_min(z, a) FROM seg WHERE a >= e AND a - e <= {20 * MIN}), e)) AS e2 FROM c)"""
+
+
+@query("W13_log_clusters", f"""WITH {LOG_BRIDGE} SELECT CAST(cluster AS BIGINT) AS cluster, n AS count, {r('s2', 'start')}, {r('e2', '"end"')}, {r('total', 'total_sec')},
+ {r('e2 - s2', 'span_sec')}, {r('n / (greatest(e2 - s2, 1) / 60)', 'density')}, {r('total / (greatest(e2 - s2, 1) / 60)', 'weighted_density')}, {r('s', 'core_start')}, {r('e', 'core_end')} FROM x""")
+def _(spark, sf):
+    return rounded(E.clusters(apneas(spark, sf).drop("user_id"), flow(spark, sf).drop("user_id"), LOG))
+
+
+LOG_RUNS = f"""{EVENTS}, q AS (SELECT * FROM flow WHERE level >= 0.3), k AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {45 * MIN} THEN 0 ELSE 1 END AS new FROM q WINDOW w AS (ORDER BY t, level)),
+l AS (SELECT *, sum(new) OVER (ORDER BY t, level ROWS UNBOUNDED PRECEDING) AS id FROM k), runs AS (SELECT id, min(t) AS a, max(t) AS z, max(level) AS peak FROM l GROUP BY 1)"""
+
+
+@query("W15_log_runs", f"WITH {LOG_RUNS} SELECT {r('a', 'start')}, {r('z', '\"end\"')}, {r('peak', 'peak')}, {r('z - a', 'span_sec')} FROM runs WHERE z - a BETWEEN {10 * MIN} AND {12 * HOUR} AND peak >= 0.8")
+def _(spark, sf):
+    none = apneas(spark, sf).drop("user_id").filter("false")
+    return rounded(E.false_negatives(flow(spark, sf).drop("user_id"), none, LOG_FN))
+
+
 @query("T11_kmeans")
 def _(spark, sf):
     return rounded(E.clusters(apneas(spark, sf), flow(spark, sf), P.ClusterParams("kmeans", k=4), BY))
