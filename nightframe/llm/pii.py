@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,9 +55,10 @@ _phrases = "(?:[Nn]ame is|[Nn]ame:|[Ii]ch heiße|Name ist|m'appelle|m’appelle|
 #: Persons: after a title or such a phrase any name, else those that begin with a listed given name.
 PERSON = rf"(?=\p{{Lu}})(?<![\p{{L}}\d])(?:{_titles}\.? (?:{_given}|{WORD}(?: {WORD})?)|{_given}|(?<={_phrases}){WORD}(?: {WORD})?)"
 _hex = "[0-9A-Fa-f]{1,4}"
-#: Alternatives with digits or an @, and persons; they are tried in this order.
+#: Alternatives with digits or an @, and persons; they are tried in this order. What repeats a group is bounded, as matching
+#: recurses there: a mailbox has at most 64 characters, a domain 127 labels.
 PATTERN = "|".join([
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     r"(?<![\p{L}\d])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
     r"(?<![\p{L}\d])\+(?=(?:[ ./()-]{0,2}\d){8})\d{1,3}[ ./-]?(?:\(\d{1,4}\)[ ./-]?)?\d{1,4}(?:[ ./-]?\d{2,4}){1,5}(?!\d)",
     r"\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\d.-])(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})(?![\d-]|\.\d)",
@@ -114,8 +116,11 @@ def let(value: Column, body) -> Column:
 
 def pii_key(spark: SparkSession) -> str:
     """The key of the surrogates: the session's ``spark.nightframe.pii.key``, else NIGHTFRAME_PII_KEY of the environment,
-    else one for demonstrations, which protects nothing."""
-    return spark.conf.get("spark.nightframe.pii.key", os.environ.get("NIGHTFRAME_PII_KEY", "demonstration"))
+    else one for demonstrations, which protects nothing and is warned of."""
+    key = spark.conf.get("spark.nightframe.pii.key", os.environ.get("NIGHTFRAME_PII_KEY", ""))
+    if not key:
+        warnings.warn("no key for surrogates: set spark.nightframe.pii.key or NIGHTFRAME_PII_KEY; a public one is used", stacklevel=2)
+    return key or "demonstration"
 
 
 #: Place of the drawn numbers that stand for the first character; those before it have other uses.
@@ -125,21 +130,29 @@ FIRST = 50
 LAST_ATTEMPT = 12
 
 
+#: Canonical forms longer than this are drawn for by their digest.
+LONG = 256
+
+
+def four_at(stream: Column, i: Column) -> Column:
+    """The ``i``-th four of the hex digits in a stream, an array of texts of 64."""
+    return F.substr(F.get(stream, F.floor(i / 16).cast("int")), (4 * (i % 16) + 1).cast("int"), F.lit(4))
+
+
 def hex_at(stream: Column, i: Column) -> Column:
-    """The ``i``-th number, below 65536, of a stream of hex digits."""
-    return F.conv(F.substr(stream, 4 * i + 1, F.lit(4)), 16, 10).cast("int")
+    """The ``i``-th number, below 65536, of a stream."""
+    return F.conv(four_at(stream, i), 16, 10).cast("int")
 
 
 def like(text: Column, stream: Column) -> Column:
     """Letters for letters and digits for digits, character by character."""
-    small = "abcdefghijklmnopqrstuvwxyz"
 
-    def char(i: Column) -> Column:
-        c = F.substr(text, i, F.lit(1))
-        of = F.when(c.rlike("[0-9]"), "0123456789").when(c.rlike("[a-z]"), small).when(c.rlike("[A-Z]"), small.upper()).otherwise(c)
-        return let(of, lambda o: F.substr(o, (hex_at(stream, i + (FIRST - 1)) % F.length(o) + 1).cast("int"), F.lit(1)))
+    def char(c: Column, i: Column) -> Column:
+        n = hex_at(stream, i + FIRST)
+        drawn = lambda first, size: F.chr(F.lit(ord(first)) + n % size)
+        return F.when(c.between("0", "9"), drawn("0", 10)).when(c.between("a", "z"), drawn("a", 26)).when(c.between("A", "Z"), drawn("A", 26)).otherwise(c)
 
-    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), char), "")).otherwise("")
+    return F.when(F.length(text) > 0, F.array_join(F.transform(F.split(text, ""), char), "")).otherwise("")
 
 
 class Surrogates:
@@ -155,16 +168,19 @@ class Surrogates:
             given |= {a.lower(): b for a, b in zip(names, [*names[1:], names[0]], strict=True)}
         self.given = F.create_map(*[F.lit(x) for pair in sorted(given.items()) for x in pair])
 
-    def drawn(self, kind: Column, canon: Column, attempt: Column, body) -> Column:
+    def drawn(self, kind: Column, canon: Column, attempt: Column, characters: Column, body) -> Column:
         """``body(stream)`` for the hex digits that are drawn for an entity: HMAC-SHA256 over counted blocks, four digits for
-        each character of the canonical form and a few dozen more."""
+        each of so many characters and a few dozen more. A long form is hashed once, whatever the number of blocks."""
+
+        def blocks(name: Column) -> Column:
+            def block(i: Column) -> Column:
+                line = F.concat_ws("|", kind, attempt.cast("string"), i.cast("string"), name).cast("binary")
+                return F.sha2(F.concat(F.lit(self.outer), F.unhex(F.sha2(F.concat(F.lit(self.inner), line), 256))), 256)
 
-        def block(i: Column) -> Column:
-            line = F.concat_ws("|", kind, attempt.cast("string"), i.cast("string"), canon).cast("binary")
-            return F.sha2(F.concat(F.lit(self.outer), F.unhex(F.sha2(F.concat(F.lit(self.inner), line), 256))), 256)
+            return F.transform(F.sequence(F.lit(0), F.floor((characters + (FIRST + 20)) / 16).cast("int")), block)
 
-        blocks = F.sequence(F.lit(0), F.floor((F.length(canon) + (FIRST + 20)) / 16).cast("int"))
-        return let(F.array_join(F.transform(blocks, block), ""), body)
+        name = F.when(F.length(canon) > LONG, F.concat(F.lit("long|"), F.sha2(canon.cast("binary"), 256))).otherwise(canon)
+        return let(let(name, blocks), body)
 
     def canonical(self, kind: Column, canon: Column, attempt: Column) -> Column:
         """The surrogate of a canonical form. Mail and network addresses come from names and ranges kept for examples and
@@ -176,10 +192,11 @@ class Surrogates:
 
         def made(stream: Column) -> Column:
             number = lambda i, n: hex_at(stream, F.lit(i)) % n
-            shaped = like(canon, stream)
+            # hex digits are taken from the stream as they are
+            shaped = F.when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), "").otherwise(like(canon, stream))
             return let(shaped, lambda shape: self._by_kind(kind, canon, attempt, stream, number, shape))
 
-        return self.drawn(kind, canon, attempt, made)
+        return self.drawn(kind, canon, attempt, F.length(canon), made)
 
     def _by_kind(self, kind: Column, canon: Column, attempt: Column, stream: Column, number, shape: Column) -> Column:
         text = lambda i, n, plus=0: (number(i, n) + plus).cast("string")
@@ -193,7 +210,7 @@ class Surrogates:
         inner = F.when(canon.rlike(r"@.*\..*\."), F.concat(F.substring_index(F.substring_index(shape, "@", -1), ".", 1), F.lit("."))).otherwise("")
         ending = F.element_at(F.array(*[F.lit(x) for x in ("com", "org", "net")]), (number(0, 3) + 1).cast("int"))
         email = F.concat(F.substring_index(shape, "@", 1), more(1), F.lit("@"), inner, F.lit("example."), ending)
-        groups = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substr(stream, 4 * i + 1, F.lit(4)))
+        groups = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: four_at(stream, i))
         four = F.concat(F.concat_ws(".", F.lit("10"), text(0, 256), text(1, 256), text(2, 254, 1)), more(3, ":"))
         ip = F.when(canon.contains(":"), F.concat(F.lit("2001:db8:"), F.array_join(groups, ":"))).otherwise(four)
         exchange = F.when(attempt < 2, "555").otherwise(F.concat(text(1, 8, 2), F.substring(shape, 6, 2)))
@@ -204,7 +221,7 @@ class Surrogates:
             lambda b: F.concat(b, F.when(luhn(canon) == 0, F.pmod(-luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")).otherwise(F.right(shape, F.lit(1)))),
         )
         ssn = F.concat(F.lit("9"), F.substr(shape, F.lit(2)))
-        secret = F.when(canon.rlike("^[0-9a-f]+$"), F.substr(stream, F.lit(4 * FIRST + 1), F.length(canon))).otherwise(F.concat(F.substring(canon, 1, 4), F.substr(shape, F.lit(5))))
+        secret = F.when(canon.rlike("^[0-9a-f]+$"), F.substr(F.array_join(stream, ""), F.lit(4 * FIRST + 1), F.length(canon))).otherwise(F.concat(F.substring(canon, 1, 4), F.substr(shape, F.lit(5))))
         country, rest = F.substring(canon, 1, 2), F.concat(F.substr(shape, F.lit(5)), more(3))
         check = lambda r: F.lpad((98 - mod97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0")
         iban = let(rest, lambda r: F.concat(country, check(r), r))
@@ -213,7 +230,7 @@ class Surrogates:
         return out.when(kind == "secret", F.concat(secret, more(3))).when(kind == "iban", iban).otherwise(self._syllables(canon, attempt, stream))
 
     def surname(self, canon: Column, attempt: Column) -> Column:
-        return self.drawn(F.lit("surname"), canon, attempt, lambda stream: self._syllables(canon, attempt, stream))
+        return self.drawn(F.lit("surname"), canon, attempt, F.lit(0), lambda stream: self._syllables(canon, attempt, stream))
 
     def _syllables(self, canon: Column, attempt: Column, stream: Column) -> Column:
         """A family name: two or three syllables (more after collisions) and an ending, in the script of the name."""
@@ -344,7 +361,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     Two passes over the texts, neither of which shuffles them: the first lists the distinct entities, by document,
     without their places; the second replaces. Surrogates are computed in place; only the few entities that had to
     draw again are looked up, by document. A null text stays null, an empty one empty; rows that repeat an id or a
-    text get the same surrogates; null ids are handled like any other.
+    text get the same surrogates; null ids are handled like any other. Columns of ``docs`` may have any name that doesn't
+    begin with ``__nf_``. The time for a text is in proportion to its length, whatever runs it holds.
     """
     surrogates = Surrogates(key)
     found = written(entities(docs, id_col, text_col))

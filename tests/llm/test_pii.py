@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import re
+import time
 
 import pytest
 
@@ -46,6 +47,30 @@ def test_names_beyond_the_list(spark):
     assert a[2] == a[3]
 
 
+RUNS = {
+    "hex": "0a1b2c3d" * 131_072, "capitals": "Q" * 1_048_576, "name": "Dr " + "Q" * 1_048_576, "digits": "7" * 1_048_576, "labels": "x@" + "a." * 524_288 + "com",
+    "colons": "a" + ":" * 1_048_576, "groups": "1:" * 524_288, "mailbox": "a.b" * 349_526 + "@x.org", "token": "sk-" + "aB3_" * 262_144, "words": "Anna " * 209_716, "dots": "1." * 524_288,
+    "plus": "+1 " * 349_526, "hyphens": "A-B" * 349_526,
+}
+
+
+def test_long_runs_neither_crash_nor_take_long(spark):
+    """A megabyte each, all of them in what is left of two minutes; hundreds of kilobytes took hours or ended the JVM."""
+    begun = time.time()
+    out = dict(zip(RUNS, replaced(spark, list(RUNS.values())), strict=True))
+    assert time.time() - begun < 120
+    for name in ("hex", "digits", "token"):
+        assert len(out[name]) == len(RUNS[name]) and out[name] != RUNS[name]
+    assert out["name"].startswith("Dr ") and len(out["name"]) < 100 and out["labels"] == RUNS["labels"]
+
+
+def test_drawing_for_long_forms(spark):
+    """Different long forms differ, equal ones agree, and short ones are drawn for as ever."""
+    a, b = "0a" * 400, "0a" * 399 + "0b"
+    one, two, three = replaced(spark, [f"key {a} end", f"key {b} end", f"again {a}"])
+    assert one[4:-4] == three[6:] and one != two and len(one) == len(f"key {a} end")
+
+
 def phone_by_hand(key, canon, attempt):
     own = hashlib.sha256(key.encode()).digest()
     stream = "".join(hmac.new(own, f"phone|{attempt}|{i}|{canon}".encode(), hashlib.sha256).hexdigest() for i in range(10))
