@@ -8,6 +8,8 @@ durations and gaps are seconds.
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,17 +137,76 @@ def extend_edges(clusters: DataFrame, segments: DataFrame, gap: float, by: list[
     return _measured(out)
 
 
-def kmeans_clusters(events: DataFrame, p: P.ClusterParams, by: list[str] = ()) -> DataFrame:
-    """Clusters of event starts by seeded k-means within each subject, with how the search ended."""
-    by = list(by)
-    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema if f.name in by]
+#: Points on the line of a subject up to which the best partition is looked for among all; more are put into so many bins.
+BINS = 1024
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        label, _, rounds, settled, total = kernels.kmeans_line(pdf["t"].to_numpy(), p.k, p.rounds, p.seed)
-        return pdf.assign(cluster=label.astype("int64") + 1, rounds=rounds, settled=settled, wcss=total)
 
+def kmeans_clusters(events: DataFrame, p: P.ClusterParams, by: list[str] = ()) -> DataFrame:
+    """Clusters of event starts within each subject, ``p.k`` at most, with the smallest sum of squares, and how they were found.
+
+    On a line clusters are runs, so a subject's distinct starts, counted, are cut by dynamic programming: that is the best of
+    all partitions. More than ``BINS`` starts are first put into bins by a sketch of their quantiles; the bins' counts and
+    sums are cut that way, and rounds of means by nearest centre, computed by Spark over all starts, settle the borders.
+    ``rounds`` is 0 where none were needed.
+    """
+    by = list(by)
     slim = events.select(*by, "t", "dur").filter(F.col("t").isNotNull())
-    return kernels.by_subject(slim, by, ["t", "dur"], run, ", ".join([*keys, "t double, dur double, cluster bigint, rounds int, settled boolean, wcss double"]))
+    starts = slim.groupBy(*by, "t").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    cuts = F.percentile_approx("t", [i / scans.SLICES for i in range(1, scans.SLICES)], 10_000)
+    lines = starts.groupBy(*by).agg(F.min("t").alias("_t0"), F.count(F.lit(1)).alias("_m"), F.array_distinct(cuts).alias("_cuts"))
+    x = scans.matched(starts, lines, by)
+    # places within a slice are dealt evenly, so a slice of a long line has a few bins
+    wide = scans.slice_of("_cuts", F.col("t"))
+    left, right = F.coalesce(F.get("_cuts", wide - 1), F.col("_t0")), F.get("_cuts", wide)
+    part = F.coalesce(F.floor(BINS / scans.SLICES * (F.col("t") - left) / F.when(right > left, right - left)), F.lit(0))
+    point = F.when(F.col("_m") <= BINS, F.struct("t", F.lit(0).cast("bigint").alias("i"))).otherwise(F.struct(wide.cast("double").alias("t"), part.alias("i")))
+    u = F.col("t") - F.col("_t0")
+    bins = x.select(*by, point.alias("_bin"), "t", "_c", "_t0", u.alias("_u")).groupBy(*by, "_bin").agg(
+        F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_u")).alias("s"), F.sum(F.col("_c") * F.col("_u") * F.col("_u")).alias("q"), F.min("t").alias("lo"), F.max("_t0").alias("t0"))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lo")
+        n, total = pdf["n"].to_numpy(), pdf["s"].to_numpy()
+        at, wcss = kernels.best_cuts(n, total, pdf["q"].to_numpy(), p.k)
+        centres = [float(total[a:b].sum() / n[a:b].sum() + pdf["t0"].iloc[0]) for a, b in zip([0, *at], [*at, len(n)], strict=True)]
+        return pd.DataFrame([{b: pdf[b].iloc[0] for b in by} | {"begin": pdf["lo"].to_numpy()[at].tolist(), "centres": centres, "wcss": wcss}])
+
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in by]
+    # at most BINS rows and a few for each subject
+    found = bins.groupBy(*(by or [F.lit("").alias("_one")])).applyInPandas(cut, ", ".join([*keys, "begin array<double>, centres array<double>, wcss double"]))
+    found = scans.matched(found, lines.select(*by, (F.col("_m") > BINS).alias("_long")), by).withColumns({"rounds": F.lit(0), "settled": ~F.col("_long")})
+    found = _settled(found, starts, p, by)
+    cluster = F.size(F.filter("begin", lambda b: b <= F.col("t"))).cast("bigint") + 1
+    return scans.matched(slim, found.select(*by, "begin", "rounds", "settled", "wcss"), by).withColumn("cluster", cluster).select(*by, "t", "dur", "cluster", "rounds", "settled", "wcss")
+
+
+def _settled(found: DataFrame, starts: DataFrame, p: P.ClusterParams, by: list[str]) -> DataFrame:
+    """Rounds of means over all starts of the long lines in ``found``, until no border moves or ``p.rounds`` are done."""
+    spark = found.sparkSession
+    if not spark.sparkContext.getCheckpointDir() and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    found = found.checkpoint()
+    for turn in range(1, p.rounds + 1):
+        open_ = found.filter("not settled")
+        if not open_.limit(1).count():
+            break
+        middle = F.transform(F.sequence(F.lit(1), F.size("centres") - 1), lambda i: (F.get("centres", i - 1) + F.get("centres", i)) / 2)
+        borders = open_.select(*by, "centres", F.when(F.size("centres") > 1, middle).otherwise(F.array().cast("array<double>")).alias("_borders"))
+        x = scans.matched(starts, borders, by).filter("_borders is not null")
+        x = x.withColumn("_k", F.size(F.filter("_borders", lambda b: b <= F.col("t"))))
+        d = F.col("t") - F.get("centres", F.col("_k"))
+        each = x.groupBy(*by, "_k").agg(F.sum(F.col("_c") * F.col("t")).alias("_s"), F.sum("_c").alias("_n"), F.sum(F.col("_c") * d * d).alias("_q"), F.sum(F.col("_c") * d).alias("_d"), F.min("t").alias("_lo"))
+        runs = F.array_sort(F.collect_list(F.struct("_k", F.struct((F.col("_s") / F.col("_n")).alias("c"), "_lo").alias("r"))))
+        moved = each.groupBy(*by).agg(runs.alias("_runs"), F.sum(F.col("_q") - F.col("_d") * F.col("_d") / F.col("_n")).alias("_w"))
+        step = scans.matched(found, moved, by)
+        there = F.col("_runs").isNotNull()
+        begin = F.transform(F.slice("_runs", F.lit(2), F.greatest(F.lit(0), F.size("_runs") - 1)), lambda r: r["r"]["_lo"])
+        found = step.select(
+            *by, F.when(there, begin).otherwise(F.col("begin")).alias("begin"), F.when(there, F.transform("_runs", lambda r: r["r"]["c"])).otherwise(F.col("centres")).alias("centres"),
+            F.when(there, F.col("_w")).otherwise(F.col("wcss")).alias("wcss"), F.when(there, turn).otherwise(F.col("rounds")).alias("rounds"),
+            F.when(there, begin == F.col("begin")).otherwise(F.col("settled")).alias("settled"),
+        ).checkpoint()
+    return found
 
 
 def clusters(events: DataFrame, flow: DataFrame, p: P.ClusterParams = P.ClusterParams(), by: list[str] = (), spread: bool | None = None) -> DataFrame:

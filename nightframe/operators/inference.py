@@ -199,28 +199,18 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str, by: list[str] = (), q: f
     counts = x.filter("_p is not null").groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("_m"))
     placed = scans.running(scans.sliced(counts, "_p"), ["_p"], {"_k": F.col("_c")}, by=by)
-    placed = _with(placed, totals, by)
+    placed = scans.matched(placed, totals, by)
     # of equal p-values the last has the smallest ratio
     placed = placed.withColumns({"_q": F.col("_p") * F.col("_m") / F.col("_k"), "_n": -F.col("_p")})
     placed = scans.running(scans.sliced(placed.drop("_s"), "_n"), ["_n"], maxima={"_least": -F.col("_q")}, by=by)
     passes = F.col("_p") <= F.col("_k") / F.col("_m") * q
     placed = placed.select(*by, "_p", F.least(F.lit(1.0), -F.col("_least")).alias("q_value"), F.when(passes, F.col("_p")).alias("_cut"))
     cut = placed.groupBy(*by).agg(F.max("_cut").alias("_last"))
-    placed = _with(placed.drop("_cut"), cut, by).select(*by, "_p", "q_value", F.coalesce(F.col("_p") <= F.col("_last"), F.lit(False)).alias("survives"))
-    tests = _with(x, placed, [*by, "_p"])
+    placed = scans.matched(placed.drop("_cut"), cut, by).select(*by, "_p", "q_value", F.coalesce(F.col("_p") <= F.col("_last"), F.lit(False)).alias("survives"))
+    tests = scans.matched(x, placed, [*by, "_p"])
     return tests.withColumn("survives", F.coalesce("survives", F.lit(False))).drop("_p")
 
 
-def _with(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with the other columns of ``right``, which has a row for each of the keys; null keys meet. Without keys it is one row."""
-    if not keys:
-        return df.join(F.broadcast(right))
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_w_{k}"))
-    return df.join(right.withColumnsRenamed({k: f"_w_{k}" for k in keys}), same, "left").drop(*[f"_w_{k}" for k in keys])
-
-
 def heavy_ties(df: DataFrame, columns: list[str], by: list[str] = (), share: float = P.HEAVY_TIES) -> DataFrame:
     """Whether in any of the columns one value takes more than ``share`` of the rows."""
     by = list(by)

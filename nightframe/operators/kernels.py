@@ -17,18 +17,32 @@ TINY = 1e-12
 
 def change_points(values: np.ndarray, penalty: float) -> list[int]:
     """Where the best partition into segments of constant mean begins a new one. Cost: squared error, plus ``penalty`` a
-    segment; of equal costs the earliest split wins. Missing values count as zero."""
+    segment; of equal costs the earliest split wins. Missing values count as zero.
+
+    A start of the last segment is dropped for good once it can't win: for every mean of the segment there has been a place
+    where beginning anew cost less. The means left to a start are kept as an interval; some hundred starts are open at a
+    time where all of them would be compared otherwise.
+    """
     x = np.nan_to_num(np.asarray(values, float))
     n = len(x)
     s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
     best, origin = np.zeros(n + 1), np.zeros(n + 1, int)
     best[0] = -penalty
+    slack = 1e-10 * (1 + q[n])  # for rounding
+    start, low, high = np.zeros(1, int), np.full(1, -np.inf), np.full(1, np.inf)
     for t in range(1, n + 1):
-        size = t - np.arange(t)
-        total = s[t] - s[:t]
-        cost = best[:t] + (q[t] - q[:t] - total * total / size) + penalty
-        origin[t] = int(cost.argmin())
-        best[t] = cost[origin[t]]
+        size, total = t - start, s[t] - s[start]
+        cost = best[start] + (q[t] - q[start] - total * total / size) + penalty
+        least = int(cost.argmin())
+        origin[t], best[t] = start[least], cost[least]
+        left = best[t] + penalty + slack - cost
+        reach = np.sqrt(np.maximum(left, 0) / size)
+        low, high = np.maximum(low, total / size - reach), np.minimum(high, total / size + reach)
+        kept = (left >= 0) & (low <= high + 1e-9 * (1 + np.abs(high)))
+        start, low, high = start[kept], low[kept], high[kept]
+        # within a run of equal values the cost of beginning is concave, so only the ends of a run need be tried
+        if t == n or x[t] != x[t - 1]:
+            start, low, high = np.append(start, t), np.append(low, -np.inf), np.append(high, np.inf)
     found, t = [], n
     while t > 0 and origin[t] > 0:
         t = int(origin[t])
@@ -163,24 +177,24 @@ def correlation_p(rho: float, df: float) -> float:
     return student_p(rho * math.sqrt(df / (1 - rho * rho)), df)
 
 
-def kmeans_line(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, int, bool, float]:
-    """k-means++ on a line: labels ordered by centre, centres, rounds, whether it settled, the sum of squares."""
-    x, rng = np.asarray(x, float), np.random.default_rng(seed)
-    k = max(1, min(k, len(np.unique(x))))
-    centres = [x[rng.integers(len(x))]]
-    while len(centres) < k:
-        d = np.min((x[:, None] - np.array(centres)[None]) ** 2, 1)
-        centres.append(x[rng.choice(len(x), p=d / d.sum())])
-    c, settled, turn = np.sort(np.array(centres)), False, 0
-    for turn in range(1, rounds + 1):
-        label = np.abs(x[:, None] - c[None]).argmin(1)
-        new = np.array([x[label == j].mean() if (label == j).any() else c[j] for j in range(k)])
-        settled = bool(np.allclose(new, c, atol=1e-9))
-        c = new
-        if settled:
-            break
-    label = np.abs(x[:, None] - c[None]).argmin(1)
-    return label, c, turn, settled, float(((x - c[label]) ** 2).sum())
+def best_cuts(n: np.ndarray, total: np.ndarray, squares: np.ndarray, k: int) -> tuple[list[int], float]:
+    """Where the best partition of weighted points on a line into ``k`` runs begins each run but the first, and its sum of
+    squares. Points have counts, sums and sums of squares; of equal partitions the one with the earliest last cut wins."""
+    m, k = len(n), min(k, len(n))
+    c, s, q = (np.concatenate([[0.0], np.cumsum(v)]) for v in (n, total, squares))
+    size, span = c[None, :] - c[:, None], s[None, :] - s[:, None]
+    later = np.triu(np.ones((m + 1, m + 1), bool), 1)
+    cost = np.where(later, q[None, :] - q[:, None] - np.divide(span * span, size, out=np.zeros_like(size), where=later), np.inf)
+    best, origin = np.where(np.arange(m + 1) == 0, 0.0, np.inf), []
+    for _ in range(k):
+        ways = best[:, None] + cost
+        origin.append(ways.argmin(axis=0))
+        best = ways.min(axis=0)
+    cuts, at = [], m
+    for back in reversed(origin):
+        at = int(back[at])
+        cuts.append(at)
+    return cuts[::-1][1:], float(max(0.0, best[m]))
 
 
 # --- grouped operators ---------------------------------------------------------------------------------------------
@@ -290,27 +304,6 @@ def partial_matrix(df: DataFrame, columns: list[str], controls: list[str]) -> Da
     return out.withColumns({"r": finite("r"), "partial": finite("partial")})
 
 
-def by_subject(df: DataFrame, by: list[str], order: list[str], run, schema: str) -> DataFrame:
-    """``run`` on the ordered rows of each subject. Rows are sorted by subject and come in Arrow batches of many subjects, so a
-    subject costs no frame of its own; only one batch and the subject that goes on in the next are held."""
-
-    def stream(frames):
-        rest = None
-        for pdf in frames:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            keys = pdf[by]
-            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy()) if by else np.zeros(min(1, len(pdf)), np.int64)
-            rest = pdf.iloc[starts[-1] :] if len(starts) else None
-            parts = [run(pdf.iloc[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-        if rest is not None and len(rest):
-            yield run(rest)
-
-    spread = df.repartition(*by) if by else df.repartition(1)
-    return spread.sortWithinPartitions(*by, *order).mapInPandas(stream, schema)
-
-
 def permutation_tests(df: DataFrame, x: str, y: str, by: list[str] = (), rounds: int = P.PERMUTATIONS, seed: int = 5) -> DataFrame:
     by = list(by)
     groups, _, keys = _grouped(df, by, {"_x": finite(x), "_y": finite(y)}, None)

@@ -25,6 +25,16 @@ def cuts_of(df: DataFrame, key: str | Column, rows: int | None = None) -> DataFr
     return found.select(F.array_distinct(kept).alias("_cuts"))
 
 
+def matched(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``right``, which has a row for each of the keys; null keys meet. Without keys it is one row."""
+    if not keys:
+        return df.join(F.broadcast(right))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(right.withColumnsRenamed({k: f"_k_{k}" for k in keys}), same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def order_statistics(x: DataFrame, asked: dict, g: str = "_g", v: str = "_x") -> DataFrame:
     """``g``, ``n`` (values) and a map ``_m`` of pairs of order statistics by name, exact, for series of any length.
 

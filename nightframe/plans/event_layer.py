@@ -208,7 +208,21 @@ def _(spark, sf):
     return rounded(E.false_negatives(flow(spark, sf).drop("user_id"), none, LOG_FN))
 
 
-@query("T11_kmeans")
+# the best of all partitions of each user's distinct starts into four runs at most, by layers of prefix sums
+KMEANS = f"""{EVENTS}, d AS (SELECT user_id, t, count(*)::DOUBLE AS c FROM apneas GROUP BY 1, 2), z AS (SELECT user_id, t, c, t - min(t) OVER (PARTITION BY user_id) AS u FROM d),
+p AS (SELECT user_id, list_prepend(0.0::DOUBLE, list(a ORDER BY t)) AS n, list_prepend(0.0::DOUBLE, list(b ORDER BY t)) AS s, list_prepend(0.0::DOUBLE, list(e ORDER BY t)) AS q, list(t ORDER BY t) AS ts, count(*) AS m
+ FROM (SELECT user_id, t, sum(c) OVER w AS a, sum(c * u) OVER w AS b, sum(c * u * u) OVER w AS e FROM z WINDOW w AS (PARTITION BY user_id ORDER BY t)) GROUP BY 1),
+y AS (SELECT user_id, CAST(0 AS BIGINT) AS j, [CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 1e300::DOUBLE END FOR i IN range(0, m + 1)] AS best, CAST([] AS BIGINT[][]) AS origins FROM p
+ UNION ALL SELECT user_id, j + 1, [w.cost FOR w IN ways], list_append(origins, [w.l FOR w IN ways]) FROM (SELECT y.user_id, j, origins,
+ [CASE WHEN i = 0 THEN {{'cost': 1e300::DOUBLE, 'l': CAST(0 AS BIGINT)}} ELSE list_min([{{'cost': best[l + 1] + (q[i + 1] - q[l + 1] - (s[i + 1] - s[l + 1]) * (s[i + 1] - s[l + 1]) / (n[i + 1] - n[l + 1])), 'l': l}} FOR l IN range(0, i)]) END FOR i IN range(0, m + 1)] AS ways
+ FROM y JOIN p ON p.user_id = y.user_id WHERE j < least(4, m)) o),
+f AS (SELECT y.user_id, origins, m, ts, j FROM y JOIN p ON p.user_id = y.user_id WHERE j = least(4, m)),
+b AS (SELECT user_id, j, m AS upto, origins[j][m + 1] AS l FROM f UNION ALL SELECT b.user_id, b.j - 1, b.l, f.origins[b.j - 1][b.l + 1] FROM b JOIN f ON f.user_id = b.user_id WHERE b.j > 1),
+runs AS (SELECT b.user_id, b.j AS cluster, ts[l + 1] AS lo, ts[upto] AS hi FROM b JOIN f ON f.user_id = b.user_id),
+assigned AS (SELECT a.*, cluster FROM apneas a JOIN runs ON runs.user_id = a.user_id AND t BETWEEN lo AND hi)"""
+
+
+@query("T11_kmeans", f"WITH RECURSIVE {KMEANS} SELECT user_id, CAST(cluster AS BIGINT) AS cluster, {SUMMARY} FROM assigned GROUP BY 1, 2")
 def _(spark, sf):
     return rounded(E.clusters(apneas(spark, sf), flow(spark, sf), P.ClusterParams("kmeans", k=4), BY))
 

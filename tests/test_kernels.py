@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -61,13 +62,50 @@ def test_solver_refuses_singular_systems():
     assert got == pytest.approx([0.8, 1.4])
 
 
-def test_kmeans_on_a_line():
-    label, centres, rounds, settled, total = K.kmeans_line(np.array([0.0, 1, 2, 100, 101, 102]), 2, 25, 7)
-    assert settled and rounds <= 25 and list(label) == [0, 0, 0, 1, 1, 1] and centres == pytest.approx([1, 101]) and total == pytest.approx(4)
-    assert len(K.kmeans_line(np.array([5.0, 5.0]), 3, 25, 7)[1]) == 1
-
-
 def test_permutation_p_bounds():
     x = np.arange(12.0)
     assert K.permutation_p(x, x, 200, 1) == pytest.approx(1 / 201)
     assert K.permutation_p(x, np.tile([0.0, 1.0], 6), 200, 1) > 0.05
+
+
+def plain_change_points(x, penalty):
+    """Every place is compared with every place before it."""
+    n = len(x)
+    s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
+    best, origin = np.zeros(n + 1), np.zeros(n + 1, int)
+    best[0] = -penalty
+    for t in range(1, n + 1):
+        cost = best[:t] + (q[t] - q[:t] - (s[t] - s[:t]) ** 2 / (t - np.arange(t))) + penalty
+        origin[t] = int(cost.argmin())
+        best[t] = cost[origin[t]]
+    found, t = [], n
+    while t > 0 and origin[t] > 0:
+        t = int(origin[t])
+        found.append(t)
+    return found[::-1]
+
+
+def test_dropped_starts_never_win():
+    rng = np.random.default_rng(8)
+    for k in range(1000):
+        n = int(rng.integers(0, 90))
+        levels = np.repeat(rng.normal(0, rng.choice([0.5, 3]), n // 7 + 1), 7)[:n]
+        x = levels + rng.normal(0, 1, n)
+        if k % 3 == 0:
+            x = np.round(x * 2)  # ties and runs of equal values
+        penalty = float(rng.choice([0.5, 2, 10]))
+        assert K.change_points(x, penalty) == plain_change_points(x, penalty), (k, n, penalty)
+
+
+def test_long_series_of_change_points():
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(5, 1, 20_000), np.ones(100_000), np.repeat(rng.normal(0, 3, 200), 250) + rng.normal(0, 1, 50_000)):
+        begun = time.time()
+        K.change_points(x, 10.0)
+        assert time.time() - begun < 20
+
+
+def test_best_cuts():
+    n, s, q = np.ones(6), np.array([0.0, 1, 2, 100, 101, 102]), np.array([0.0, 1, 4, 10_000, 10_201, 10_404])
+    assert K.best_cuts(n, s, q, 2) == ([3], 4.0)
+    assert K.best_cuts(n[:1], s[:1], q[:1], 3) == ([], 0.0)

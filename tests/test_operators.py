@@ -1,5 +1,7 @@
 """Worked examples of the operators."""
 
+import random
+import itertools
 import datetime as dt
 import json
 
@@ -289,19 +291,37 @@ def test_partials_from_moments(spark):
     assert matrix[("x", "p")]["partial"] == pytest.approx(kernels.partial_correlation(full[:, 0], full[:, 2], full[:, 3:]))
 
 
-def test_subjects_across_batches(spark):
-    """Subjects that reach over Arrow batches stay whole."""
-    rows = [(u, float(k), 1.0) for u in range(30) for k in range(u * 9 % 41 + 1)]
-    df = spark.createDataFrame(rows, "u int, t double, dur double").repartition(7)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    try:
-        got = {(r["u"], r["n"], r["in_order"]) for r in kernels.by_subject(df, ["u"], ["t"], lambda pdf: pdf[["u"]].iloc[:1].assign(n=len(pdf), in_order=pdf["t"].is_monotonic_increasing), "u int, n bigint, in_order boolean").collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert got == {(u, u * 9 % 41 + 1, True) for u in range(30)}
-    whole = E.kmeans_clusters(df.select("t", "dur"), P.ClusterParams("kmeans", k=2)).collect()
-    assert len(whole) == len(rows) and {r["cluster"] for r in whole} == {1, 2}
+def brute_cuts(t, k):
+    """The least sum of squares of all partitions of sorted points into ``k`` runs at most."""
+    square = lambda x: float(((np.array(x) - np.mean(x)) ** 2).sum())
+    return min(sum(square(t[a:b]) for a, b in itertools.pairwise((0, *cut, len(t)))) for cut in itertools.combinations(range(1, len(t)), min(k, len(set(t))) - 1))
+
+
+@pytest.mark.parametrize("bins", [1024, 12])
+def test_kmeans(spark, monkeypatch, bins):
+    """The best of all partitions; with fewer bins than starts nearly so, with means that no round moves any more."""
+    monkeypatch.setattr(E, "BINS", bins)
+    rnd = random.Random(bins)
+    rows = [(who, 1.7e9 + round(rnd.choice([0, 500, 520, 3000]) + rnd.gauss(0, 60), 3), 5.0) for who in ("a", "b", None) for _ in range(14 if bins > 100 else 60)]
+    rows += [("c", 7.0, 1.0)] * 3 + [("d", None, 1.0), ("e", 1.0, 0.0), ("e", 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "who string, t double, dur double")
+    got = E.kmeans_clusters(df, P.ClusterParams("kmeans", k=3), ["who"]).collect()
+    assert len(got) == len(rows) - 1
+    for who in ("a", "b", "c", "e", None):
+        mine = sorted((r for r in got if r["who"] == who), key=lambda r: r["t"])
+        t, runs = [r["t"] - mine[0]["t"] for r in mine], {}
+        for r in mine:
+            runs.setdefault(r["cluster"], []).append(r["t"])
+        assert [r["cluster"] for r in mine] == sorted(r["cluster"] for r in mine) and set(runs) == set(range(1, min(3, len(set(t))) + 1))
+        wcss = sum(((np.array(v) - np.mean(v)) ** 2).sum() for v in runs.values())
+        assert mine[0]["wcss"] == pytest.approx(wcss, abs=1e-3) and mine[0]["settled"]
+        if bins > 100 or len(set(t)) <= bins:
+            assert mine[0]["rounds"] == 0 and wcss == pytest.approx(brute_cuts(t, 3), abs=1e-3)
+        else:
+            assert mine[0]["rounds"] > 0 and wcss <= 1.05 * brute_cuts(t, 3)
+    one = E.kmeans_clusters(df.filter("who = 'a'").select("t", "dur"), P.ClusterParams("kmeans", k=2)).collect()
+    assert {r["cluster"] for r in one} == {1, 2}
+    assert E.kmeans_clusters(df.filter("false"), P.ClusterParams("kmeans"), ["who"]).count() == 0
 
 
 def test_paths():
