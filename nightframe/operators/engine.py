@@ -12,7 +12,6 @@ from nightframe import params as P
 from nightframe.functions.exprs import effect_band, finite, ratio
 from nightframe.operators import inference as I
 from nightframe.operators import series as S
-from nightframe.operators.kernels import permutation_tests
 
 
 @dataclass(frozen=True)
@@ -76,7 +75,7 @@ def coverage_selection(long: DataFrame) -> DataFrame:
     """AHI of the nights a pair keeps against those it loses for want of coverage."""
     seen = long.filter(F.col("x_value").isNotNull()).withColumn("_kept", F.col("y_value").isNotNull())
     judged = seen.filter("_kept or y_insufficient")
-    test = I.mann_whitney(judged, "ahi", F.col("_kept"), ["pair_id"]).select("pair_id", F.col("p").alias("selection_p"))
+    test = I.mann_whitney(judged, "ahi", F.col("_kept"), ["pair_id"], spread=False).select("pair_id", F.col("p").alias("selection_p"))
     medians = judged.groupBy("pair_id").agg(
         F.count(F.when(F.col("_kept"), 1)).alias("n_kept"), F.count(F.when(~F.col("_kept"), 1)).alias("n_dropped"),
         F.percentile(F.when(F.col("_kept"), F.col("ahi")), F.lit(0.5)).alias("kept_ahi"), F.percentile(F.when(~F.col("_kept"), F.col("ahi")), F.lit(0.5)).alias("dropped_ahi"),
@@ -89,13 +88,13 @@ def run_pairs(long: DataFrame, pairs: DataFrame, rounds: int = P.PERMUTATIONS, s
     """One row per pair: Spearman's rho, its p by t or, under heavy ties, by permutation, the p at the effective number
     of nights, the descriptive lag profile, and flags. Under ten nights a pair is not tested and has no profile."""
     both = long.filter("x_value is not null and y_value is not null")
-    rho = I.spearman(both, "x_value", "y_value", ["pair_id"])
+    rho = I.spearman(both, "x_value", "y_value", ["pair_id"], spread=False)
     ties = I.heavy_ties(both, ["x_value", "y_value"], ["pair_id"]).select("pair_id", "heavy")
     a = S.first_lag(both, "night", "x_value", ["pair_id"]).withColumnRenamed("r1", "r1x")
     b = S.first_lag(both, "night", "y_value", ["pair_id"]).withColumnRenamed("r1", "r1y")
     span = both.groupBy("pair_id").agg(F.min("night").alias("from_night"), F.max("night").alias("to_night"))
     tied = both.join(F.broadcast(ties.filter("heavy").select("pair_id")), "pair_id")
-    permuted = permutation_tests(tied, "x_value", "y_value", ["pair_id"], rounds, seed).select("pair_id", F.col("p").alias("_perm"))
+    permuted = I.permutation_tests(tied, "x_value", "y_value", ["pair_id"], rounds, seed, spread=False).select("pair_id", F.col("p").alias("_perm"))
     lags = S.lag_profile(both, "night", "x_value", "y_value", by=["pair_id"])
     seen = F.map_from_entries(F.collect_list(F.struct("lag", F.struct("lag", "rho", "n"))))
     every = F.transform(F.sequence(F.lit(-P.LAGS), F.lit(P.LAGS)), lambda k: F.coalesce(F.try_element_at(seen, k), F.struct(k.alias("lag"), F.lit(None).cast("double").alias("rho"), F.lit(0).cast("bigint").alias("n"))))
@@ -140,7 +139,7 @@ def group_contrasts(nights: DataFrame) -> DataFrame:
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    return I.mann_whitney(long, "v", F.col("g"), ["contrast"]).withColumn("family", F.lit("primary"))
+    return I.mann_whitney(long, "v", F.col("g"), ["contrast"], spread=False).withColumn("family", F.lit("primary"))
 
 
 def pair_matrix(results: DataFrame) -> DataFrame:
@@ -153,15 +152,16 @@ def pair_matrix(results: DataFrame) -> DataFrame:
 def run_engine(nights: DataFrame, pairs: tuple[Pair, ...] = PAIRS, rounds: int = P.PERMUTATIONS) -> dict[str, DataFrame]:
     """``pairs``, ``group_tests`` and ``summary``. The tests of each family are corrected together, pairs by their p at the
     effective number of nights; under seven nights nothing is reported as surviving. ``long`` is the table that every
-    statistic reads; it is persisted, and ``long.unpersist()`` releases it when the results have been used."""
+    statistic reads; it is persisted, and ``long.unpersist()`` releases it when the results have been used, as are the few rows
+    of tests."""
     spark = nights.sparkSession
     long = pairs_long(nights, pairs).persist()
-    tested = flagged(run_pairs(long, registry(spark, pairs), rounds))
-    groups = group_contrasts(nights)
+    tested = flagged(run_pairs(long, registry(spark, pairs), rounds)).persist()  # a row for each pair
+    groups = group_contrasts(nights).persist()  # a row for each contrast
     family = tested.select(F.concat(F.lit("pair-"), F.col("pair_id").cast("string")).alias("test"), "family", F.col("p_value_adj").alias("p"))
     family = family.unionByName(groups.select(F.col("contrast").alias("test"), "family", "p"))
-    primary = I.benjamini_hochberg(family.filter("family = 'primary'"), "p", "test", ["family"], P.BH_Q)
-    other = I.benjamini_hochberg(family.filter("family <> 'primary'"), "p", "test", ["family"], Q_EXPLORATORY)
+    primary = I.benjamini_hochberg(family.filter("family = 'primary'"), "p", "test", ["family"], P.BH_Q, spread=False)
+    other = I.benjamini_hochberg(family.filter("family <> 'primary'"), "p", "test", ["family"], Q_EXPLORATORY, spread=False)
     corrected = primary.unionByName(other)
     few = nights.agg(F.count(F.lit(1)).alias("nights"))
     enough = few.select("nights", (F.col("nights") >= P.MIN_NIGHTS).alias("_enough"))

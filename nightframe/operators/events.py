@@ -301,8 +301,10 @@ def range_stats(intervals: DataFrame, points: DataFrame, key: list[str], value:
     return within(intervals, points, by, margin).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 
-def bad_nights(nights: DataFrame, day: str, ahi: str, found: DataFrame, least: float, most: int = 10) -> DataFrame:
-    """The first ``most`` nights, in date order, at or above ``least``, with the largest severity of their clusters."""
+def bad_nights(nights: DataFrame, day: str, ahi: str, found: DataFrame, least: float, most: int | None = 10) -> DataFrame:
+    """The first ``most`` nights (all, if None), in date order, at or above ``least``, with the largest severity of their
+    clusters."""
     worst = found.groupBy(F.to_date(F.timestamp_seconds("start")).alias("_day")).agg(F.max("severity").alias("worst"))
     out = nights.filter(finite(ahi) >= least).select(F.to_date(day).alias("day"), finite(ahi).alias("ahi"))
-    return out.join(worst, out["day"] == worst["_day"], "left").select("day", "ahi", "worst").orderBy("day").limit(most)
+    out = out.join(worst, out["day"] == worst["_day"], "left").select("day", "ahi", "worst")
+    return out if most is None else out.orderBy("day").limit(most)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from nightframe import params as P
 from nightframe.functions.exprs import clamp, finite, normal_cdf, ratio, wilson
 from nightframe.operators import kernels, scans
-from nightframe.operators.series import ranks
+from nightframe.operators.series import rank_table
 
 
 @F.pandas_udf(DoubleType())
@@ -34,12 +34,18 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3) -
     return sums.select(*by, clamp(r, -1.0, 1.0).alias("r"), "n")
 
 
+def _ranked(pairs: DataFrame, by: list[str], spread: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs ``_x, _y`` with their ranks ``_rx, _ry``, and the table of ranks of either side."""
+    sides = [rank_table(pairs, c, by, f"_r{c[1:]}", spread) for c in ("_x", "_y")]
+    for c, side in zip(("_x", "_y"), sides, strict=True):
+        pairs = scans.matched(pairs, side.drop("_t").withColumnRenamed("_v", c), [*by, c])
+    return pairs, *sides
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3, spread: bool = True) -> DataFrame:
     """Correlation of average ranks; ``spread=False`` where groups are known to be small."""
     by = list(by)
-    pairs = _paired(df, x, y, by)
-    ranked = ranks(ranks(pairs, "_x", by, "_rx", spread), "_y", by, "_ry", spread)
-    return pearson(ranked, "_rx", "_ry", by, least)
+    return pearson(_ranked(_paired(df, x, y, by), by, spread)[0], "_rx", "_ry", by, least)
 
 
 def spearman_p(df: DataFrame, x: str, y: str, by: list[str] = (), least: int = 3) -> DataFrame:
@@ -126,6 +132,62 @@ def exact_p(few: pd.Series, n1: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def permutation_tests(df: DataFrame, x: str, y: str, by: list[str] = (), rounds: int = P.PERMUTATIONS, seed: int = 5, chunk: int = 100, spread: bool = True) -> DataFrame:
+    """``by, p, n``: the share of random pairings at least as correlated in rank, the seen one among them; null under three pairs.
+
+    A group is reduced to its distinct ranks and how often each occurs, for both sides, and the rounds of a group are dealt to
+    many tasks, ``chunk`` each: what a task holds are the distinct values of a group, not its rows. Groups that are known to be
+    small (``spread=False``) are drawn for as a whole.
+    """
+    by = list(by)
+    pairs = _paired(df, x, y, by)
+    if not spread:
+        return _small_permutations(df, x, y, by, rounds, seed)
+    ranked, *sides = _ranked(pairs, by, spread)
+    seen = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_rx") * F.col("_ry")).alias("_s"))
+
+    whole = seen.filter("_n > 2")
+    for c, side in zip(("_rx", "_ry"), sides, strict=True):
+        values = F.array_sort(F.collect_list(F.struct(F.col(c).alias("r"), F.col("_t"))))
+        whole = scans.matched(whole, side.groupBy(*by).agg(values.alias(c)), by)
+    arrays = [F.col(c)[k].alias(f"{c}{k}") for c in ("_rx", "_ry") for k in ("r", "_t")]
+    parts = -(-rounds // chunk)
+    dealt = whole.select(*by, "_n", "_s", *arrays, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    tasks = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name in by]
+
+    def draw(frames):
+        for pdf in frames:
+            hits = []
+            for n, s, ra, ta, rb, tb, part in pdf[["_n", "_s", "_rxr", "_rx_t", "_ryr", "_ry_t", "_part"]].itertuples(index=False, name=None):
+                middle = (n + 1) / 2
+                own = min(chunk, rounds - part * chunk)
+                hits.append(kernels.permuted_hits(np.array(ra) - middle, np.array(ta), np.array(rb) - middle, np.array(tb), s - n * middle * middle, own, seed + int(part)))
+            yield pdf[by].assign(_hits=hits)
+
+    found = dealt.repartition(tasks, *by, "_part").mapInPandas(draw, ", ".join([*keys, "_hits bigint"]))
+    found = found.groupBy(*by).agg(((1 + F.sum("_hits")) / (rounds + 1)).alias("p"))
+    groups = scans.matched(df.select(*by).distinct(), seen, by) if by else seen
+    out = scans.matched(groups, found, by)
+    return out.select(*by, "p", F.coalesce("_n", F.lit(0)).alias("n"))
+
+
+def _small_permutations(df: DataFrame, x: str, y: str, by: list[str], rounds: int, seed: int) -> DataFrame:
+    slim = df.select(*by, finite(x).alias("_x"), finite(y).alias("_y"))
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in by]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, p = pdf.dropna(subset=["_x", "_y"]), None
+        if len(own) > 2:
+            a, b = (own[c].rank().to_numpy() - (len(own) + 1) / 2 for c in ("_x", "_y"))
+            sides = [v for side in (a, b) for v in np.unique(side, return_counts=True)]
+            p = (1 + kernels.permuted_hits(*sides, float(a @ b), rounds, seed)) / (rounds + 1)
+        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | {"p": p, "n": len(own)}]).astype({"p": "float64"})
+
+    found = slim.groupBy(*(by or [F.lit("").alias("_one")])).applyInPandas(run, ", ".join([*keys, "p double, n bigint"]))
+    return found.withColumn("p", finite("p"))
+
+
 def compare_ranges(df: DataFrame, day: str, values: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
     """Means over two date ranges, their difference, and the rank test between them, for each value column."""
     d = F.to_date(day)
@@ -188,25 +250,35 @@ def running_quantile(df: DataFrame, x: str, y: str, grid: DataFrame, q: float =
     return near.groupBy("point", "x0").agg(F.percentile("_y", F.lit(q)).alias("y"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: str, by: list[str] = (), q: float = P.BH_Q) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, key: str, by: list[str] = (), q: float = P.BH_Q, spread: bool = True) -> DataFrame:
     """Adjusted p-values within each family and whether a test survives; tests without a p take no part.
 
     Equal p-values have equal results, so the work is done on counts by p: places are running sums over slices of p, and the
-    smallest ratio from a place on is a running minimum from the other end.
+    smallest ratio from a place on is a running minimum from the other end (windows over families that are known to be small,
+    ``spread=False``).
     """
     by = list(by)
     x = df.withColumn("_p", finite(p))
     counts = x.filter("_p is not null").groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_m"))
-    placed = scans.running(scans.sliced(counts, "_p"), ["_p"], {"_k": F.col("_c")}, by=by)
-    placed = scans.matched(placed, totals, by)
+    if spread:
+        placed = scans.running(scans.sliced(counts, "_p"), ["_p"], {"_k": F.col("_c")}, by=by)
+        placed = scans.matched(placed, counts.groupBy(*by).agg(F.sum("_c").alias("_m")), by)
+    else:
+        family = W.partitionBy(*by)
+        placed = counts.withColumns({"_k": F.sum("_c").over(family.orderBy("_p")), "_m": F.sum("_c").over(family)})
     # of equal p-values the last has the smallest ratio
     placed = placed.withColumns({"_q": F.col("_p") * F.col("_m") / F.col("_k"), "_n": -F.col("_p")})
-    placed = scans.running(scans.sliced(placed.drop("_s"), "_n"), ["_n"], maxima={"_least": -F.col("_q")}, by=by)
+    if spread:
+        placed = scans.running(scans.sliced(placed.drop("_s"), "_n"), ["_n"], maxima={"_least": -F.col("_q")}, by=by)
+    else:
+        placed = placed.withColumn("_least", F.max(-F.col("_q")).over(W.partitionBy(*by).orderBy("_n")))
     passes = F.col("_p") <= F.col("_k") / F.col("_m") * q
     placed = placed.select(*by, "_p", F.least(F.lit(1.0), -F.col("_least")).alias("q_value"), F.when(passes, F.col("_p")).alias("_cut"))
-    cut = placed.groupBy(*by).agg(F.max("_cut").alias("_last"))
-    placed = scans.matched(placed.drop("_cut"), cut, by).select(*by, "_p", "q_value", F.coalesce(F.col("_p") <= F.col("_last"), F.lit(False)).alias("survives"))
+    if spread:
+        placed = scans.matched(placed, placed.groupBy(*by).agg(F.max("_cut").alias("_last")), by)
+    else:
+        placed = placed.withColumn("_last", F.max("_cut").over(W.partitionBy(*by)))
+    placed = placed.select(*by, "_p", "q_value", F.coalesce(F.col("_p") <= F.col("_last"), F.lit(False)).alias("survives"))
     tests = scans.matched(x, placed, [*by, "_p"])
     return tests.withColumn("survives", F.coalesce("survives", F.lit(False))).drop("_p")
 

@@ -129,17 +129,27 @@ def exact_rank_p(doubled: np.ndarray, n1: int) -> float:
     return min(1.0, far / math.comb(n, n1))
 
 
-def average_ranks(x: np.ndarray) -> np.ndarray:
-    return pd.Series(x).rank().to_numpy()
+def permuted_hits(a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray, seen: float, rounds: int, seed: int, plain: int = 1_000_000) -> int:
+    """How many of so many random pairings of two samples have a sum of products at least as large, by size, as ``seen``.
 
-
-def permutation_p(x: np.ndarray, y: np.ndarray, rounds: int, seed: int) -> float:
-    """(1 + permutations at least as correlated in rank) / (rounds + 1)."""
-    a, b = average_ranks(x), average_ranks(y)
-    a, b = a - a.mean(), b - b.mean()
-    seen, rng = abs(float(a @ b)), np.random.default_rng(seed)
-    hits = sum(abs(float(a @ rng.permutation(b))) >= seen - 1e-9 for _ in range(rounds))
-    return (1 + hits) / (rounds + 1)
+    The samples are given by their distinct values (about their means) and how often each occurs. Up to ``plain`` rows one
+    sample is shuffled; of more rows a pairing is drawn as a table with the given margins, one value of the sample with
+    fewer of them after the other, so the work grows with the distinct values and not with the rows.
+    """
+    if len(a) > len(b):
+        a, of_a, b, of_b = b, of_b, a, of_a
+    rng, hits, least = np.random.default_rng(seed), 0, abs(seen) * (1 - 1e-12) - 1e-9
+    if of_a.sum() <= plain:
+        left, right = np.repeat(a, of_a), np.repeat(b, of_b)
+        return sum(abs(float(left @ rng.permutation(right))) >= least for _ in range(rounds))
+    for _ in range(rounds):
+        rest, total = of_b.copy(), 0.0
+        for value, n in zip(a[:-1], of_a[:-1], strict=True):
+            drawn = rng.multivariate_hypergeometric(rest, n, method="marginals")
+            total += value * float(drawn @ b)
+            rest -= drawn
+        hits += abs(total + a[-1] * float(rest @ b)) >= least
+    return hits
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -302,15 +312,3 @@ def partial_matrix(df: DataFrame, columns: list[str], controls: list[str]) -> Da
 
     out = _moments(df, names, []).mapInPandas(run, "x string, y string, r double, partial double")
     return out.withColumns({"r": finite("r"), "partial": finite("partial")})
-
-
-def permutation_tests(df: DataFrame, x: str, y: str, by: list[str] = (), rounds: int = P.PERMUTATIONS, seed: int = 5) -> DataFrame:
-    by = list(by)
-    groups, _, keys = _grouped(df, by, {"_x": finite(x), "_y": finite(y)}, None)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.dropna(subset=["_x", "_y"]).sort_values(["_x", "_y"])
-        p = permutation_p(own["_x"].to_numpy(), own["_y"].to_numpy(), rounds, seed) if len(own) > 2 else math.nan
-        return pd.DataFrame([{b: pdf[b].iloc[0] for b in by} | {"p": p, "n": len(own)}])
-
-    return groups.applyInPandas(run, ", ".join([*keys, "p double, n bigint"])).withColumn("p", finite("p"))

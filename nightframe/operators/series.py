@@ -147,18 +147,21 @@ def cross_correlation(df: DataFrame, day: str, x: str, y: str, lags: int = P.LAG
     return out.join(size, "lag").select("lag", "r", "n", "conf")
 
 
-def ranks(df: DataFrame, value: str, by: list[str] = (), name: str = "rank", spread: bool = True) -> DataFrame:
-    """Average ranks; missing values have none. Counts by value come first, so ties cost one row each; ranks are running sums
-    over slices of the values, or over a group where groups are known to be small (``spread=False``)."""
-    by = list(by)
-    x = df.withColumn("_v", finite(value))
-    counts = x.filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_t"))
+def rank_table(df: DataFrame, value: str, by: list[str], name: str = "rank", spread: bool = True) -> DataFrame:
+    """``by, _v``, the average rank of each value and how often it occurs (``_t``). Ties cost one row each; ranks are running
+    sums over slices of the values, or over a group where groups are known to be small (``spread=False``)."""
+    counts = df.select(*by, finite(value).alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_t"))
     if spread:
         counts = scans.running(scans.sliced(counts, "_v"), ["_v"], {"_upto": F.col("_t")}, by=by)
     else:
         counts = counts.withColumn("_upto", F.sum("_t").over(W.partitionBy(*by).orderBy("_v")))
-    placed = counts.select(*by, "_v", (F.col("_upto") - (F.col("_t") - 1) / 2).cast("double").alias(name))
-    return x.join(placed, [*by, "_v"], "left").drop("_v")
+    return counts.select(*by, "_v", (F.col("_upto") - (F.col("_t") - 1) / 2).cast("double").alias(name), "_t")
+
+
+def ranks(df: DataFrame, value: str, by: list[str] = (), name: str = "rank", spread: bool = True) -> DataFrame:
+    """Average ranks; missing values have none (see ``rank_table``)."""
+    by = list(by)
+    return scans.matched(df.withColumn("_v", finite(value)), rank_table(df, value, by, name, spread).drop("_t"), [*by, "_v"]).drop("_v")
 
 
 def qq_points(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:

@@ -10,6 +10,8 @@ from nightframe.operators import events as E
 from nightframe.operators import explorer
 from nightframe.plans.frames import APNEA, EVENTS, NIGHTS, apneas, flow, log, nights
 from nightframe.plans.nightly import r, rounded
+from nightframe.plans.source_layer import scratch
+from nightframe.streaming import sessions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -161,7 +163,7 @@ def _(spark, sf):
     p = P.ClusterParams("agglomerative", gap=4 * HOUR, max_span=1e12)
     found = E.finalize(E.clusters(apneas(spark, sf), flow(spark, sf), p, BY), p)
     by_day = log(spark, sf).groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    return rounded(E.bad_nights(by_day, "day", "v", found, 1.0, 1000))
+    return rounded(E.bad_nights(by_day, "day", "v", found, 1.0, None))
 
 
 # The whole log as one subject, cut into slices of time, none of which sees all of it.
@@ -172,6 +174,31 @@ LOG_GAP = f"""{EVENTS}, g AS (SELECT t, dur, CASE WHEN t - lag(t + dur) OVER w <
 assigned AS (SELECT *, sum(new) OVER (ORDER BY t, dur ROWS UNBOUNDED PRECEDING) AS cluster FROM g)"""
 
 
+def arriving(spark, sf: str, chunks: list[str]) -> str:
+    """A folder that the events come to as files, one stretch of time after the other, and last two rows from far ahead that
+    let the watermark pass all events. They belong to no user of the log."""
+    folder, x = scratch(spark), log(spark, sf).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    ends = [None, *chunks, None]
+    for begin, end in zip(ends, ends[1:], strict=False):
+        inside = F.lit(True) if begin is None else F.col("ts") >= F.lit(begin).cast("timestamp")
+        inside &= F.lit(True) if end is None else F.col("ts") < F.lit(end).cast("timestamp")
+        x.filter(inside).write.mode("append").parquet(folder)
+    for year in (2100, 2101):
+        end = spark.range(1).select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(APNEA[0]).alias("event_type"), F.lit(f"{year}-01-01").cast("timestamp").alias("ts"), F.lit(0.0).alias("value"))
+        end.write.mode("append").parquet(folder)
+    return folder
+
+
+@query("W12_stream_clusters", f"WITH {GAP} SELECT user_id, CAST(cluster AS BIGINT) AS cluster, {r('min(t)', 'start')}, {r('max(t + dur)', '"end"')}, count(*) AS count, {r('sum(dur)', 'total_sec')} FROM assigned GROUP BY 1, 2")
+def _(spark, sf):
+    """As W12_gap_clusters, from a stream with state for each user."""
+    folder, out = arriving(spark, sf, ["2024-01-11", "2024-01-21"]), scratch(spark)
+    events = sessions.read_events(spark, folder, "user_id bigint, event_type string, ts timestamp, value double")
+    found = sessions.stream_clusters(events.filter(F.col("event_type").isin(*APNEA)), "ts", "value", BY, 4 * HOUR, "15 days")
+    sessions.run_through(found, out, scratch(spark))
+    return rounded(spark.read.parquet(out).filter("user_id >= 0"))
+
+
 @query("W12_log_clusters", f"WITH {LOG_GAP} SELECT CAST(cluster AS BIGINT) AS cluster, {SUMMARY} FROM assigned GROUP BY 1")
 def _(spark, sf):
     whole = apneas(spark, sf).drop("user_id")

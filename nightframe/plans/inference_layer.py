@@ -186,7 +186,7 @@ def _(spark, sf):
 
 @query("T17_permutation")
 def _(spark, sf):
-    return rounded(K.permutation_tests(table(spark, sf, "part"), "p_size", "p_retailprice", ["p_brand"]))
+    return rounded(I.permutation_tests(table(spark, sf, "part"), "p_size", "p_retailprice", ["p_brand"]))
 
 
 @query("T18_effective_n", f"""WITH {NIGHTS}, x AS (SELECT day, v, w, lag(v) OVER (ORDER BY day) pv, lag(w) OVER (ORDER BY day) pw, avg(v) OVER () mv, avg(w) OVER () mw FROM nights WHERE w IS NOT NULL),

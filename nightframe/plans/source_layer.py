@@ -17,8 +17,9 @@ from nightframe.operators import wearable as N
 from nightframe.plans.frames import NIGHTS, log, nights, table
 from nightframe.plans.nightly import r, rounded
 from nightframe.plans.wearable_layer import DENSE, night_samples, windows
-from nightframe.sources import export_tree, files, store, tabular
+from nightframe.sources import files, store, tabular
 from nightframe.sources import parsers as R
+from nightframe.streaming import ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,11 +53,14 @@ def put_csv(spark: SparkSession, *frames: DataFrame) -> list[str]:
     return out
 
 
-def put_json(spark: SparkSession, rows: DataFrame, item: Column, day: str) -> list[str]:
-    """One file for each month, an array of what ``item`` gives for its rows."""
-    path = scratch(spark)
-    months = rows.groupBy(F.date_format(day, "yyyyMM").alias("month")).agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(F.to_json(item))), F.lit("]")).alias("value"))
-    months.repartition("month").write.partitionBy("month").text(path)
+def put_json(spark: SparkSession, rows: DataFrame, item: Column, day: str, most: int = 5000) -> list[str]:
+    """Files of about ``most`` rows of a month, each an array of what ``item`` gives for its rows."""
+    path, x = scratch(spark), rows.select(F.date_format(day, "yyyyMM").alias("month"), F.to_json(item).alias("item"))
+    # a row for each month
+    parts = F.broadcast(x.groupBy("month").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")))
+    dealt = x.join(parts, "month").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")))
+    arrays = dealt.groupBy("month", "part").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("item")), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("month", "part").text(path)
     return [f for f in files.files_of(spark, path) if f.endswith(".txt")]
 
 
@@ -354,17 +358,34 @@ def _(spark, sf):
     return rounded(log(spark, sf).select("event_id", X.wall_minutes("ts").alias("minutes")))
 
 
-@query("S07_enumerated", """SELECT * FROM (VALUES ('Global Export Data/sleep-2024-01-01.json', 'sleep', 'windows'), ('Sleep Score/sleep_score.csv', 'sleep_score', 'windows'),
- ('Oxygen Saturation (SpO2)/Minute SpO2 - 1.csv', 'spo2_minute', 'series'), ('Global Export Data/heart_rate-2024-01-01.json', 'heart_rate', 'series'), ('Stress Score/Stress Score.csv', 'stress', 'windows')) t(relative, metric, phase)""")
-def _(spark, sf):
-    """A folder with files that may be read, files that nothing names, and denied ones."""
-    root = scratch(spark)
-    for name in (
-        "Global Export Data/sleep-2024-01-01.json", "Global Export Data/sleep-latest.json", "Global Export Data/heart_rate-2024-01-01.json", "Sleep Score/sleep_score.csv", "Sleep Score/gps_location_1.csv",
-        "Account/sleep_score.csv", "Menstrual Health/a.csv", "Oxygen Saturation (SpO2)/Minute SpO2 - 1.csv", "Stress Score/Stress Score.csv", "Stress Score/deep/Stress Score.csv", "Your Profile/Sleep Score/sleep_score.csv",
-    ):
-        path, system = files.hadoop_path(spark, f"{root}/{name}")
-        system.create(path).close()
-    found = export_tree.enumerate_export(spark, root)
-    return spark.createDataFrame([(f.relative, f.kind.metric, f.kind.phase) for f in found], "relative string, metric string, phase string")
+def put_export(spark: SparkSession, root: str, folder: str, prefix: str, frame: DataFrame) -> None:
+    """Adds CSV files of a frame to an export folder, named as the export names them."""
+    for k, source in enumerate(put_csv(spark, frame)):
+        target, system = files.hadoop_path(spark, f"{root}/{folder}/{prefix}{uuid.uuid4().hex[:8]}-{k}.csv")
+        system.mkdirs(target.getParent())
+        system.rename(files.hadoop_path(spark, source)[0], target)
 
+
+@query("S32_stream_ingest", """SELECT 'value' AS part, event_id AS sec, round(value, 6) + 0.0 AS value FROM events WHERE event_id % 50 <> 0
+UNION ALL SELECT 'malformed', count(*), NULL FROM events WHERE event_id % 50 = 0
+UNION ALL SELECT 'last second', max(event_id), NULL FROM events WHERE event_id % 50 <> 0""")
+def _(spark, sf):
+    """An export folder that grows: half of the events, a run, the other half and a file that may not be read, and a run."""
+    root, out, state = scratch(spark), scratch(spark), scratch(spark)
+    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    value = F.when(F.col("event_id") % 50 == 0, F.lit("none")).otherwise(F.col("value").cast("string"))
+    rows = log(spark, sf).select(F.col("event_id"), at.alias("timestamp"), value.alias("value"))
+    for half in (0, 1):
+        part = rows.filter(F.col("event_id") % 2 == half).drop("event_id")
+        put_export(spark, root, "Oxygen Saturation (SpO2)", "Minute SpO2 - ", part)
+        if half:
+            put_export(spark, root, "Account", "Minute SpO2 - ", part)
+        ingest.ingest_stream(spark, root, out, state)
+    sec = F.round(F.col("utc_min") * 60).cast("bigint") - 1_700_000_000
+    held = store.read_store(spark, f"{out}/spo2_minute").select(sec.alias("sec"), "value")
+    bad = ingest.malformed_files(spark, out).agg(F.sum("malformed").alias("sec"))
+    return rounded(
+        held.select(F.lit("value").alias("part"), "sec", "value")
+        .unionByName(bad.select(F.lit("malformed").alias("part"), "sec", F.lit(None).cast("double").alias("value")))
+        .unionByName(held.agg(F.max("sec").alias("sec")).select(F.lit("last second").alias("part"), "sec", F.lit(None).cast("double").alias("value")))
+    )

@@ -230,28 +230,21 @@ def _(spark, sf):
 
 @query("T23_contrast_tests", f"WITH {NIGHTS}, e AS (SELECT v * 7 - w AS hrv, v * 5 + w AS ready, v, w FROM nights WHERE w IS NOT NULL), "
        + mann_whitney_sql("SELECT 'hrv-by-ahi' AS contrast, hrv AS v, (w - 25) * 4 + 10 >= 15 AS g FROM e WHERE (w - 25) * 4 + 10 >= 15 OR (w - 25) * 4 + 10 < 5 UNION ALL SELECT 'readiness-by-use', ready, v >= 4 FROM e", "contrast")
-       + f" SELECT contrast, 'primary' AS family, n1, n2, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN least(u1, u2) END', 'u')}, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN zz END', 'z')} FROM mw")
+       + f""" SELECT contrast, 'primary' AS family, n1, n2, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN least(u1, u2) END', 'u')}, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN zz END', 'z')}, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN pp END', 'p')},
+ {r('CASE WHEN n1 > 0 AND n2 > 0 THEN 2 * cl - 1 END', 'effect')}, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN 2 * greatest(0, ce - ha) - 1 END', 'effect_low')}, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN 2 * least(1, ce + ha) - 1 END', 'effect_high')} FROM mw""")
 def _(spark, sf):
     # spread so that there are nights on either side of both thresholds
     spread = _engine_nights(spark, sf).withColumn("ahi", (F.col("ahi") - 25) * 4 + 10)
-    return rounded(engine.group_contrasts(spread).select("contrast", "family", "n1", "n2", "u", "z"))
+    return rounded(engine.group_contrasts(spread).select("contrast", "family", "n1", "n2", "u", "z", "p", "effect", "effect_low", "effect_high"))
 
 
-@query("T20_coverage_selection", f"""WITH {NIGHTS}, x AS (SELECT w, date_diff('day', DATE '1990-01-01', day) % 5 <> 0 AS kept FROM nights WHERE w IS NOT NULL)
-SELECT CAST(1 AS BIGINT) AS pair_id, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_dropped, {r('quantile_cont(w, 0.5) FILTER (kept)', 'kept_ahi')}, {r('quantile_cont(w, 0.5) FILTER (NOT kept)', 'dropped_ahi')} FROM x""")
+@query("T20_coverage_selection", f"WITH {NIGHTS}, n AS (SELECT w, date_diff('day', DATE '1990-01-01', day) % 5 <> 0 AS kept FROM nights WHERE w IS NOT NULL), "
+       + mann_whitney_sql("SELECT pair_id, w AS v, kept OR pair_id NOT IN (1, 2, 8) AS g FROM n, (SELECT CAST(unnest([1, 2, 3, 7, 8, 9, 10]) AS BIGINT) AS pair_id) ids", "pair_id")
+       + f""", m AS (SELECT pair_id, quantile_cont(v, 0.5) FILTER (g) AS a, quantile_cont(v, 0.5) FILTER (NOT g) AS b FROM s GROUP BY 1)
+SELECT pair_id, n1 AS n_kept, n2 AS n_dropped, {r('a', 'kept_ahi')}, {r('b', 'dropped_ahi')}, {r('CASE WHEN n1 > 0 AND n2 > 0 THEN pp END', 'selection_p')} FROM mw JOIN m USING (pair_id)""")
 def _(spark, sf):
-    long = engine.pairs_long(_engine_nights(spark, sf), engine.PAIRS[:1])
-    return rounded(engine.coverage_selection(long).select("pair_id", "n_kept", "n_dropped", "kept_ahi", "dropped_ahi"))
-
-
-@query("T25_registry", """SELECT CAST(pair_id AS BIGINT) AS pair_id, x, y, sign, family, two_sided FROM (VALUES
- (1, 'ahi', 'spo2.min_pct', '-', 'primary', false), (2, 'ahi', 'spo2.pct_time_below_90', '+', 'primary', false), (3, 'ahi', 'hrv.rmssd_ms', '-', 'primary', false),
- (4, 'ahi', 'hr.sleeping_avg', '+', 'primary', false), (5, 'ahi', 'rr_nightly', '±', 'exploratory', true), (6, 'ahi', 'snore.snore_minutes', '+', 'primary', false),
- (7, 'ahi', 'efficiency_pct', '-', 'primary', false), (8, 'median_epap', 'spo2.min_pct', '±', 'exploratory', true), (9, 'usage_hours', 'readiness_score', '+', 'primary', false),
- (10, 'usage_hours', 'hrv.rmssd_ms', '+', 'exploratory', false), (11, 'leak_median', 'efficiency_pct', '-', 'exploratory', false), (12, 'ahi', 'stress_score', '+', 'exploratory', false)
-) t(pair_id, x, y, sign, family, two_sided)""")
-def _(spark, sf):
-    return rounded(engine.registry(spark))
+    found = engine.coverage_selection(engine.pairs_long(_engine_nights(spark, sf)))
+    return rounded(found.select("pair_id", "n_kept", "n_dropped", "kept_ahi", "dropped_ahi", "selection_p"))
 
 
 _HERE = {"ahi": "w", "usage_hours": "v", "median_epap": "v + 4", "spo2.min_pct": "CASE WHEN e <> 0 THEN 100 - w / 3 END", "spo2.pct_time_below_90": "CASE WHEN e <> 0 THEN v * 2 END", "hrv.rmssd_ms": "v * 7 - w", "efficiency_pct": "90 - w / 2", "readiness_score": "v * 5 + w"}

@@ -5,6 +5,7 @@ import math
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from nightframe.operators import kernels as K
@@ -62,10 +63,34 @@ def test_solver_refuses_singular_systems():
     assert got == pytest.approx([0.8, 1.4])
 
 
-def test_permutation_p_bounds():
+def plain_permutation_p(x, y, rounds, seed):
+    """One sample is shuffled for each round."""
+    a, b = (pd.Series(v).rank().to_numpy() for v in (x, y))
+    a, b = a - a.mean(), b - b.mean()
+    seen, rng = abs(float(a @ b)), np.random.default_rng(seed)
+    return (1 + sum(abs(float(a @ rng.permutation(b))) >= seen - 1e-9 for _ in range(rounds))) / (rounds + 1)
+
+
+def margins(x):
+    values, counts = np.unique(pd.Series(x).rank().to_numpy(), return_counts=True)
+    return values - (len(x) + 1) / 2, counts
+
+
+@pytest.mark.parametrize("plain", [0, 1_000_000])
+def test_permutations_from_margins(plain):
+    """Within three standard errors of shuffling, by shuffling and by tables with given margins."""
+    rng = np.random.default_rng(5)
+    for ties in (3, 8, 40):
+        x = rng.integers(0, ties, 60).astype(float)
+        y = x * 0.15 * rng.random() + rng.integers(0, 5, 60)
+        (a, ta), (b, tb) = margins(x), margins(y)
+        ra, rb = (pd.Series(v).rank().to_numpy() for v in (x, y))
+        seen = float((ra - ra.mean()) @ (rb - rb.mean()))
+        p = (1 + K.permuted_hits(a, ta, b, tb, seen, 1000, 1, plain)) / 1001
+        want = plain_permutation_p(x, y, 4000, 2)
+        assert abs(p - want) < 3 * math.sqrt(want * (1 - want) * (1 / 1000 + 1 / 4000)) + 0.002
     x = np.arange(12.0)
-    assert K.permutation_p(x, x, 200, 1) == pytest.approx(1 / 201)
-    assert K.permutation_p(x, np.tile([0.0, 1.0], 6), 200, 1) > 0.05
+    assert K.permuted_hits(*margins(x), *margins(x), float(((x - x.mean()) ** 2).sum()), 200, 1) == 0
 
 
 def plain_change_points(x, penalty):

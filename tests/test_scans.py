@@ -159,3 +159,19 @@ def test_false_discovery_of_ties(narrow, spark):
         else:
             assert r["q_value"] == pytest.approx(min(1, *(ratio[v] for v in known if v >= r["p"])))
             assert r["survives"] == (r["p"] <= cut)
+
+
+def test_permutations_by_group(spark):
+    """Groups of any size by margins; groups without pairs have no p, and rounds are dealt over tasks."""
+    rnd = random.Random(8)
+    rows = [(g, float(rnd.randrange(5)) if k % 9 else None, float(rnd.randrange(4))) for g in ("a", "b", None) for k in range(50)]
+    rows += [("same", float(k), float(k)) for k in range(20)] + [("two", 1.0, 2.0), ("two", 2.0, 1.0), ("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["g"]: r for r in I.permutation_tests(df, "x", "y", ["g"], 350, chunk=100).collect()}
+    assert {g: r["n"] for g, r in got.items()} == {"a": 44, "b": 44, None: 44, "same": 20, "two": 2, "none": 0}
+    assert got["same"]["p"] == pytest.approx(1 / 351) and got["two"]["p"] is None and got["none"]["p"] is None and all(0 < got[g]["p"] <= 1 for g in ("a", "b", None))
+    small = {r["g"]: r for r in I.permutation_tests(df, "x", "y", ["g"], 350, spread=False).collect()}
+    assert {g: (r["n"], r["p"] is None) for g, r in small.items()} == {g: (r["n"], r["p"] is None) for g, r in got.items()}
+    assert all(abs(small[g]["p"] - got[g]["p"]) < 0.15 for g in ("a", "b", None)) and small["same"]["p"] == got["same"]["p"]
+    one = I.permutation_tests(df, "x", "y", rounds=150).collect()
+    assert len(one) == 1 and one[0]["n"] == sum(r["n"] for r in got.values())
