@@ -6,6 +6,7 @@ Windows are wall-clock times (``timestamp_ntz``); oximetry comes as instants. ``
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -73,16 +74,16 @@ def fold_nights(sessions: DataFrame) -> DataFrame:
 # --- clock offsets -----------------------------------------------------------------------------------------------
 
 
-def samples_near(nights: DataFrame, samples: DataFrame, key: str = "night", pad_minutes: float = SEARCH) -> DataFrame:
+def samples_near(nights: DataFrame, samples: DataFrame, key: str = "night", pad_minutes: float = SEARCH, by: list[str] = ()) -> DataFrame:
     """Samples (``utc_min``) that could lie in a night's window (``start_min``, ``end_min``) under some offset, met by
-    half-day buckets."""
-    width = 720.0
-    spread = nights.select(key, "start_min", "end_min", F.explode(F.sequence(F.floor((F.col("start_min") - pad_minutes) / width), F.floor((F.col("end_min") + pad_minutes) / width))).alias("_b"))
-    met = spread.join(samples.withColumn("_b", F.floor(F.col("utc_min") / width)), "_b").drop("_b")
+    half-day buckets; those of the same wearer where ``by`` names columns that tell wearers apart."""
+    width, by = 720.0, list(by)
+    spread = nights.select(*by, key, "start_min", "end_min", F.explode(F.sequence(F.floor((F.col("start_min") - pad_minutes) / width), F.floor((F.col("end_min") + pad_minutes) / width))).alias("_b"))
+    met = spread.join(samples.withColumn("_b", F.floor(F.col("utc_min") / width)), [*by, "_b"]).drop("_b")
     return met.filter((F.col("utc_min") >= F.col("start_min") - pad_minutes) & (F.col("utc_min") < F.col("end_min") + pad_minutes))
 
 
-def offset_scores(near: DataFrame, key: str = "night") -> DataFrame:
+def offset_scores(near: DataFrame, key: str = "night", by: list[str] = ()) -> DataFrame:
     """For each night and each offset of the search, the share of the night's samples that falls into its window.
 
     A sample is inside for a run of consecutive offsets, so it adds one and takes one away at the ends of its run, and
@@ -91,43 +92,44 @@ def offset_scores(near: DataFrame, key: str = "night") -> DataFrame:
     first = F.greatest(F.lit(-SEARCH), F.ceil((F.col("start_min") - F.col("utc_min")) / STEP) * STEP)
     last = F.least(F.lit(SEARCH), (F.ceil((F.col("end_min") - F.col("utc_min")) / STEP) - 1) * STEP)
     ends = F.array(F.struct(first.cast("int").alias("o"), F.lit(1).alias("d")), F.struct((last + STEP).cast("int").alias("o"), F.lit(-1).alias("d")))
-    marks = near.filter(first <= last).select(key, F.explode(ends).alias("m")).groupBy(key, F.col("m.o").alias("offset")).agg(F.sum("m.d").alias("_d"))
-    totals = near.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    grid = totals.select(key, "total", F.explode(F.sequence(F.lit(-SEARCH), F.lit(SEARCH), F.lit(STEP))).alias("offset"))
-    counted = grid.join(marks, [key, "offset"], "left").withColumn("inside", F.sum(F.coalesce("_d", F.lit(0))).over(W.partitionBy(key).orderBy("offset")))
-    return counted.select(key, "offset", "inside", "total", (F.col("inside") / F.col("total")).alias("share"))
+    marks = near.filter(first <= last).select(*by, key, F.explode(ends).alias("m")).groupBy(*by, key, F.col("m.o").alias("offset")).agg(F.sum("m.d").alias("_d"))
+    totals = near.groupBy(*by, key).agg(F.count(F.lit(1)).alias("total"))
+    grid = totals.select(*by, key, "total", F.explode(F.sequence(F.lit(-SEARCH), F.lit(SEARCH), F.lit(STEP))).alias("offset"))
+    counted = grid.join(marks, [*by, key, "offset"], "left").withColumn("inside", F.sum(F.coalesce("_d", F.lit(0))).over(W.partitionBy(*by, key).orderBy("offset")))
+    return counted.select(*by, key, "offset", "inside", "total", (F.col("inside") / F.col("total")).alias("share"))
 
 
-def infer_offsets(near: DataFrame, key: str = "night") -> DataFrame:
+def infer_offsets(near: DataFrame, key: str = "night", by: list[str] = ()) -> DataFrame:
     """The offset of the largest share; of equals the one nearest to the last believed offset before (0 before any), then the
     smallest in size, then the more negative. Too few samples or too small a share are not believed; ``unstable`` says that
     the commonest start-to-sample distance tells otherwise.
 
-    What one night believes decides ties of the next, so the nights of the wearer, one short row for each day, are walked in
-    order; everything before that is grouped by night.
+    What one night believes decides ties of the next, so the nights of a wearer (``by`` names the columns that tell wearers
+    apart), one short row for each day, are walked in order; everything before that is grouped by night.
     """
-    scores = offset_scores(near, key)
-    most = scores.groupBy(key).agg(F.max("inside").alias("_top"))
+    by = list(by)
+    scores = offset_scores(near, key, by)
+    most = scores.groupBy(*by, key).agg(F.max("inside").alias("_top"))
     enough = F.col("total") >= LEAST_SAMPLES
-    best = scores.join(most, key).filter("inside = _top").groupBy(key).agg(F.sort_array(F.collect_list("offset")).alias("_ties"), F.max("share").alias("share"), F.max("total").alias("total"))
+    best = scores.join(most, [*by, key]).filter("inside = _top").groupBy(*by, key).agg(F.sort_array(F.collect_list("offset")).alias("_ties"), F.max("share").alias("share"), F.max("total").alias("total"))
     best = best.withColumn("confident", enough & (F.col("share") >= LEAST_SHARE))
-    line = F.array_sort(F.collect_list(F.struct(key, F.when(enough, F.col("_ties")).alias("ties"), "confident")))
-    nights = best.agg(line.alias("_line"))
-    kind = next(k for c, k in near.dtypes if c == key)
-
-    def walk(state: Column, night: Column) -> Column:
-        from_last = lambda o: F.struct(F.abs(o - F.coalesce(state["last"], F.lit(0))).alias("a"), F.abs(o).alias("b"), o.alias("o"))
-        chosen = F.array_min(F.transform(night["ties"], from_last))["o"]
-        seen = F.array(F.struct(night[key].alias(key), chosen.alias("offset")))
-        return F.struct(F.when(night["confident"], chosen).otherwise(state["last"]).alias("last"), F.concat(state["seen"], seen).alias("seen"))
-
-    begin = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast(f"array<struct<{key}:{kind},offset:int>>").alias("seen"))
-    offsets = nights.select(F.explode(F.aggregate("_line", begin, walk)["seen"]).alias("o")).select("o.*")
-    modal = near.groupBy(key, (F.floor((F.col("start_min") - F.col("utc_min")) / STEP + 0.5) * STEP).alias("_m")).agg(F.count(F.lit(1)).alias("_c"))
-    modal = modal.groupBy(key).agg(F.max_by("_m", F.struct("_c", -F.col("_m"))).alias("modal"))
-    out = best.join(offsets, key).join(modal, key)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, chosen = pdf.sort_values(key), None, []
+        for ties, sure in zip(pdf["_ties"], pdf["confident"], strict=True):
+            one = None if ties is None else min((abs(int(o) - (last or 0)), abs(int(o)), int(o)) for o in ties)[2]
+            chosen.append(one)
+            last = one if sure else last
+        return pdf[[*by, key]].assign(offset=pd.array(chosen, dtype="Int32"))
+
+    slim = best.select(*by, key, F.when(enough, F.col("_ties")).alias("_ties"), "confident")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in (*by, key)]
+    offsets = slim.groupBy(*(by or [F.lit("").alias("_one")])).applyInPandas(walk, ", ".join([*kinds, "offset int"]))
+    modal = near.groupBy(*by, key, (F.floor((F.col("start_min") - F.col("utc_min")) / STEP + 0.5) * STEP).alias("_m")).agg(F.count(F.lit(1)).alias("_c"))
+    modal = modal.groupBy(*by, key).agg(F.max_by("_m", F.struct("_c", -F.col("_m"))).alias("modal"))
+    out = best.join(offsets, [*by, key]).join(modal, [*by, key])
     return out.select(
-        key, "offset", F.when(enough, F.col("share")).otherwise(0.0).alias("share"), "total", "confident",
+        *by, key, "offset", F.when(enough, F.col("share")).otherwise(0.0).alias("share"), "total", "confident",
         (enough & (F.abs(F.col("modal") - F.col("offset")) > STEP)).alias("unstable"),
     )
 
@@ -152,12 +154,13 @@ def resolve_offsets(nights: DataFrame, by: list[str] = ()) -> DataFrame:
 # --- nightly measures --------------------------------------------------------------------------------------------
 
 
-def assign_local(nights: DataFrame, samples: DataFrame, columns: list[str]) -> DataFrame:
-    """Samples at wall-clock minutes ``local_min`` inside a night's half-open window, with the night."""
-    width = 720.0
-    spread = nights.select("night", "start_min", "end_min", F.explode(F.sequence(F.floor(F.col("start_min") / width), F.floor(F.col("end_min") / width))).alias("_b"))
-    met = samples.select("local_min", *columns).withColumn("_b", F.floor(F.col("local_min") / width)).join(spread, "_b")
-    return met.filter((F.col("local_min") >= F.col("start_min")) & (F.col("local_min") < F.col("end_min"))).select("night", "local_min", *columns)
+def assign_local(nights: DataFrame, samples: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """Samples at wall-clock minutes ``local_min`` inside a night's half-open window, with the night; those of the same wearer
+    where ``by`` tells wearers apart."""
+    width, by = 720.0, list(by)
+    spread = nights.select(*by, "night", "start_min", "end_min", F.explode(F.sequence(F.floor(F.col("start_min") / width), F.floor(F.col("end_min") / width))).alias("_b"))
+    met = samples.select(*by, "local_min", *columns).withColumn("_b", F.floor(F.col("local_min") / width)).join(spread, [*by, "_b"])
+    return met.filter((F.col("local_min") >= F.col("start_min")) & (F.col("local_min") < F.col("end_min"))).select(*by, "night", "local_min", *columns)
 
 
 def _share(condition: Column, n: Column) -> Column:

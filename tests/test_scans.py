@@ -12,6 +12,7 @@ from nightframe.operators import descriptive as D
 from nightframe.operators import events as E
 from nightframe.operators import inference as I
 from nightframe.operators import scans, series
+from nightframe.operators import wearable as N
 
 
 @pytest.fixture
@@ -175,3 +176,24 @@ def test_permutations_by_group(spark):
     assert all(abs(small[g]["p"] - got[g]["p"]) < 0.15 for g in ("a", "b", None)) and small["same"]["p"] == got["same"]["p"]
     one = I.permutation_tests(df, "x", "y", rounds=150).collect()
     assert len(one) == 1 and one[0]["n"] == sum(r["n"] for r in got.values())
+
+
+def test_two_wearers(spark):
+    """Interleaved nights and samples of two wearers give the same rows as each alone."""
+    rnd = random.Random(12)
+    nights, samples = [], []
+    for who, shift in (("a", 60), ("b", -300)):
+        for night in range(6):
+            begin = night * 1440 + 1320
+            nights.append((who, night, float(begin), float(begin + 480)))
+            samples += [(who, float(begin + k - (shift if night != 3 else 0)), float(k)) for k in range(0, 480, 4 if night != 4 else 200)]
+    rnd.shuffle(samples)
+    n = spark.createDataFrame(nights, "who string, night int, start_min double, end_min double")
+    x = spark.createDataFrame(samples, "who string, utc_min double, v double")
+    both = N.infer_offsets(N.samples_near(n, x, by=["who"]), by=["who"])
+    local = N.assign_local(n, x.withColumnRenamed("utc_min", "local_min"), ["v"], ["who"])
+    for who in "ab":
+        mine = [d.filter(F.col("who") == who).drop("who") for d in (n, x)]
+        same(both.filter(F.col("who") == who).drop("who"), N.infer_offsets(N.samples_near(*mine)))
+        same(local.filter(F.col("who") == who).drop("who"), N.assign_local(mine[0], mine[1].withColumnRenamed("utc_min", "local_min"), ["v"]))
+    assert {(r["who"], r["offset"]) for r in both.collect() if r["night"] == 1} == {("a", 60), ("b", -300)}
