@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from nightframe.sources import store
+from nightframe.operators import engine
+from nightframe.sources import export_tree, store
 
 
 @pytest.fixture
@@ -93,3 +94,25 @@ def test_columns_may_be_added_and_months_left_unread(spark, path):
     store.clear_all(spark, path)
     with pytest.raises(FileNotFoundError):
         store.read_store(spark, path)
+
+
+def test_listing_of_an_export(spark, tmp_path):
+    """Files that may be read, files that nothing names, and denied ones."""
+    for name in (
+        "Global Export Data/sleep-2024-01-01.json", "Global Export Data/sleep-latest.json", "Global Export Data/heart_rate-2024-01-01.json", "Sleep Score/sleep_score.csv", "Sleep Score/gps_location_1.csv",
+        "Account/sleep_score.csv", "Menstrual Health/a.csv", "Oxygen Saturation (SpO2)/Minute SpO2 - 1.csv", "Stress Score/Stress Score.csv", "Stress Score/deep/Stress Score.csv", "Your Profile/Sleep Score/sleep_score.csv",
+    ):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).touch()
+    found = export_tree.enumerate_export(spark, str(tmp_path))
+    assert {(f.relative, f.kind.metric, f.kind.phase) for f in found} == {
+        ("Global Export Data/sleep-2024-01-01.json", "sleep", "windows"), ("Sleep Score/sleep_score.csv", "sleep_score", "windows"), ("Oxygen Saturation (SpO2)/Minute SpO2 - 1.csv", "spo2_minute", "series"),
+        ("Global Export Data/heart_rate-2024-01-01.json", "heart_rate", "series"), ("Stress Score/Stress Score.csv", "stress", "windows"),
+    }
+    assert export_tree.scan_summary(found)["sleep"] == 1
+
+
+def test_registry_of_pairs(spark):
+    rows = engine.registry(spark).collect()
+    assert [r["pair_id"] for r in rows] == list(range(1, 13)) and {r["family"] for r in rows} == {"primary", "exploratory"}
+    assert {r["pair_id"] for r in rows if r["two_sided"]} == {5, 8}
