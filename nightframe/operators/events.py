@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,16 +165,21 @@ def kmeans_clusters(events: DataFrame, p: P.ClusterParams, by: list[str] = ()) -
     bins = x.select(*by, point.alias("_bin"), "t", "_c", "_t0", u.alias("_u")).groupBy(*by, "_bin").agg(
         F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_u")).alias("s"), F.sum(F.col("_c") * F.col("_u") * F.col("_u")).alias("q"), F.min("t").alias("lo"), F.max("_t0").alias("t0"))
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lo")
-        n, total = pdf["n"].to_numpy(), pdf["s"].to_numpy()
-        at, wcss = kernels.best_cuts(n, total, pdf["q"].to_numpy(), p.k)
-        centres = [float(total[a:b].sum() / n[a:b].sum() + pdf["t0"].iloc[0]) for a, b in zip([0, *at], [*at, len(n)], strict=True)]
-        return pd.DataFrame([{b: pdf[b].iloc[0] for b in by} | {"begin": pdf["lo"].to_numpy()[at].tolist(), "centres": centres, "wcss": wcss}])
+    # at most BINS of them and a few for each subject
+    lists = bins.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("lo", "n", "s", "q"))).alias("_bins"), F.max("t0").alias("t0")).filter(F.size("_bins") > 0)
+    lists = lists.select(*by, "t0", *[F.col("_bins")[c].alias(c) for c in ("lo", "n", "s", "q")])
+
+    def cut(frames):
+        for pdf in frames:
+            out = []
+            for t0, lo, n, total, squares in zip(*(pdf[c] for c in ("t0", "lo", "n", "s", "q")), strict=True):
+                at, wcss = kernels.best_cuts(np.asarray(n), np.asarray(total), np.asarray(squares), p.k)
+                centres = [float(sum(total[a:b]) / sum(n[a:b]) + t0) for a, b in zip([0, *at], [*at, len(n)], strict=True)]
+                out.append(([float(lo[i]) for i in at], centres, wcss))
+            yield pd.concat([pdf[by], pd.DataFrame(out, columns=["begin", "centres", "wcss"], index=pdf.index)], axis=1)
 
     keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in by]
-    # at most BINS rows and a few for each subject
-    found = bins.groupBy(*(by or [F.lit("").alias("_one")])).applyInPandas(cut, ", ".join([*keys, "begin array<double>, centres array<double>, wcss double"]))
+    found = lists.mapInPandas(cut, ", ".join([*keys, "begin array<double>, centres array<double>, wcss double"]))
     found = scans.matched(found, lines.select(*by, (F.col("_m") > BINS).alias("_long")), by).withColumns({"rounds": F.lit(0), "settled": ~F.col("_long")})
     found = _settled(found, starts, p, by)
     cluster = F.size(F.filter("begin", lambda b: b <= F.col("t"))).cast("bigint") + 1
