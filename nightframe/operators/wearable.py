@@ -206,10 +206,13 @@ def snore_nightly(samples: DataFrame, nights: DataFrame) -> DataFrame:
 
 
 def downsample(points: DataFrame, value: str, cadence_sec: int, by: list[str]) -> DataFrame:
-    """A dense array of rounded bucket means from the first sample on, null where there is none. ``sec`` is the time."""
+    """A dense array of rounded bucket means from the first sample on, null where there is none. ``sec`` is the time. The
+    samples of a bucket are added in the order of time (then value), as a mean may lie at a half but for what is lost in adding."""
     first = points.groupBy(*by).agg(F.min("sec").alias("t0"))
     x = points.join(first, by).withColumn("_k", F.floor((F.col("sec") - F.col("t0")) / cadence_sec).cast("int"))
-    means = x.groupBy(*by, "t0", "_k").agg(F.floor(F.avg(finite(value)) + 0.5).cast("smallint").alias("_v"))
+    samples = F.array_sort(F.collect_list(F.when(finite(value).isNotNull(), F.struct("sec", finite(value).alias("v")))))
+    mean = F.aggregate(samples, F.lit(0.0), lambda total, s: total + s["v"]) / F.nullif(F.size(samples), F.lit(0))
+    means = x.groupBy(*by, "t0", "_k").agg(F.floor(mean + 0.5).cast("smallint").alias("_v"))
     packed = means.groupBy(*by, "t0").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m"), F.max("_k").alias("_last"))
     values = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda i: F.try_element_at("_m", i))
     return packed.select(*by, F.lit(cadence_sec).alias("cadence_sec"), "t0", values.alias("values"))
