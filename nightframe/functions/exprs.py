@@ -32,6 +32,24 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def exact_mean(c: Column | str) -> Column:
+    """Aggregate: the mean of the finite values, the same in whatever order and grouping they come.
+
+    Every value is cut into four whole numbers of 30 bits, whose sums are exact; what a value has below 2**-60 is dropped.
+    Sums of 2**61 and more are left to the usual mean.
+    """
+    x = finite(c)
+    y, unit, mask = F.when(F.abs(x) < 2.0**61, x), 2.0**30, F.lit((1 << 30) - 1)
+    top, rest = F.floor(y / unit), (y - F.floor(y)) * unit
+    ends = F.sum(F.floor((rest - F.floor(rest)) * unit))
+    fits = F.sum(F.abs(x)) < 2.0**61
+    middle = F.sum(F.floor(rest)) + F.shiftright(ends, 30)
+    whole = F.when(fits, F.sum(top)) * F.lit(1 << 30) + F.sum(F.floor(y - top * unit)) + F.shiftright(middle, 30)
+    part = middle.bitwiseAND(mask) * F.lit(1 << 30) + ends.bitwiseAND(mask)
+    total = whole.cast("double") + part * 2.0**-60
+    return F.when(fits, total / F.nullif(F.count(x), F.lit(0))).otherwise(F.avg(x))
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     """NULL stays NULL, which ``greatest`` and ``least`` alone would skip."""
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))

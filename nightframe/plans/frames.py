@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightframe.functions.exprs import exact_mean
 from nightframe.operators.events import apnea_events, flow_samples
 
 APNEA = ("error", "click", "purchase")
@@ -20,7 +21,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def usage(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("day"))
-    return orders.agg(F.count(F.lit(1)).alias("n"), (F.avg("o_totalprice") / 31415.926).alias("v"))
+    return orders.agg(F.count(F.lit(1)).alias("n"), (exact_mean("o_totalprice") / 31415.926).alias("v"))
 
 
 def shipped(spark: SparkSession, folder: str) -> DataFrame:
