@@ -156,11 +156,16 @@ def shingled(docs: DataFrame, words: int, overlap: Overlap, id_col: str, text_co
 ELEMENT = np.dtype([("token", "<u8"), ("node", "<i8")])
 
 
-def shared_elements(marked: DataFrame, elements: int, per_range: int = 4_000_000) -> DataFrame:
-    """``node, shared``: how many of a set's first elements other sets have among theirs.
+#: A set, and how many of its elements others have.
+COUNT = np.dtype([("node", "<i8"), ("shared", "<i8")])
+
+
+def shared_by_range(marked: DataFrame, elements: int, per_range: int = 4_000_000) -> DataFrame:
+    """``bucket, counts``: how many of a set's first elements in a range of their hashes other sets have among theirs. The sets
+    of a bucket are packed into one row for each range, as most sets have some common element in most ranges.
 
-    Elements go to ranges of their hash. One that several sets of a batch have counts for these at once, and only one of
-    them is sent on to let other batches know; so a very common element costs one entry for each batch.
+    One that several sets of a batch have counts for these at once, and only one of them is sent on to let other batches
+    know; so a very common element costs one entry for each batch.
     """
     ranges = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-elements // per_range))
 
@@ -198,11 +203,27 @@ def shared_elements(marked: DataFrame, elements: int, per_range: int = 4_000_000
         several = np.frombuffer(b"".join(rows.column("several").to_pylist()), np.uint64)
         hit = (times > 1) | np.isin(tokens, several)
         nodes, shared = np.unique(one["node"][hit[where]], return_counts=True)
-        return pa.table({"node": np.concatenate([lent[:, 0], nodes]), "shared": np.concatenate([lent[:, 1], shared])})
+        found = np.empty(len(lent) + len(nodes), COUNT)
+        found["node"], found["shared"] = np.concatenate([lent[:, 0], nodes]), np.concatenate([lent[:, 1], shared])
+        bucket = (mixed(found["node"].view(np.uint64), 11) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        buckets, begin = np.unique(bucket[order], return_index=True)
+        packed = [x.tobytes() for x in np.split(found[order], begin[1:])] if len(found) else []
+        return pa.table({"bucket": buckets, "counts": pa.array(packed, pa.binary())})
 
     sent = marked.select("node", "first").mapInArrow(send, "range bigint, single binary, several binary, credit binary").repartition(ranges, "range")
-    found = sent.groupBy("range").applyInArrow(count, "node bigint, shared bigint")
-    return found.groupBy("node").agg(F.sum("shared").alias("shared"))
+    return sent.groupBy("range").applyInArrow(count, "bucket bigint, counts binary")
+
+
+def shared_elements(marked: DataFrame, elements: int, per_range: int = 4_000_000) -> DataFrame:
+    """``node, shared``: how many of a set's first elements other sets have among theirs (none: no row)."""
+
+    def total(key: tuple, rows: pa.Table) -> pa.Table:
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), COUNT)
+        nodes, where = np.unique(counts["node"], return_inverse=True)
+        return pa.table({"node": nodes, "shared": np.bincount(where, weights=counts["shared"]).astype(np.int64)})
+
+    return shared_by_range(marked, elements, per_range).groupBy("bucket").applyInArrow(total, "node bigint, shared bigint")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -243,6 +264,26 @@ def lead_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["lead", "node", "n", "m", "overlap"])
 
 
+def forest(found: list[tuple[int, int, int]], n: int, united: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of pairs of ``n`` places, as many as connect all that they connect, if the places ``united`` are connected already."""
+    above, kept = list(range(n)), []
+    for k in united.tolist():
+        above[k] = int(united[0])
+
+    def top(k: int) -> int:
+        while above[k] != k:
+            above[k] = above[above[k]]
+            k = above[k]
+        return k
+
+    for pair in found:
+        a, b = top(pair[0]), top(pair[1])
+        if a != b:
+            above[a] = b
+            kept.append(pair)
+    return kept
+
+
 def linked(sets: list[np.ndarray], overlap: Overlap, every: bool) -> list[tuple[int, int, int]]:
     """Pairs of places, and overlaps, of similar sets: all of them, or (not ``every``) as many as connect all that are.
 
@@ -322,6 +363,9 @@ def links(sets: DataFrame, places: DataFrame, overlap: Overlap, every: bool = Fa
                 for k in asking.tolist():
                     ids, shared = index.search(sets[k])
                     found += [(k, i, s) for i, s in zip(there[ids].tolist(), shared.tolist(), strict=True)]
+        if not every:
+            # all pairs of a large group would grow with its square; sets that are like the leader are connected through it
+            found = forest(found, len(sets), np.flatnonzero(rows.column("alike").to_numpy(zero_copy_only=False)))
         a, b, shared = np.array(found, np.int64).reshape(-1, 3).T
         return pa.table({"a": nodes[a], "b": nodes[b], "overlap": shared})
 

@@ -121,3 +121,39 @@ def test_bounds_by_size():
 def test_shingles_of_repeated_words_differ():
     text = ("to " * 20 + "of " * 20 + "to " * 20 + "a " * 20).encode()
     assert len(shingle_set(text, 5, Words())) == len(sets_of(text.decode()))
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+def test_links_of_a_large_group_grow_with_its_size(spark, monkeypatch, tile):
+    """A group whose members are nearly all similar: as many links as connect it, not all of its pairs."""
+    monkeypatch.setattr(J, "TILE", tile)
+    rnd = random.Random(9)
+    base, texts = [f"w{k}" for k in range(120)], []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(rnd.choice([1, 2, 3])):
+            own[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    _, sets, places = J.candidates(docs, 80, 5, "doc_id", "text")
+    met = places.count()
+    edges = J.links(sets, places, J.Overlap(80)).count()
+    assert edges < 6 * met
+    got = sorted((tuple(r) for r in J.shingle_groups(docs).collect()), key=str)
+    assert got == components(list(enumerate(texts)), 80)
+
+
+def test_counts_of_shared_elements_are_packed(spark):
+    """What others share with a set, against counting all elements, in no more rows than ranges by ranges."""
+    rnd = random.Random(10)
+    sets = {n: sorted({rnd.randrange(300) * 2**40 for _ in range(rnd.randint(1, 40))}) for n in range(-90, 90)}
+    rows = [(n, np.array(s, np.uint64).tobytes()) for n, s in sets.items()]
+    df = spark.createDataFrame(rows, "node bigint, first binary").repartition(5)
+    times = {}
+    for s in sets.values():
+        for t in s:
+            times[t] = times.get(t, 0) + 1
+    want = {n: k for n, s in sets.items() if (k := sum(times[t] > 1 for t in s))}
+    assert {r["node"]: r["shared"] for r in J.shared_elements(df, 1).collect()} == want
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < J.shared_by_range(df, 1).count() <= ranges**2 < len(want)
